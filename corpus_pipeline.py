@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.llm import mixing, packing, quality_rules
+from scriptorium.llm import mixing, near_dup, packing, quality_rules
 from scriptorium.llm.common import materialize, read
 from scriptorium.llm.queries import BYTE_BPE
 
@@ -19,6 +19,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs.select(*COLUMNS))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the smallest doc_id."""
+    docs = docs.select(*COLUMNS)
+    gone = near_dup.near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: whole repeats, and once more
     where part of a further repeat is taken.  Those taken no word of go."""
@@ -34,7 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(docs, BYTE_BPE)
 
 
-STAGES = [("quality rules", quality), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("mixing", mix), ("packing", pack)]
 
 #: Compression, sketches, tokenizers: SQL cannot express the stages.
 ORACLE_SQL: str | None = None
