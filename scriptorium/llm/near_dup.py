@@ -12,10 +12,11 @@ the full sets.
 
 Documents with equal sets form a class, represented by its smallest doc_id, so
 groups of copies cost one sketch.  Within a band's group every class is first
-compared with the smallest and the greatest only; where the groups' members are
-then still in several components, all pairs across components, and only these,
-are compared.  So the work is linear in groups of near copies, and no link
-between components is lost.
+compared with the smallest and the greatest only.  Members of groups that are
+then still in several components meet again by their rarest shingles (an exact
+prefix filter), and pairs across components, and only these, are compared.  So
+the work stays linear in groups of near copies, and no link that could join two
+components is lost.
 """
 
 from __future__ import annotations
@@ -26,19 +27,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from scriptorium.llm.common import RollingHash, joined_bytes, map_batches, materialize, mix, slices, word_bounds
 from scriptorium.llm.components import connected_components
 
 #: Registers, the scale's base, the rate of the exponential values, the highest
 #: register value, and how the bands choose registers.
-REGISTERS, BASE, RATE, TOP = 128, 1.02, 20.0, 2047
-#: A pair of similarity 0.8 shares none of 60 bands of 6 of 128 registers with a
-#: chance near 1e-6; its estimate lies 0.2 below with a chance near 1e-8.
-BANDS, ROWS, MARGIN = 60, 6, 0.2
-#: Shingles sketched at once in a worker.
-BLOCK = 1 << 14
+REGISTERS, BASE, RATE, TOP = 256, 1.02, 20.0, 2047
+#: A pair of similarity 0.8 shares none of 60 bands of 6 of 256 registers with a
+#: chance near 1e-6; its estimate lies 0.11 below (5 deviations) with one near 1e-7.
+BANDS, ROWS, MARGIN = 60, 6, 0.11
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -71,28 +70,25 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[
 @lru_cache(maxsize=1)
 def _functions() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(7)
+    flip = rng.integers(0, 2**64, REGISTERS, dtype=np.uint64)
     scale = rng.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shift = rng.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2)
     chosen = np.stack([np.sort(rng.permutation(REGISTERS)[:ROWS]) for _ in range(BANDS)])
-    return scale, shift, chosen
-
-
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The registers (uint16) of a set of at least one hash.  Least values are
-    found as 64-bit hashes first: a smaller hash is a smaller value."""
-    scale, shift, _ = _functions()
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(shingles), BLOCK):
-        part = shingles[a : a + BLOCK]
-        for j in range(REGISTERS):
-            v = part * scale[j]
-            v += shift[j]
-            v ^= v >> np.uint64(32)
-            v *= np.uint64(0x9FB21C651E98DF25)
-            m = v.min()
-            if m < least[j]:
-                least[j] = m
-    x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64) / RATE
+    return flip, scale, chosen
+
+
+def sketch_many(sets: list[np.ndarray]) -> np.ndarray:
+    """The registers (uint16, a row each) of some sets of hashes, none empty.
+    Least values are found as 64-bit hashes first: a smaller hash is a smaller
+    value.  Cost: a multiplication and a comparison per element and register."""
+    flip, scale, _ = _functions()
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    every = np.concatenate(sets)
+    least, v = np.empty((REGISTERS, len(sets)), np.uint64), np.empty_like(every)
+    for j in range(REGISTERS):
+        np.bitwise_xor(every, flip[j], out=v)
+        np.multiply(v, scale[j], out=v)
+        np.minimum.reduceat(v, starts, out=least[j])
+    x = -np.log1p(-(least.T.astype(np.float64) + 0.5) / 2.0**64) / RATE
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP).astype("<u2")
 
 
@@ -127,17 +123,15 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
         last: dict[bytes, bytes] = {}
         for batch in batches:
             for b in slices(batch):
-                n, prints, regs = [], [], []
-                for s in shingle_sets(*joined_bytes(b), words):
-                    n.append(len(s))
-                    f = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                    prints.append(f)
-                    if f is not None and f not in last:
-                        if len(last) > 20_000:
-                            last.clear()
-                        last[f] = sketch(s).tobytes()
-                    regs.append(last[f] if f is not None else None)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "fingerprint", "registers"])
+                sets = list(shingle_sets(*joined_bytes(b), words))
+                prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                if len(last) > 20_000:
+                    last.clear()
+                new = {f: k for k, f in enumerate(prints) if f is not None and f not in last}
+                if new:
+                    last |= zip(new, map(bytes, sketch_many([sets[k] for k in new.values()])))
+                regs = [None if f is None else last[f] for f in prints]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "fingerprint", "registers"])
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, fingerprint binary, registers binary")
 
@@ -207,6 +201,38 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return map_batches(both, run, "a long, b long")
 
 
+def prefix_pairs(open_: DataFrame, words: int, percent: int) -> DataFrame:
+    """All pairs (a, b) of different parts that may reach the threshold, from
+    rows (id, part, text).
+
+    Two sets that do share one of the rarest n - ceil(threshold * n) + 1
+    elements of either, whatever fixed order ranks the elements; n is a set's
+    size.  By frequency, a copy's own changes come first and what all copies
+    have in common last, so a large group that holds together otherwise makes
+    no pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch):
+                sets = list(shingle_sets(*joined_bytes(b), words))
+                n = np.array([len(s) for s in sets], np.int64)
+                if n.sum():
+                    spread = pa.array(np.repeat(np.arange(len(n)), n))
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(spread), b.column("part").take(spread), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "part", "n", "s"])
+
+    rows = materialize(map_batches(open_.select("id", "part", "text"), run, "id long, part long, n long, s long"), "shingles")
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(W.partitionBy("id").orderBy("df", "s"))
+    ahead = rows.join(often, "s").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1)
+    side = lambda x: ahead.select("s", F.col("id").alias(x), F.col("part").alias(f"p_{x}"), F.col("n").alias(f"n_{x}"), F.col("rank").alias(f"r_{x}"))
+    fits = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    # from the first element they share on, they can share no more than either has left
+    most = 1 + F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b"))
+    fits = fits & (most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
+    return side("a").join(side("b"), "s").where((F.col("a") < F.col("b")) & (F.col("p_a") != F.col("p_b")) & fits).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -241,11 +267,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     part = connected_components(edges)
     part = materialize(met.select("key", "id").join(part, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part")), "parts")
     split = part.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key")
-    open_ = part.join(split, "key").join(classes.select("id", F.col("n_shingles").alias("n")), "id")
-    side = lambda x: open_.select("key", F.col("id").alias(x), F.col("part").alias(f"p_{x}"), F.col("n").alias(f"n_{x}"))
-    across = (F.col("p_a") != F.col("p_b")) & (F.col("a") < F.col("b")) & (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
-    rest = side("a").join(side("b"), "key").where(across).select("a", "b").distinct()
-    rest = materialize(likely(rest.join(first, ["a", "b"], "left_anti"), classes, threshold), "pairs")
+    open_ = materialize(part.join(split, "key").select("id", "part").distinct().join(texts, "id"), "open")
+    rest = prefix_pairs(open_, words, percent).join(first, ["a", "b"], "left_anti")
+    rest = materialize(likely(rest, classes, threshold), "pairs")
     more = materialize(confirmed(rest, texts, words, percent), "links")
 
     ends = edges.unionByName(more).unionByName(members.select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
