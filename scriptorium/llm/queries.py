@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.llm import media, mixing, near_dup, packing, quality_rules, token_counts
+from scriptorium.llm import media, mixing, near_dup, packing, quality_rules, suffix_dedup, token_counts
 from scriptorium.llm.common import read
 
 #: Where tokenizer files lie; a parameter of the operators.
@@ -21,6 +21,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.without_repeats(read(spark, sf_dir, "documents"), length=50)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -38,5 +43,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.compression_bands(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_token_counts, op6_near_duplicates, op8_packing, op9_media_columns, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_token_counts, op4_suffix_dedup, op6_near_duplicates, op8_packing, op9_media_columns, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
