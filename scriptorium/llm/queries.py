@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.llm import media, mixing, near_dup, packing, quality_rules, suffix_dedup, token_counts
+from scriptorium.llm import media, mixing, near_dup, packing, quality_rules, suffix_dedup, token_counts, toxicity
 from scriptorium.llm.common import read
 
 #: Where tokenizer files lie; a parameter of the operators.
@@ -30,6 +30,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(read(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -43,5 +47,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.compression_bands(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_token_counts, op4_suffix_dedup, op6_near_duplicates, op8_packing, op9_media_columns, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_token_counts, op4_suffix_dedup, op6_near_duplicates, op7_toxicity, op8_packing, op9_media_columns, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
