@@ -27,8 +27,8 @@ from scriptorium.llm.common import RollingHash, map_batches, slices, texts_of
 WINDOW, STRIDE = 48, 24
 BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 1 << 15, 6, 6, 8, 8
 GRAMS = (3, 4, 5)
-#: Labelled rows of each class that are used at most, passes over them, and texts at once.
-SAMPLE, EPOCHS, BATCH, RATE = 1000, 5, 256, 0.02
+#: Labelled rows of each class that are used at most, least passes over them and steps, and windows at once.
+SAMPLE, EPOCHS, STEPS, BATCH, RATE = 1000, 5, 80, 256, 0.02
 THRESHOLD = 0.7
 #: Words a worker remembers, and windows that it scores at once.
 CACHE_WORDS, AT_ONCE = 150_000, 4096
@@ -75,7 +75,7 @@ class Network:
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
         draw = lambda *shape, scale=0.3: (rng.standard_normal(shape) * scale).astype(np.float32)
-        self.p = {"word": draw(BUCKETS, WORD_DIM, scale=0.05), "char": draw(BUCKETS, CHAR_DIM, scale=0.05), "va": draw(ATTEND), "Wa": draw(2 * HIDDEN, ATTEND), "ba": draw(ATTEND) * 0, "w": draw(2 * HIDDEN), "b": np.zeros(1, np.float32)}
+        self.p = {"word": draw(BUCKETS, WORD_DIM, scale=0.03), "char": draw(BUCKETS, CHAR_DIM, scale=0.03), "va": draw(ATTEND), "Wa": draw(2 * HIDDEN, ATTEND), "ba": draw(ATTEND) * 0, "w": draw(2 * HIDDEN), "b": np.zeros(1, np.float32)}
         for d in "fb":
             self.p |= {f"W{d}": draw(INPUTS, 3 * HIDDEN), f"U{d}": draw(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.word_odds = np.zeros(BUCKETS, np.float32)
@@ -203,7 +203,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Network | None:
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(index)))
+    for epoch in range(epochs):
         order = rng.permutation(len(index))
         for a in range(0, len(order), BATCH):
             pick = order[a : a + BATCH]
@@ -215,11 +216,12 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Network | None:
             sub = (bucket[part], grams[np.concatenate(each)], np.cumsum([0, *map(len, each[:-1])]))
             g = net.gradients(sub, inverse.T, target[pick])
             step += 1
-            rate = RATE * (1 - epoch / EPOCHS) + 0.002
+            rate = RATE * (1 - epoch / epochs) + 0.002
             for k, v in g.items():
                 mean[k] += 0.1 * (v - mean[k])
                 square[k] += 0.01 * (v * v - square[k])
-                net.p[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)
+                # embeddings move less, or they would learn single texts by heart
+                net.p[k] -= rate * (0.5 if k in ("word", "char") else 1) * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)
     calibrate(net, feats, docs, y)
     return net
 
@@ -243,7 +245,7 @@ def calibrate(net: Network, feats, docs: list[np.ndarray], y: np.ndarray) -> Non
     best = np.flatnonzero(errors == errors.min())
     k = int(best[len(best) // 2])
     edge = np.concatenate([[worst[order[0]] - 2], worst[order], [worst[order[-1]] + 2]])
-    net.p["b"][0] += np.log(THRESHOLD / (1 - THRESHOLD)) - (edge[k] + edge[k + 1]) / 2
+    net.p["b"][0] += np.log(THRESHOLD / (1 - THRESHOLD)) - (0.8 * edge[k] + 0.2 * edge[k + 1])
 
 
 def held_out(doc_id: Column) -> Column:
