@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.llm import mixing, near_dup, packing, quality_rules
+from scriptorium.llm import mixing, near_dup, packing, quality_rules, suffix_dedup
 from scriptorium.llm.common import materialize, read
 from scriptorium.llm.queries import BYTE_BPE
 
@@ -26,6 +26,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
+def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings that an earlier document has go from the texts, letters whole;
+    documents of which no word is left go."""
+    docs = docs.select(*COLUMNS)
+    left = suffix_dedup.without_repeats(docs)
+    left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", suffix_dedup.whole_characters(F.col("kept")).alias("left"))
+    kept = docs.join(left, "doc_id", "left").withColumn("text", F.coalesce("left", "text"))
+    return kept.where(r"text rlike '[^\\x20\\x09-\\x0D]'").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: whole repeats, and once more
     where part of a further repeat is taken.  Those taken no word of go."""
@@ -41,7 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(docs, BYTE_BPE)
 
 
-STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("suffix-array dedup", suffixes), ("mixing", mix), ("packing", pack)]
 
 #: Compression, sketches, tokenizers: SQL cannot express the stages.
 ORACLE_SQL: str | None = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.llm import media, mixing, near_dup, packing, quality_rules, suffix_dedup, token_counts, toxicity
+from scriptorium.llm import media, mixing, near_dup, packing, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 from scriptorium.llm.common import read
 
 #: Where tokenizer files lie; a parameter of the operators.
@@ -13,6 +13,12 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    judged = url_filter.evaluate(url_filter.page_captures(pages), url_filter.page_list(pages))
+    return judged.select("page_id", "url", "blocked", "matched_pattern", "n_matches")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
@@ -26,6 +32,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.shared_passages(read(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -47,5 +57,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.compression_bands(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_token_counts, op4_suffix_dedup, op6_near_duplicates, op7_toxicity, op8_packing, op9_media_columns, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_token_counts, op4_suffix_dedup, op5_substring_dedup, op6_near_duplicates, op7_toxicity, op8_packing, op9_media_columns, op10_quality_rules)}
+ORACLES = {"op1_url_filter": url_filter.ORACLE}

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scriptorium.llm.common import RollingHash, joined_bytes, map_batches, materialize, partitions, slices
 from scriptorium.llm.run_index import RunIndex
@@ -307,6 +307,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return map_batches(base, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def whole_characters(data: bytes) -> str:
+def whole_characters(kept: Column) -> Column:
     """Text of bytes from which stretches were cut: letters that were cut in two go."""
-    return data.decode("utf-8", errors="ignore")
+
+    @F.pandas_udf("string")
+    def decode(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: b.decode("utf-8", errors="ignore"), na_action="ignore")
+
+    return decode(kept)
