@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptorium.functions.text import normal_phrase
 from scriptorium.operators import tracking, validation
@@ -48,3 +50,36 @@ def validated(drafts: DataFrame, index: DataFrame, indexed: tuple[str, ...]) ->
 
 def first_seen(rows: DataFrame, key: str, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-")
+    return f"{base}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+
+
+def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over all that is there, and read what it wrote.  In complete
+    mode each batch replaces the result."""
+    spark, folder = stream.sparkSession, work_folder(stream.sparkSession)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True)
+    if mode == "complete":
+        writer = writer.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{folder}/out"))
+        writer.start().awaitTermination()
+    else:
+        writer.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def run_upserts(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Run a stream of keyed changes, and read the table's last version."""
+    spark, folder = stream.sparkSession, work_folder(stream.sparkSession)
+    last: list[int] = []
+    put = upsert_each(f"{folder}/table", keys, order)
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        put(batch, epoch)
+        last.append(epoch)
+
+    stream.writeStream.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table/v{last[-1]}")
