@@ -107,15 +107,15 @@ def context_review(spark, d):
 
 
 PASSAGES = r"""
-WITH lines AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents),
-b AS (SELECT item_id, trim(unnest(string_split(text, chr(10)))) AS line FROM benchmark)
+WITH lines AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.\n]'))) AS line FROM documents),
+b AS (SELECT item_id, trim(unnest(regexp_split_to_array(text, '[.\n]'))) AS line FROM benchmark)
 SELECT l.doc_id, b.item_id, count(*) AS n_lines FROM lines l JOIN b ON l.line = b.line WHERE length(l.line) >= 30 GROUP BY l.doc_id, b.item_id"""
 
 
 @query(PASSAGES)
 def doc_passage_match(spark, d):
-    """Lines of documents that are lines of benchmark passages: an equi-join on the line."""
-    lines = F.explode(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: F.length(x) >= 30))
+    """Sentences of documents that benchmark passages have: an equi-join on the sentence."""
+    lines = F.explode(F.filter(F.transform(F.split("text", "[.\n]"), F.trim), lambda x: F.length(x) >= 30))
     docs = table(spark, d, "documents").select("doc_id", lines.alias("line"))
     items = table(spark, d, "benchmark").select("item_id", lines.alias("line"))
     return docs.join(items, "line").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_lines"))
@@ -283,7 +283,7 @@ def ledger_checks(spark, d):
 def _events(spark: SparkSession, d: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query(f"WITH {EVENTS} SELECT ontology, norm, count(*) AS seen FROM e WHERE value <= 30 GROUP BY ontology, norm")
@@ -298,7 +298,7 @@ SELECT start, session, n, tokens FROM w WHERE start + INTERVAL '1 day' <= (SELEC
 def stream_tokens_tumbling(spark, d):
     turns = _events(spark, d).select("ts", F.col("user_id").alias("session"), F.col("value").alias("tokens"))
     out = jobs.run_to_table(jobs.tokens_by_window(turns, "1 day"), "append")
-    return out.select("start", "session", "n", F.round("tokens", 4).alias("tokens"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "session", "n", F.round("tokens", 4).alias("tokens"))
 
 
 @query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
