@@ -115,7 +115,7 @@ SELECT l.doc_id, b.item_id, count(*) AS n_lines FROM lines l JOIN b ON l.line =
 @query(PASSAGES)
 def doc_passage_match(spark, d):
     """Sentences of documents that benchmark passages have: an equi-join on the sentence."""
-    lines = F.explode(F.filter(F.transform(F.split("text", "[.\n]"), F.trim), lambda x: F.length(x) >= 30))
+    lines = F.explode(F.filter(F.transform(F.split("text", "[.\n]"), lambda x: F.trim(x)), lambda x: F.length(x) >= 30))
     docs = table(spark, d, "documents").select("doc_id", lines.alias("line"))
     items = table(spark, d, "benchmark").select("item_id", lines.alias("line"))
     return docs.join(items, "line").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_lines"))
