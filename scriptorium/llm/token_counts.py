@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm.common import ODD_SPACE, byte_len, texts_of
 
-#: Entries of the broadcast table, rows of the sample it is counted from, and
-#: entries a worker's own cache holds before it is emptied.
-TABLE_ENTRIES, SAMPLE_ROWS, CACHE_ENTRIES = 40_000, 4_000, 250_000
+#: Entries of the broadcast table, rows of the sample it is counted from and the
+#: bytes below which a text takes part, and entries a worker's own cache holds
+#: before it is emptied.
+TABLE_ENTRIES, SAMPLE_ROWS, SAMPLE_BYTES, CACHE_ENTRIES = 40_000, 1_000, 1 << 16, 250_000
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_misses long"
 _SPLIT = re.compile("[^ \t\n\r]+")
@@ -50,22 +51,13 @@ def pretokens(text: str) -> list[str]:
 
 
 def frequent_lengths(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES, sample_rows: int = SAMPLE_ROWS) -> dict[str, int]:
-    """Lengths of the commonest pre-tokens of some ``sample_rows`` rows: counted
-    where the rows lie, and no more than ``entries`` of a task reach the driver."""
+    """Lengths of the commonest pre-tokens of the first ``sample_rows`` rows at
+    hand, which a take reads from as few partitions as it needs."""
     if not path.endswith(".json"):
         return {}
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-        for b in batches:
-            for _, t in texts_of(b):
-                c.update(pretokens(t))
-        top = c.most_common(entries)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
-
     total: Counter = Counter()
-    for r in docs.select("text").limit(sample_rows).mapInArrow(count, "word string, n long").toLocalIterator():
-        total[r["word"]] += r["n"]
+    for r in docs.select("text").where(f"octet_length(text) < {SAMPLE_BYTES}").take(sample_rows):
+        total.update(pretokens(r["text"]))
     words = [w for w, _ in total.most_common(entries)]
     return dict(zip(words, map(len, load(path)(words)))) if words else {}
 
