@@ -19,7 +19,7 @@ from scriptorium.llm.common import materialize
 
 #: Documents a shard holds on average, the greatest number of blocks a mix is
 #: cut into, and how often a document may be repeated.
-SHARD_DOCS, MAX_BLOCKS, REPEATS = 20_000, 1_000_000, 3
+SHARD_DOCS, MAX_BLOCKS, REPEATS = 2_000, 1_000_000, 3
 
 
 def words(text: Column) -> Column:
