@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Verdicts, most attention first.
 TRIAGE = ("needs_human_decision", "scope_uncertain", "partial", "in_scope", "out_of_scope", "unspecified")
@@ -54,6 +54,47 @@ def classify_by_keywords(text: Column, rules: list[tuple[str, tuple[str, ...]]],
     return out.otherwise(default)
 
 
+# Words of development and of content sessions, and the categories in order.
+DEVELOPMENT = ("setup", "infrastructure", "automation", "pipeline", "system", "architecture", "database", "integration", "migration", "performance", "framework", "tool", "workflow", "documentation", "protocol")
+CONTENT = ("curation", "effector", "protein", "literature", "paper", "pmid")
+DECISIVE = ("setup", "system", "automation", "infrastructure", "migration", "architecture")
+CATEGORIES = [
+    ("Infrastructure", ("setup", "initialization", "foundation")),
+    ("Automation", ("automation", "pipeline", "workflow")),
+    ("Architecture", ("architecture", "migration", "modular")),
+    ("Analytics", ("database", "tracking", "analytics")),
+    ("Knowledge Management", ("documentation", "protocol", "training")),
+]
+
+
+def session_kind(text: Column) -> Column:
+    """(development, category): development if a decisive word is there, or more
+    words of development than of content."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    held = lambda words: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(w)))
+    development = (held(DEVELOPMENT) > held(CONTENT)) | (held(DECISIVE) > 0)
+    return F.struct(development.alias("development"), classify_by_keywords(low, CATEGORIES, "System Enhancement").alias("category"))
+
+
+def overridden(base: DataFrame, override: DataFrame, key: str = "vocab") -> DataFrame:
+    """The rows of ``override``, and those of ``base`` whose key it does not name."""
+    return override.unionByName(base.join(override.select(key).distinct(), key, "left_anti"))
+
+
+def divergence(base: DataFrame, override: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct keys that only one of two listings has, with the side that has them."""
+    one = lambda x, flag: x.select(*keys).distinct().withColumn(flag, F.lit(True))
+    both = one(base, "_base").join(one(override, "_override"), keys, "full")
+    side = F.when(F.col("_override").isNull(), "base_only").when(F.col("_base").isNull(), "override_only")
+    return both.select(*keys, side.alias("side")).where("side is not null")
+
+
+def counts_by_type(rows: DataFrame, column: str) -> DataFrame:
+    """How many rows each type has, unnamed ones as ?, most first, with their place."""
+    n = rows.groupBy(F.coalesce(column, F.lit("?")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "type")))
+
+
 def contract_errors(checks: dict[str, Column]) -> Column:
     """The names of all checks that do not hold (a null does not)."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(k)) for k, ok in checks.items()]))

@@ -9,7 +9,7 @@ enter or parked, with its reason.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from scriptorium.functions.text import text_or_empty, truthy
 
@@ -83,3 +83,42 @@ def queue_counts(items: DataFrame) -> DataFrame:
 def unused_genotypes(genotypes: DataFrame, references: DataFrame) -> DataFrame:
     """Genotypes (draft, name) that nothing refers to."""
     return genotypes.select("draft", "name").join(references.select("draft", "name").distinct(), ["draft", "name"], "left_anti")
+
+
+def is_mutant(alleles: Column, background: Column) -> Column:
+    """By its alleles, or by a background: an insertion may carry no allele."""
+    return (F.size(F.filter(F.coalesce(alleles, F.array().cast("array<string>")), lambda a: text_or_empty(a) != "")) > 0) | (text_or_empty(background) != "")
+
+
+def strain_problem(name: Column, strain: Column, background: Column, alleles: Column) -> Column:
+    """What is wrong with a genotype's strain and background, null if nothing: a
+    wild type has a strain, a mutant a background, none both.  Unnamed ones pass."""
+    mutant, has_strain, has_background = is_mutant(alleles, background), text_or_empty(strain) != "", text_or_empty(background) != ""
+    problem = F.when(has_strain & has_background, "both strain and background").when(mutant & has_strain, "mutant with a strain").when(mutant & ~has_background, "mutant without background").when(~mutant & ~has_strain, "wild type without strain")
+    return F.when(text_or_empty(name) != "", problem)
+
+
+def organism_rollup(genes: DataFrame, genotypes: DataFrame) -> DataFrame:
+    """(draft, organism, role, strains, wild_types) of every organism of a draft.
+
+    ``genes``: draft, organism; ``genotypes``: draft, seq, name, organism, strain,
+    background, alleles, role (as metagenotypes use it, null if they do not).  A
+    use outranks the pathogen that a declared gene suggests; the last one counts,
+    of equal places the greater name.
+    Only wild types give strains; those without one are named instead.
+    """
+    cols = {c: text_or_empty(F.col(c)) for c in ("organism", "name", "strain")}
+    wild = ~is_mutant(F.col("alleles"), F.col("background"))
+    g = genotypes.select("draft", "seq", *[v.alias(k) for k, v in cols.items()], wild.alias("wild"), "role")
+    g = g.unionByName(genes.select("draft", F.lit(None).cast("long").alias("seq"), text_or_empty(F.col("organism")).alias("organism"), F.lit("").alias("name"), F.lit("").alias("strain"), F.lit(False).alias("wild"), F.lit(None).cast("string").alias("role")))
+    used = F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role")))["role"]
+    role = F.coalesce(used, F.when(F.bool_or(F.col("seq").isNull()), "pathogen"))
+    strains = F.array_sort(F.collect_set(F.when(F.col("wild") & (F.col("strain") != ""), F.col("strain"))))
+    unnamed = F.array_sort(F.collect_list(F.when(F.col("wild") & (F.col("strain") == "") & (F.col("name") != ""), F.col("name"))))
+    return g.where("organism <> ''").groupBy("draft", "organism").agg(role.alias("role"), strains.alias("strains"), unnamed.alias("wild_types"))
+
+
+def section_numbers(rows: DataFrame, order: str) -> DataFrame:
+    """(draft, type, n): sections that have rows, numbered without gaps in their fixed order."""
+    present = rows.groupBy("draft", "type").agg(F.min(order).alias("_at"))
+    return present.select("draft", "type", F.row_number().over(W.partitionBy("draft").orderBy("_at", "type")).alias("n"))

@@ -71,3 +71,43 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: str) ->
     every = table.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
     last = W.partitionBy(*keys).orderBy(F.desc("_new"), F.desc(order))
     return every.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_new")
+
+
+def with_citation(rows: DataFrame, articles: DataFrame) -> DataFrame:
+    """``rows`` (pmid, title, first_author, year) with what ``articles`` (pmid, title,
+    authors, pub_year) knows; where it knows nothing, their own stay."""
+    a = articles.groupBy("pmid").agg(F.min(F.struct(F.col("title").alias("t"), F.trim(F.coalesce("authors", F.lit(""))).alias("authors"), F.col("pub_year").cast("string").alias("y"))).alias("_a"))
+    out = rows.join(a, "pmid", "left")
+    first = F.nullif(F.regexp_extract("_a.authors", "^[^ ,]*", 0), F.lit(""))
+    known = F.col("_a").isNotNull()
+    return out.withColumns({"title": F.coalesce(F.nullif(F.col("_a.t"), F.lit("")), "title"), "first_author": F.coalesce(first, "first_author"), "year": F.when(known, F.trim(F.coalesce("_a.y", F.lit("")))).otherwise(F.col("year"))}).drop("_a")
+
+
+def set_status(articles: DataFrame, changes: DataFrame) -> DataFrame:
+    """``articles`` with the last status (article_id, status, seq) that a change names,
+    of equal places the greater name.
+    Changes to others, or to a status that does not exist, do nothing."""
+    last = changes.where(F.col("status").isin(*STATUSES)).groupBy("article_id").agg(F.max(F.struct("seq", "status"))["status"].alias("_to"))
+    return articles.join(last, "article_id", "left").withColumn("status", F.coalesce("_to", "status")).drop("_to").select(*articles.columns)
+
+
+def record_completion(articles: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Articles and sessions after completed curations.
+
+    ``articles``: article_id, pmid, note_path, title, status; ``done``: pmid,
+    note_path, title, and what a session records.  An article is found by pmid,
+    else note path, else title, and becomes curated.  Where none is found, one is
+    added for each paper; its id is a hash of the first of the three it has, so
+    that no counter passes through one task.  Every row of ``done`` is a session
+    with the article's id and whether it was created.
+    """
+    keys = ("pmid", "note_path", "title")
+    met = match_article(done, articles, list(keys))
+    name = F.coalesce(*[F.nullif(F.trim(k), F.lit("")) for k in keys])
+    met = met.withColumn("created", F.col("article_id").isNull())
+    # below every id that counts from 0
+    met = met.withColumn("article_id", F.coalesce("article_id", -1 - F.shiftrightunsigned(F.xxhash64(name), 1)))
+    fresh = met.where("created").groupBy("article_id").agg(*[F.min(k).alias(k) for k in keys]).withColumn("status", F.lit("curated"))
+    changed = met.where("not created").select("article_id", F.lit("curated").alias("status"), F.lit(0).alias("seq"))
+    after = set_status(articles, changed).unionByName(fresh, allowMissingColumns=True)
+    return after, met

@@ -95,6 +95,24 @@ def source_route(explicit: Column, file: Column) -> Column:
     return F.coalesce(named, F.try_element_at(pairs(ROUTE_SUFFIXES), F.lower(F.regexp_extract(file, r"\.[^./]+$", 0))))
 
 
+def figures_available(route: Column, inspected: Column) -> Column:
+    """Whether panels could be read: as recorded, else as the route usually has it."""
+    return F.coalesce(inspected, source_route(route, F.lit("")).isin("pdf", "jats-europepmc"), F.lit(False))
+
+
+def source_note(route: Column, file: Column, inspected: Column) -> Column:
+    """(label, evidence, warn) of what a draft was read from; null where nothing is recorded.
+
+    A route names its label; without one the file's name stands for it and the
+    evidence is not recorded.  What was inspected overrides what the route says.
+    """
+    name = F.nullif(F.regexp_extract(F.coalesce(file, F.lit("")), r"[^/]*$", 0), F.lit(""))
+    found = source_route(route, file)
+    label = F.when(found == "pdf", "PDF").when(found == "jats-publisher", "publisher JATS XML").when(found == "jats-europepmc", "Europe PMC JATS XML")
+    evidence = F.when(inspected, "inspected").when(~inspected, "captions only").when(found.isNull(), "not recorded").when(found == "jats-publisher", "captions only").otherwise("retrieved")
+    return F.when(label.isNotNull() | name.isNotNull(), F.struct(F.coalesce(label, name).alias("label"), evidence.alias("evidence"), evidence.isin("captions only", "not recorded").alias("warn")))
+
+
 def range_kind(c: Column) -> Column:
     """The kind of value a relation takes, by the head of its range."""
     head = strip(F.substring_index(c, "|", 1))
@@ -133,3 +151,14 @@ def near_codes(values: DataFrame, codes: DataFrame, least: int = 5, first: int =
     return values.join(lists, "type", "left").withColumn("suggestions", F.slice(F.coalesce(F.filter("codes", close), F.array().cast("array<string>")), 1, first)).drop("codes")
 
 
+
+
+def one_vocabulary(values: DataFrame, codes: DataFrame, unverified: Column | None = None) -> DataFrame:
+    """``values`` (type, value) with valid, did_you_mean (codes of the type that hold
+    the value, whatever the case) and warning, where the list is not the site's own."""
+    lists = codes.groupBy("type").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    out = values.join(lists, "type", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
+    valid = F.array_contains("codes", F.col("value"))
+    near = F.filter("codes", lambda c: F.lower(c).contains(F.lower("value")))
+    warning = F.when(F.lit(False) if unverified is None else unverified, "defaults only: unverified")
+    return out.withColumns({"valid": valid, "did_you_mean": F.when(~valid & (F.size(near) > 0), near), "warning": warning}).drop("codes")

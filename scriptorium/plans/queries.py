@@ -687,3 +687,157 @@ def only_new(spark, d):
     return catalog.only_new(table(spark, d, "orders").select("o_custkey"), known, "o_custkey").distinct()
 
 
+
+# ---- records -------------------------------------------------------------
+
+ROUTED = r"""g AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN ' JATS' WHEN 2 THEN 'pdf' WHEN 3 THEN 'europepmc' ELSE 'web' END AS given,
+  CASE page_id % 7 WHEN 0 THEN 'in/a.b.PDF' WHEN 1 THEN 'x.nxml' WHEN 2 THEN 'in/x.xml' WHEN 3 THEN 'in.pdf/notes' ELSE NULL END AS file,
+  CASE page_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS seen FROM pages),
+t AS (SELECT *, coalesce(CASE given WHEN ' JATS' THEN 'jats-publisher' WHEN 'pdf' THEN 'pdf' WHEN 'europepmc' THEN 'jats-europepmc' END,
+  CASE page_id % 7 WHEN 0 THEN 'pdf' WHEN 1 THEN 'jats-europepmc' WHEN 2 THEN 'jats-publisher' END) AS route FROM g)"""
+
+
+@query(f"""WITH {ROUTED} SELECT coalesce(CASE route WHEN 'pdf' THEN 'PDF' WHEN 'jats-publisher' THEN 'publisher JATS XML' WHEN 'jats-europepmc' THEN 'Europe PMC JATS XML' END, regexp_replace(file, '^.*/', '')) AS label,
+CASE WHEN route IS NULL AND file IS NULL THEN NULL WHEN seen THEN 'inspected' WHEN NOT seen THEN 'captions only' WHEN route IS NULL THEN 'not recorded' WHEN route = 'jats-publisher' THEN 'captions only' ELSE 'retrieved' END AS evidence,
+coalesce(seen, given IN ('pdf', 'europepmc')) AS figures, count(*) AS n FROM t GROUP BY 1, 2, 3""")
+def source_notes(spark, d):
+    n = F.col("page_id")
+    given = F.when(n % 5 == 0, "").when(n % 5 == 1, " JATS").when(n % 5 == 2, "pdf").when(n % 5 == 3, "europepmc").otherwise("web")
+    file = F.when(n % 7 == 0, "in/a.b.PDF").when(n % 7 == 1, "x.nxml").when(n % 7 == 2, "in/x.xml").when(n % 7 == 3, "in.pdf/notes")
+    seen = F.when(n % 3 == 0, True).when(n % 3 == 1, False)
+    rows = table(spark, d, "pages").select(validation.source_note(given, file, seen).alias("s"), validation.figures_available(given, seen).alias("figures"))
+    return rows.groupBy("s.label", "s.evidence", "figures").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH c AS (SELECT DISTINCT p_type AS type, p_brand AS code FROM part WHERE p_size < 25), v AS (SELECT DISTINCT p_type AS type, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE lower(substr(p_brand, 1, 7)) END AS value FROM part)
+SELECT v.type, value, coalesce(bool_or(code = value), false) AS valid, CASE WHEN coalesce(bool_or(code = value), false) THEN 0 ELSE count(CASE WHEN contains(lower(code), lower(value)) THEN 1 END) END AS n_near,
+CASE WHEN v.type = 'PROMO' THEN 'defaults only: unverified' END AS warning FROM v LEFT JOIN c ON v.type = c.type GROUP BY v.type, value""")
+def vocabulary_check(spark, d):
+    p = table(spark, d, "part")
+    value = F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.lower(F.substring("p_brand", 1, 7)))
+    codes = p.where("p_size < 25").select(F.col("p_type").alias("type"), F.col("p_brand").alias("code"))
+    out = validation.one_vocabulary(p.select(F.col("p_type").alias("type"), value.alias("value")).distinct(), codes, F.col("type") == "PROMO")
+    return out.select("type", "value", "valid", F.coalesce(F.size("did_you_mean"), F.lit(0)).cast("long").alias("n_near"), "warning")
+
+
+VOCABS = "b AS (SELECT DISTINCT p_type AS vocab, p_brand AS value FROM part), o AS (SELECT DISTINCT p_type AS vocab, p_name AS value FROM part WHERE p_size > 45 AND p_type <> 'PROMO' UNION SELECT p_type, p_brand FROM part WHERE p_size > 45 AND p_type <> 'PROMO')"
+
+
+def vocabularies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, d, "part").withColumnRenamed("p_type", "vocab")
+    named = p.where("p_size > 45 and vocab <> 'PROMO'")
+    pick = lambda x, c: x.select("vocab", F.col(c).alias("value"))
+    return pick(p, "p_brand").distinct(), pick(named, "p_name").unionByName(pick(named, "p_brand")).distinct()
+
+
+@query(f"WITH {VOCABS} SELECT vocab, value FROM o UNION ALL SELECT vocab, value FROM b WHERE vocab NOT IN (SELECT vocab FROM o)")
+def vocabulary_override(spark, d):
+    return catalog.overridden(*vocabularies(spark, d))
+
+
+@query(f"WITH {VOCABS} SELECT vocab, value, 'base_only' AS side FROM (SELECT * FROM b EXCEPT SELECT * FROM o) x UNION ALL SELECT vocab, value, 'override_only' FROM (SELECT * FROM o EXCEPT SELECT * FROM b) y")
+def vocabulary_divergence(spark, d):
+    return catalog.divergence(*vocabularies(spark, d), ["vocab", "value"])
+
+
+GENOTYPES = r"""gt AS (SELECT l_orderkey AS draft, l_linenumber AS seq, CASE WHEN l_partkey % 20 = 0 THEN '' ELSE 'g' || l_linenumber END AS name, 'org' || (l_suppkey % 2) AS organism,
+  CASE WHEN l_returnflag = 'A' THEN 'S' || (l_suppkey % 4) ELSE '' END AS strain, CASE WHEN l_partkey % 3 = 0 THEN 'bg' ELSE '' END AS background, l_linestatus = 'F' AS has_allele,
+  CASE l_partkey % 4 WHEN 0 THEN 'host' WHEN 1 THEN 'pathogen' END AS role FROM lineitem),
+k AS (SELECT *, has_allele OR background <> '' AS mutant FROM gt)"""
+
+
+def line_genotypes(spark: SparkSession, d: str) -> DataFrame:
+    line, part = table(spark, d, "lineitem"), F.col("l_partkey")
+    number = F.col("l_linenumber").cast("string")
+    return line.select(
+        F.col("l_orderkey").alias("draft"), F.col("l_linenumber").cast("long").alias("seq"), F.when(part % 20 == 0, " ").otherwise(F.concat(F.lit("g"), number)).alias("name"),
+        F.concat(F.lit("org"), (F.col("l_suppkey") % 2).cast("string")).alias("organism"), F.when(F.col("l_returnflag") == "A", F.concat(F.lit("S"), (F.col("l_suppkey") % 4).cast("string"))).alias("strain"),
+        F.when(part % 3 == 0, "bg").alias("background"), F.when(F.col("l_linestatus") == "F", F.array(F.lit("a1"))).otherwise(F.array(F.lit(" "))).alias("alleles"), F.when(part % 4 == 0, "host").when(part % 4 == 1, "pathogen").alias("role"),
+    )
+
+
+@query(f"""WITH {GENOTYPES} SELECT CASE WHEN name = '' THEN NULL WHEN strain <> '' AND background <> '' THEN 'both strain and background' WHEN mutant AND strain <> '' THEN 'mutant with a strain'
+WHEN mutant AND background = '' THEN 'mutant without background' WHEN NOT mutant AND strain = '' THEN 'wild type without strain' END AS problem, count(*) AS n FROM k GROUP BY 1""")
+def strain_lint(spark, d):
+    problem = drafts.strain_problem(*map(F.col, ("name", "strain", "background", "alleles")))
+    return line_genotypes(spark, d).groupBy(problem.alias("problem")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {GENOTYPES}, genes AS (SELECT o_orderkey AS draft, 'org0' AS organism FROM orders WHERE o_orderkey % 2 = 0),
+r AS (SELECT draft, organism, arg_max(role, 2 * seq + (role = 'pathogen')::INT) FILTER (role IS NOT NULL) AS used, count(DISTINCT CASE WHEN NOT mutant AND strain <> '' THEN strain END) AS n_strains, count(CASE WHEN NOT mutant AND strain = '' AND name <> '' THEN 1 END) AS n_wild FROM k GROUP BY draft, organism)
+SELECT coalesce(r.draft, genes.draft) AS draft, coalesce(r.organism, genes.organism) AS organism, coalesce(used, CASE WHEN genes.draft IS NOT NULL THEN 'pathogen' END) AS role, coalesce(n_strains, 0) AS n_strains, coalesce(n_wild, 0) AS n_wild
+FROM r FULL JOIN genes ON r.draft = genes.draft AND r.organism = genes.organism""")
+def organism_rollup(spark, d):
+    genes = table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("draft"), F.lit("org0").alias("organism"))
+    out = drafts.organism_rollup(genes, line_genotypes(spark, d))
+    return out.select("draft", "organism", "role", F.size("strains").cast("long").alias("n_strains"), F.size("wild_types").cast("long").alias("n_wild"))
+
+
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS draft, l_returnflag || l_linestatus AS type, CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS pos FROM lineitem)
+SELECT draft, type, row_number() OVER (PARTITION BY draft ORDER BY pos, type) AS n FROM p""")
+def section_numbers(spark, d):
+    at = F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("draft"), F.concat("l_returnflag", "l_linestatus").alias("type"), at.alias("at"))
+    return drafts.section_numbers(rows, "at").withColumn("n", F.col("n").cast("long"))
+
+
+@query("""SELECT o_orderkey AS draft, coalesce(CASE WHEN c_custkey % 4 <> 0 THEN c_name END, 'draft ' || o_orderstatus) AS title, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN split_part(c_mktsegment, ' ', 1) END, 'nobody') AS first_author,
+CASE WHEN c_custkey IS NULL THEN '1999' WHEN c_nationkey > 20 THEN '' ELSE CAST(c_nationkey AS VARCHAR) END AS year FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey""")
+def citation_enrich(spark, d):
+    c = table(spark, d, "customer").where("c_acctbal > 0")
+    known = c.select(F.col("c_custkey").alias("pmid"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).otherwise("").alias("title"), F.when(F.col("c_custkey") % 3 != 0, F.concat("c_mktsegment", F.lit(", B. and others"))).alias("authors"), F.when(F.col("c_nationkey") <= 20, F.col("c_nationkey")).alias("pub_year"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("draft"), F.col("o_custkey").alias("pmid"), F.concat(F.lit("draft "), "o_orderstatus").alias("title"), F.lit("nobody").alias("first_author"), F.lit("1999").alias("year"))
+    return tracking.with_citation(rows, known).drop("pmid")
+
+
+def _any(words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
+
+
+def _number(words: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"contains(low, '{w}')::INT" for w in words) + ")"
+
+
+@query(f"""WITH l AS (SELECT lower(text) AS low FROM conversations UNION ALL SELECT lower(text) FROM documents)
+SELECT {_number(catalog.DEVELOPMENT)} > {_number(catalog.CONTENT)} OR {_any(catalog.DECISIVE)} AS development, CASE {' '.join(f"WHEN {_any(w)} THEN '{k}'" for k, w in catalog.CATEGORIES)} ELSE 'System Enhancement' END AS category, count(*) AS n FROM l GROUP BY 1, 2""")
+def session_kinds(spark, d):
+    texts = table(spark, d, "conversations").select("text").unionByName(table(spark, d, "documents").select("text"))
+    return texts.select(catalog.session_kind(F.col("text")).alias("s")).groupBy("s.development", "s.category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH c AS (SELECT coalesce(source, '?') AS type, count(*) AS n FROM documents GROUP BY 1) SELECT type, n, row_number() OVER (ORDER BY n DESC, encode(type)) AS place FROM c")
+def mention_types(spark, d):
+    return catalog.counts_by_type(table(spark, d, "documents"), "source").withColumn("place", F.col("place").cast("long"))
+
+
+DONE = r"""art AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE '' END AS pmid, CASE WHEN o_orderkey % 3 = 1 THEN 'n' || o_custkey ELSE '' END AS note, 't' || o_orderkey AS title FROM orders),
+dn AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE CAST(c_custkey AS VARCHAR) END AS pmid, 'n' || c_custkey AS note, 't' || c_nationkey AS title FROM customer),
+m AS (SELECT k, coalesce((SELECT min(id) FROM art WHERE art.pmid = dn.pmid AND art.pmid <> ''), (SELECT min(id) FROM art WHERE art.note = dn.note AND art.note <> ''), (SELECT min(id) FROM art WHERE art.title = dn.title)) AS id FROM dn)"""
+
+
+def completed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    known = table(spark, d, "orders").select(k.alias("article_id"), F.when(k % 3 == 0, c).alias("pmid"), F.when(k % 3 == 1, F.concat(F.lit("n"), c)).alias("note_path"), F.concat(F.lit("t"), k.cast("string")).alias("title"), F.lit("queued").alias("status"))
+    who = F.col("c_custkey").cast("string")
+    done = table(spark, d, "customer").select(F.col("c_custkey").alias("session"), F.when(F.col("c_custkey") % 5 != 0, who).alias("pmid"), F.concat(F.lit("n"), who).alias("note_path"), F.concat(F.lit("t"), F.col("c_nationkey").cast("string")).alias("title"))
+    return tracking.record_completion(known, done)
+
+
+@query(f"WITH {DONE} SELECT CASE WHEN id IN (SELECT id FROM m WHERE id IS NOT NULL) THEN 'curated' ELSE 'queued' END AS status, false AS added, count(*) AS n FROM art GROUP BY 1 UNION ALL SELECT 'curated', true, count(*) FROM m WHERE id IS NULL HAVING count(*) > 0")
+def record_completion(spark, d):
+    after, _ = completed(spark, d)
+    return after.groupBy("status", (F.col("article_id") < 0).alias("added")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {DONE} SELECT k AS session, id AS article_id, id IS NULL AS created FROM m")
+def completion_sessions(spark, d):
+    _, done = completed(spark, d)
+    return done.select("session", F.when(~F.col("created"), F.col("article_id")).alias("article_id"), "created")
+
+
+@query("""WITH c AS (SELECT l_orderkey AS k, arg_max(CASE l_returnflag WHEN 'A' THEN 'reviewed' ELSE 'published' END, 2 * l_linenumber + (l_returnflag = 'A')::INT) AS s FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey)
+SELECT o_orderkey AS article_id, coalesce(s, 'queued') AS status FROM orders LEFT JOIN c ON o_orderkey = k""")
+def status_updates(spark, d):
+    flag = F.col("l_returnflag")
+    changes = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("article_id"), F.when(flag == "A", "reviewed").when(flag == "R", "no such status").otherwise("published").alias("status"), F.col("l_linenumber").alias("seq"))
+    return tracking.set_status(table(spark, d, "orders").select(F.col("o_orderkey").alias("article_id"), F.lit("queued").alias("status")), changes)
