@@ -8,6 +8,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from scriptorium.functions.identifiers import extract_ids
+from scriptorium.functions.text import locus_tags
+
 
 def page_offsets(pages: DataFrame) -> DataFrame:
     """``pages`` (doc, page, text) with start: where it begins in the joined text."""
@@ -121,3 +124,28 @@ def graphics_audit(references: DataFrame, files: DataFrame) -> DataFrame:
     """References (doc, href) with the number of files (doc, path) of their stem."""
     have = files.groupBy("doc", stem(F.col("path")).alias("stem")).agg(F.count(F.lit(1)).alias("n_files"))
     return references.withColumn("stem", stem(F.col("href"))).join(have, ["doc", "stem"], "left").fillna(0, ["n_files"])
+
+
+def interaction_entries(text: Column) -> Column:
+    """Bullets with text, no {{placeholder}}, below headings that name interactions;
+    a fold over a note's lines within its row."""
+    start = F.struct(F.lit(False).alias("inside"), F.lit(0).cast("long").alias("n"))
+
+    def step(acc: Column, line: Column) -> Column:
+        heading = line.rlike(r"^#{1,6}\s")
+        entry = line.rlike(r"^\s*[-*]\s+\S") & ~line.rlike(r"^\s*[-*]\s+\{\{.*\}\}\s*$")
+        inside = F.when(heading, line.rlike(r"(?i)^#{1,6}\s+.*interaction")).otherwise(acc.inside)
+        return F.struct(inside.alias("inside"), (acc.n + F.when(~heading & acc.inside & entry, 1).otherwise(0)).cast("long").alias("n"))
+
+    return F.aggregate(F.split(F.coalesce(text, F.lit("")), r"\R"), start, step, lambda acc: acc.n)
+
+
+def completion_counts(notes: DataFrame) -> DataFrame:
+    """``notes`` (text) with the distinct accessions, locus tags and terms that stand
+    in them, proteins (accessions and tags) and interactions; 0 for a null text."""
+    text = F.coalesce("text", F.lit(""))
+    ids = F.array_distinct(F.transform(extract_ids(text), F.upper))
+    accessions = F.array_distinct(F.transform(F.filter(ids, lambda x: x.startswith("UNIPROT")), lambda x: F.substring_index(x, ":", -1)))
+    n = lambda c: F.size(c).cast("long")
+    out = notes.withColumns({"accessions": n(accessions), "locus_tags": n(locus_tags(text)), "terms": n(F.filter(ids, lambda x: ~x.startswith("UNIPROT"))), "interactions": interaction_entries(F.col("text"))})
+    return out.withColumn("proteins", F.col("accessions") + F.col("locus_tags"))

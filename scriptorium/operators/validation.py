@@ -95,6 +95,11 @@ def source_route(explicit: Column, file: Column) -> Column:
     return F.coalesce(named, F.try_element_at(pairs(ROUTE_SUFFIXES), F.lower(F.regexp_extract(file, r"\.[^./]+$", 0))))
 
 
+def reported_route(route: Column, pmcid: Column, graphics: Column) -> Column:
+    """The route after conversion: a paper with a PMC id whose graphics came with it is full text."""
+    return F.when((F.coalesce(pmcid, F.lit("")) != "") & (F.coalesce(graphics, F.lit(0)) > 0), "jats-europepmc").otherwise(route)
+
+
 def figures_available(route: Column, inspected: Column) -> Column:
     """Whether panels could be read: as recorded, else as the route usually has it."""
     return F.coalesce(inspected, source_route(route, F.lit("")).isin("pdf", "jats-europepmc"), F.lit(False))

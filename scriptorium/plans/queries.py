@@ -841,3 +841,27 @@ def status_updates(spark, d):
     flag = F.col("l_returnflag")
     changes = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("article_id"), F.when(flag == "A", "reviewed").when(flag == "R", "no such status").otherwise("published").alias("status"), F.col("l_linenumber").alias("seq"))
     return tracking.set_status(table(spark, d, "orders").select(F.col("o_orderkey").alias("article_id"), F.lit("queued").alias("status")), changes)
+
+
+NOTES = r"""l AS (SELECT conv_id AS doc, turn, role, coalesce(max(CASE WHEN turn % 4 = 0 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS head FROM conversations)"""
+
+
+@query(f"""WITH {NOTES} SELECT doc, sum((turn % 4 = 1 AND role = 'user' AND head >= 0 AND (doc + head // 4) % 2 = 0)::INT)::BIGINT AS interactions,
+count(DISTINCT CASE WHEN turn % 4 = 3 THEN doc % 3 END) AS accessions, count(CASE WHEN turn % 4 = 3 THEN 1 END) AS locus_tags, count(CASE WHEN turn % 4 = 3 THEN 1 END) AS terms,
+count(DISTINCT CASE WHEN turn % 4 = 3 THEN doc % 3 END) + count(CASE WHEN turn % 4 = 3 THEN 1 END) AS proteins FROM l GROUP BY doc""")
+def completion_counts(spark, d):
+    """Notes put together of a conversation's turns: headings, bullets, placeholders, identifiers."""
+    t, doc = F.col("turn"), F.col("conv_id")
+    heading = F.when((doc + F.floor(t / 4)) % 2 == 0, "## Host interactions").otherwise("## Methods")
+    said = F.concat(F.lit("see go:000000"), t.cast("string"), F.lit(", UniProt:P0000"), (doc % 3).cast("string"), F.lit(" and UniProtKB:p0000"), (doc % 3).cast("string"), F.lit(", AB_100"), t.cast("string"))
+    line = F.when(t % 4 == 0, heading).when(t % 4 == 1, F.when(F.col("role") == "user", "- A binds B").otherwise("- ")).when(t % 4 == 2, " * {{todo}} ").otherwise(said)
+    notes = table(spark, d, "conversations").groupBy(doc.alias("doc")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(t, line.alias("line")))), lambda x: x.line), "\n").alias("text"))
+    return documents.completion_counts(notes).drop("text")
+
+
+@query(r"""SELECT CASE WHEN page_id % 4 <> 0 AND page_id % 3 > 0 THEN 'jats-europepmc' WHEN page_id % 2 = 0 THEN 'jats-publisher' ELSE 'pdf' END AS route, count(*) AS n FROM pages GROUP BY 1""")
+def reported_routes(spark, d):
+    n = F.col("page_id")
+    given = validation.source_route(F.lit(None).cast("string"), F.when(n % 2 == 0, "a/b.xml").otherwise("c.pdf"))
+    pmcid = F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("PMC"), n.cast("string")))
+    return table(spark, d, "pages").groupBy(validation.reported_route(given, pmcid, F.nullif(n % 3, F.lit(0))).alias("route")).agg(F.count(F.lit(1)).alias("n"))
