@@ -29,25 +29,61 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where
-    the session names none, as in tests, a folder of its own."""
+    """The folder that driver and executors share (spark.checkpoint.dir).  Only a
+    local session may do without: it gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+class Scratch:
+    """The tables that an operator writes on its way.
+
+    ``put`` writes a DataFrame as Parquet to the shared folder and reads it
+    again: lineage is cut, and losing an executor loses nothing.  ``drop`` deletes
+    tables that nothing reads any more.  At the end of the ``with`` block all are
+    deleted but those that were kept, which go when the session ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def _path(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def put(self, df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{self.spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        where, files = self._path(path)
+        files.deleteOnExit(where)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        if not keep:
+            self.tables.append((table, path))
+        return table
+
+    def drop(self, *gone: DataFrame) -> None:
+        for path in [p for t, p in self.tables if any(t is g for g in gone)]:
+            where, files = self._path(path)
+            files.delete(where, True)
+            files.cancelDeleteOnExit(where)
+        self.tables = [(t, p) for t, p in self.tables if not any(t is g for g in gone)]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[t for t, _ in self.tables])
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: lineage is
-    cut, and losing an executor loses nothing.  Removed when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    """A table that stays until the session ends."""
+    return Scratch(df.sparkSession).put(df, label, keep=True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -65,15 +101,14 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int,
         yield i, col[i].as_py() or ""
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of a batch holding about ``limit`` bytes of text; a
-    longer text comes alone."""
-    col = batch.column(column)
-    if not len(col):
+def slices(batch: pa.RecordBatch, *columns: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch holding about ``limit`` bytes in ``columns``
+    (text by default); a longer row comes alone."""
+    if not batch.num_rows:
         return
-    size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+    size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns or ("text",))
     part = (np.cumsum(size) - size) // limit
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(col)]])
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]])
     for a, b in zip(starts[:-1], starts[1:]):
         yield batch.slice(int(a), int(b - a))
 

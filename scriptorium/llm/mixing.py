@@ -3,10 +3,13 @@
 Each source's target is a share of the whole, capped at a multiple of its size.
 Whole repeats of a source are taken outright; what its target has beyond them
 is measured in blocks of equally many words.  All blocks of the mix are seats:
-sources receive them by highest quotients target / (2 * seats + 1), then each
-source's seats are dealt to its shards in the same way, which gives an integer
-quota per shard.  Within a shard documents stand in a seeded order, cut into
-blocks, and the quota is taken from the front.
+sources receive them by highest quotients target / (2 * seats + 1).  The words of
+a source's blocks are then dealt to its shards in the same way, which gives an
+integer quota per shard, and within a shard documents stand in a seeded order, of
+which the quota is taken from the front.
+
+Where units are many they are apportioned in two steps, groups of TOGETHER units
+first, so no task holds all sources of a mix or all shards of a source.
 """
 
 from __future__ import annotations
@@ -15,11 +18,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from scriptorium.llm.common import materialize
+from scriptorium.llm.common import Scratch, partitions
 
-#: Documents a shard holds on average, the greatest number of blocks a mix is
-#: cut into, and how often a document may be repeated.
-SHARD_DOCS, MAX_BLOCKS, REPEATS = 2_000, 1_000_000, 3
+#: Documents a shard holds on average, units that are apportioned together, the
+#: number of blocks a small mix is cut into at most, the most words of a block,
+#: and how often a document may be repeated.
+SHARD_DOCS, TOGETHER, MAX_BLOCKS, BLOCK, REPEATS = 2_000, 1_000, 1_000_000, 64, 3
 
 
 def words(text: Column) -> Column:
@@ -27,24 +31,40 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def capped_targets(sources: DataFrame, weights: Sequence[float], repeats: int = REPEATS) -> DataFrame:
-    """``sources`` (source, source_size, one row each) with ``target``.
+def numbered(df: DataFrame, order: Sequence[Column], out: str, scratch: Scratch) -> DataFrame:
+    """``df`` with ``out``: each row's number from 0 in a total order, in two
+    levels: ranges of the order, then rows within their range."""
+    spark = df.sparkSession
+    ranged = scratch.put(df.repartitionByRange(partitions(spark), *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    rows = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # a row per shuffle partition: a proven bound
+    ahead = F.broadcast(rows.select("_range", before.alias("_ahead")))
+    number = F.col("_ahead") + F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.join(ahead, "_range").withColumn(out, number).drop("_range", "_ahead")
+
+
+def capped_targets(sources: DataFrame, weights: Sequence[float], scratch: Scratch, repeats: int = REPEATS) -> DataFrame:
+    """``sources`` (source, source_size, one row each) with ``number`` and ``target``.
 
     Weights repeat over the sources in code-point order, null last.  With s the
     total size, the targets are min(level * weight, repeats * size) at the level
-    at which they add up to s: sources sorted by repeats * size / weight reach
-    their cap one after the other, so a running sum finds the level.
+    at which they add up to s.  It is found from below: sources above their cap at
+    one level leave a higher level to the others, until no further one is.
     """
     listed = F.array(*[F.lit(float(w)) for w in weights])
-    order = W.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
-    w = sources.withColumn("weight", F.element_at(listed, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
-    w = w.withColumn("cap", F.col("source_size") * repeats).withColumn("total", F.sum("source_size").over(W.partitionBy()))
-    up = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before, behind = up.rowsBetween(W.unboundedPreceding, -1), up.rowsBetween(0, W.unboundedFollowing)
-    w = w.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(behind))
-    # the level of the first source that does not reach its cap is right, and those after it are lower
-    w = w.withColumn("level", F.max(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))).over(W.partitionBy()))
-    return w.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
+    w = numbered(sources, [F.col("source").isNull(), F.encode("source", "utf-8")], "number", scratch)
+    w = w.withColumn("weight", F.element_at(listed, (F.col("number") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * repeats)
+    w = scratch.put(w, "sources")
+    total, free = w.agg(F.sum("source_size"), F.sum("weight")).first()
+    level, before = (total / free if total else 0.0), 0
+    while total:
+        over = F.col("cap") < level * F.col("weight")
+        n, capped, free = w.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0)), F.sum(F.when(~over, F.col("weight")))).first()
+        if n == before or not free:
+            break
+        level, before = (total - capped) / free, n
+    return w.withColumn("target", F.least(F.col("cap").cast("double"), F.lit(float(level)) * F.col("weight"))).drop("weight", "cap")
 
 
 def sainte_lague(units: DataFrame, group: Sequence[str], unit: Sequence[str], weight: str, seats: str, out: str) -> DataFrame:
@@ -73,38 +93,54 @@ def sainte_lague(units: DataFrame, group: Sequence[str], unit: Sequence[str], we
     return u.alias("u").join(extra.alias("x"), on, "left").select(*[f"u.{c}" for c in units.columns], (F.col("u._sure") + F.coalesce("x._extra", F.lit(0))).alias(out))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeats: int = REPEATS, seed: int = 17, share: float = 1.0) -> DataFrame:
+def in_groups(units: DataFrame, group: Sequence[str], part: str, unit: str, weight: str, seats: str, out: str, scratch: Scratch) -> DataFrame:
+    """``units`` with ``out``: seats of each ``group`` dealt to its parts by their
+    weights, then those of a part to its units."""
+    parts = units.groupBy(*group, part).agg(F.sum(weight).alias("_weight"), F.first(seats).alias("_seats"))
+    parts = scratch.put(sainte_lague(parts, group, [part], "_weight", "_seats", "_part_seats"), "parts")
+    keys = [*group, part]
+    on = F.col(f"u.{keys[0]}").eqNullSafe(F.col(f"p.{keys[0]}"))
+    for k in keys[1:]:
+        on = on & F.col(f"u.{k}").eqNullSafe(F.col(f"p.{k}"))
+    joined = units.alias("u").join(parts.alias("p"), on).select("u.*", "p._part_seats")
+    return sainte_lague(joined, keys, [unit], weight, "_part_seats", out).drop("_part_seats")
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeats: int = REPEATS, seed: int = 17, share: float = 1.0, block: int | None = None) -> DataFrame:
     """Per row: doc_id, size, source_size, target (its source's), taken (words the
     mix takes of it, repeats counted), source.
 
     A null text has size 0; a null source is a source of its own, the last; rows
-    that are equal are told apart by nothing and may be taken alike; an empty
-    table gives an empty mix; other columns are ignored.  No document is taken
-    more than ``repeats`` times.
+    that are equal are told apart by nothing and may be taken alike; a text of any
+    length is counted whole, and may be taken in part; an empty table gives an
+    empty mix; other columns are ignored.  No document is taken more than
+    ``repeats`` times.  ``block``: words of a block, by default a millionth of the
+    mix, 64 at most.
     """
-    sized = materialize(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
-    # salted by document first, so that a source with a third of all rows is summed in many places
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    targets = capped_targets(sources.select("source", "source_size"), weights, repeats).withColumn("target", F.col("target") * share)
-    plan = targets.alias("t").join(sources.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source"))).select(
-        "t.source", "t.source_size", "t.target", F.greatest(F.lit(1), F.ceil(F.col("s.n_docs") / SHARD_DOCS)).cast("long").alias("n_shards")
-    )
-    ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    # a hair below a whole number of repeats counts as that number
-    plan = plan.withColumn("whole", F.floor(ratio + 1e-9)).withColumn("part", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    one = W.partitionBy()
-    plan = plan.withColumn("block", F.greatest(F.lit(1), F.floor(F.sum("target").over(one) / MAX_BLOCKS)).cast("long"))
-    plan = plan.withColumn("seats", F.round(F.sum("part").over(one) / F.col("block")).cast("long")).withColumn("mix", F.lit(0))
-    plan = materialize(sainte_lague(plan, ["mix"], ["source"], "part", "seats", "source_seats").drop("mix", "seats"), "mix-plan")
-
-    # the plan has a row per source; Spark broadcasts it by its size or else shuffles, splitting hot sources
-    at = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", "p.source_size", "p.target", "p.whole", "p.block", "p.source_seats", "p.n_shards")
-    draw = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    at = at.withColumns({"draw": draw, "shard": F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("n_shards"))})
-    shards = at.groupBy("source", "shard").agg(F.sum("size").cast("double").alias("shard_size"), F.first("source_seats").alias("source_seats"))
-    quota = sainte_lague(shards, ["source"], ["shard"], "shard_size", "source_seats", "quota").select("source", "shard", "quota")
+    with Scratch(docs.sparkSession) as scratch:
+        sized = scratch.put(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes", keep=True)
+        sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+        plan = capped_targets(sources, weights, scratch, repeats).withColumn("target", F.col("target") * share)
+        plan = plan.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / SHARD_DOCS)).cast("long"))
+        ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+        # a hair below a whole number of repeats counts as that number
+        plan = plan.withColumn("whole", F.floor(ratio + 1e-9)).withColumn("part", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
+        target, part = plan.agg(F.sum("target"), F.sum("part")).first()
+        block = block or max(1, min(BLOCK, int((target or 0) // MAX_BLOCKS)))
+        plan = plan.withColumns({"mix": F.lit(0), "seats": F.lit(round((part or 0) / block)).cast("long"), "group": F.floor(F.col("number") / TOGETHER)})
+        plan = in_groups(plan, ["mix"], "group", "source", "part", "seats", "source_seats", scratch)
+        plan = scratch.put(plan.withColumn("source_words", F.col("source_seats") * block).drop("mix", "seats", "group", "number"), "mix-plan", keep=True)
+
+        # the plan has a row per source; Spark broadcasts it by its size or else shuffles, splitting hot sources
+        at = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", "p.source_size", "p.target", "p.whole", "p.source_words", "p.n_shards")
+        draw = F.xxhash64(F.col("doc_id"), F.lit(seed))
+        at = at.withColumns({"draw": draw, "shard": F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("n_shards"))})
+        shards = at.groupBy("source", "shard").agg(F.sum("size").cast("double").alias("shard_size"), F.first("source_words").alias("source_words"))
+        shards = scratch.put(shards.withColumn("group", F.floor(F.col("shard") / TOGETHER)), "shards")
+        quota = in_groups(shards, ["source"], "group", "shard", "shard_size", "source_words", "quota", scratch).select("source", "shard", "quota")
+        quota = scratch.put(quota, "quotas", keep=True)
     at = at.alias("d").join(quota.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard"))).select("d.*", "q.quota")
     ahead = W.partitionBy("source", "shard").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    drawn = F.col("quota") * F.col("block") - F.coalesce(F.sum("size").over(ahead), F.lit(0))
+    drawn = F.col("quota") - F.coalesce(F.sum("size").over(ahead), F.lit(0))
     taken = F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), drawn))
     return at.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from scriptorium.llm.common import RollingHash, joined_bytes, map_batches, materialize, mix, slices, word_bounds
+from scriptorium.llm.common import RollingHash, Scratch, joined_bytes, map_batches, mix, slices, word_bounds
 from scriptorium.llm.components import connected_components
 
 #: Registers, the scale's base, the rate of the exponential values, the highest
@@ -189,7 +189,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             return [out[i] for i in ids]
 
         for batch in batches:
-            for b in slices(batch, "t_a"):
+            for b in slices(batch, "t_a", "t_b"):
                 left, right = sets(b, "a"), sets(b, "b")
                 keep = []
                 for x, y in zip(left, right):
@@ -201,15 +201,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return map_batches(both, run, "a long, b long")
 
 
-def prefix_pairs(open_: DataFrame, words: int, percent: int) -> DataFrame:
+def prefix_pairs(open_: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """All pairs (a, b) of different parts that may reach the threshold, from
     rows (id, part, text).
 
-    Two sets that do share one of the rarest n - ceil(threshold * n) + 1
-    elements of either, whatever fixed order ranks the elements; n is a set's
-    size.  By frequency, a copy's own changes come first and what all copies
-    have in common last, so a large group that holds together otherwise makes
-    no pairs.
+    Let t be the threshold, a the smaller set and b the larger one (of equal sizes
+    the smaller id first), and rank elements by frequency, the rarest first.  Two
+    sets within t have at least 2t / (1 + t) * |a| and at least t * |b| elements
+    in common, so they share one of the first |a| - ceil(2t / (1 + t) |a|) + 1 of
+    a and of the first |b| - ceil(t |b|) + 1 of b.  A copy's own changes are rare
+    and come first: copies of one text that differ by more than the threshold
+    allows fill the smaller set's part with them and do not meet, however many
+    they are, while those that differ by less are of one part already.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,16 +224,20 @@ def prefix_pairs(open_: DataFrame, words: int, percent: int) -> DataFrame:
                     spread = pa.array(np.repeat(np.arange(len(n)), n))
                     yield pa.RecordBatch.from_arrays([b.column("id").take(spread), b.column("part").take(spread), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "part", "n", "s"])
 
-    rows = materialize(map_batches(open_.select("id", "part", "text"), run, "id long, part long, n long, s long"), "shingles")
+    rows = scratch.put(map_batches(open_.select("id", "part", "text"), run, "id long, part long, n long, s long"), "shingles")
     often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
     rank = F.row_number().over(W.partitionBy("id").orderBy("df", "s"))
-    ahead = rows.join(often, "s").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1)
+    n = F.col("n")
+    ahead = rows.join(often, "s").withColumn("rank", rank).where(F.col("rank") <= n - F.ceil(n * percent / 100 - 1e-9) + 1)
+    ahead = scratch.put(ahead, "prefixes")
     side = lambda x: ahead.select("s", F.col("id").alias(x), F.col("part").alias(f"p_{x}"), F.col("n").alias(f"n_{x}"), F.col("rank").alias(f"r_{x}"))
-    fits = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    few = side("a").where(F.col("r_a") <= F.col("n_a") - F.ceil(F.col("n_a") * (2 * percent) / (100 + percent) - 1e-9) + 1)
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     # from the first element they share on, they can share no more than either has left
     most = 1 + F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b"))
-    fits = fits & (most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
-    return side("a").join(side("b"), "s").where((F.col("a") < F.col("b")) & (F.col("p_a") != F.col("p_b")) & fits).select("a", "b").distinct()
+    fits = (100 * F.col("n_a") >= percent * F.col("n_b")) & (most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
+    met = few.join(side("b"), "s").where(smaller & (F.col("p_a") != F.col("p_b")) & fits)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -240,40 +247,48 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     component is named by its smallest doc_id.  A null, empty or blank text is
     linked with nothing; rows with a null doc_id are linked with nothing and
     kept, their component null; rows that share a doc_id are one document, each
-    with a row of its own; an empty table gives none; other columns are ignored.
+    with a row of its own; texts of any length take part whole, a few at a time;
+    an empty table gives none; other columns are ignored.
     """
     threshold = percent / 100
-    all_ = materialize(sketches(docs, words), "sketches")
-    linked = all_.where("doc_id is not null and fingerprint is not null")
-    classes = linked.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("c"))
-    classes = materialize(classes.select(F.col("c.doc_id").alias("id"), "c.n_shingles", "c.registers", "fingerprint"), "classes")
-    members = linked.select("doc_id", "fingerprint").join(classes.select("id", "fingerprint"), "fingerprint").select("doc_id", "id").distinct()
-
-    # a set within the threshold of another, different set has this many elements at least
-    least = int(np.ceil(threshold / (1 - threshold) - 1e-9)) if percent < 100 else 1
-    bands = materialize(band_rows(classes.where(F.col("n_shingles") >= least)), "bands")
-    groups = materialize(bands.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"), "groups")
-    met = materialize(bands.join(groups, "key").select("key", "id", "low", "high"), "met")
-
-    first = met.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
-    first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = materialize(likely(first, classes, threshold), "pairs")
-    # texts of classes that met any other, once; later joins move these only
-    wanted = met.select("id").distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").dropDuplicates(["id"])
-    texts = materialize(texts, "texts")
-    edges = materialize(confirmed(first, texts, words, percent), "links")
-
-    part = connected_components(edges)
-    part = materialize(met.select("key", "id").join(part, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part")), "parts")
-    split = part.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key")
-    open_ = materialize(part.join(split, "key").select("id", "part").distinct().join(texts, "id"), "open")
-    rest = prefix_pairs(open_, words, percent).join(first, ["a", "b"], "left_anti")
-    rest = materialize(likely(rest, classes, threshold), "pairs")
-    more = materialize(confirmed(rest, texts, words, percent), "links")
-
-    ends = edges.unionByName(more).unionByName(members.select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
-    found = connected_components(ends)
-    out = all_.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    with Scratch(docs.sparkSession) as scratch:
+        put, drop = scratch.put, scratch.drop
+        all_ = put(sketches(docs, words), "sketches")
+        linked = all_.where("doc_id is not null and fingerprint is not null")
+        classes = linked.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("c"))
+        classes = put(classes.select(F.col("c.doc_id").alias("id"), "c.n_shingles", "c.registers", "fingerprint"), "classes")
+        members = all_.select("doc_id", "n_shingles", "fingerprint").join(classes.select("id", "fingerprint"), "fingerprint", "left")
+        members = put(members.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("id")).alias("id")), "members")
+        drop(all_)
+
+        # a set within the threshold of another, different set has this many elements at least
+        least = int(np.ceil(threshold / (1 - threshold) - 1e-9)) if percent < 100 else 1
+        bands = put(band_rows(classes.where(F.col("n_shingles") >= least)), "bands")
+        groups = put(bands.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"), "groups")
+        met = put(bands.join(groups, "key").select("key", "id", "low", "high"), "met")
+        drop(bands, groups)
+
+        first = met.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
+        first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        first = put(likely(first, classes, threshold), "pairs")
+        # texts of classes that met any other, once; later joins move these only
+        wanted = met.select("id").distinct()
+        texts = put(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").dropDuplicates(["id"]), "texts")
+        edges = put(confirmed(first, texts, words, percent), "links")
+
+        part = connected_components(edges, scratch)
+        parts = put(met.select("key", "id").join(part, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part")), "parts")
+        drop(part, met)
+        split = parts.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key")
+        open_ = parts.join(split, "key").select("id", "part").distinct().join(texts, "id")
+        rest = prefix_pairs(open_, words, percent, scratch).join(first, ["a", "b"], "left_anti")
+        rest = put(likely(rest, classes, threshold), "more-pairs")
+        drop(parts, classes, first)
+        more = put(confirmed(rest, texts, words, percent), "links")
+        drop(texts, rest)
+
+        same = members.where("id is not null").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
+        found = connected_components(edges.unionByName(more).unionByName(same), scratch)
+        out = members.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        return put(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates", keep=True)

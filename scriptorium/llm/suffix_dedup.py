@@ -1,7 +1,7 @@
 """Suffix-array dedup by a run-length index.
 
 Every byte goes that is covered by a string of ``length`` bytes which also
-starts in a document with a smaller doc_id.  The result is exact.
+starts in a document with a smaller doc_id.
 
 Each string (window) of that length is dealt by content: its minimizer, the
 k-gram of least hash in it, is the same wherever the window occurs.  The windows
@@ -10,15 +10,21 @@ bytes that they cover are its context.  So all occurrences of a window meet in
 the group of its minimizer, and a group holds short contexts only.
 
 1. Minimizers are found in the scan's tasks and shuffled as packed columns: the
-   minimizer, a hash of its whole context, document and place.
+   minimizer, a 64-bit hash of its whole context, document and place.
 2. Groups of one document need nothing more.  A context that an earlier document
-   has too is covered as a whole.  What is left are contexts that differ from
-   all earlier ones of their group, next to a change as a rule.
+   has too (the same hash) is covered as a whole.  What is left are contexts that
+   differ from all earlier ones of their group, next to a change as a rule.
 3. Only these contexts are cut from the texts.  For each share of the groups a
    run-length index is built of those that can be matched, the others are
    streamed through it for their matching statistics, and windows whose match is
    long enough and starts in an earlier document are marked.
-4. Marked stretches meet their documents and are cut out.
+4. Groups of very many contexts are dealt again by the bytes next to the
+   minimizer: a context is cut where the minimizer's place within the window
+   passes a multiple of ``STEP``, all windows of a piece have ``length - STEP + 1``
+   bytes in common, and these name its group.  Equal pieces are counted once,
+   map-side, then go through an index as well, and what it finds returns to all
+   documents that have the piece by an equi-join.
+5. Marked stretches meet their documents and are cut out.
 
 Copies of a whole text are known by its digest: they lose everything, and a
 task takes the minimizers of such a text once.
@@ -27,30 +33,32 @@ task takes the minimizers of such a text once.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scriptorium.llm.common import RollingHash, joined_bytes, map_batches, materialize, partitions, slices
+from scriptorium.llm.common import RollingHash, Scratch, joined_bytes, map_batches, partitions, slices
 from scriptorium.llm.run_index import RunIndex
 
 LENGTH, GRAM = 50, 20
 #: Minimizers a task gathers before it hands them on, and the number of groups
 #: shares per shuffle partition.
 FLUSH, SHARES = 2_000_000, 4
-#: Distinct contexts from which a group is too large for one index; its windows
-#: are then compared by a shuffle of their own.
-HOT = 20_000
+#: Distinct contexts above which a group is dealt again, and places of the
+#: minimizer that a piece of a context spans.
+HOT, STEP = 500, 4
 
 
 def minimizers(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(minimizer hash, context hash, text number, first window, windows) of all
-    runs of windows that share a minimizer, over joined texts."""
+    """(minimizer hash, context hash, text number, first window, windows, place of
+    the minimizer after the first window's start) of all runs of windows that share
+    a minimizer, over joined texts."""
+    none = (*(np.zeros(0, np.uint64) for _ in range(2)), *(np.zeros(0, np.int64) for _ in range(4)))
     if len(data) < length:
-        return (*(np.zeros(0, np.uint64) for _ in range(2)), *(np.zeros(0, np.int64) for _ in range(3)))
+        return none
     rolling = RollingHash(data)
     start = np.arange(len(data) - gram + 1)
     h = rolling.of(start, start + gram)
@@ -66,14 +74,14 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram
     text = np.repeat(np.arange(len(n)), n)[: len(place)]
     window = np.flatnonzero(np.arange(len(place)) + length <= offsets[text + 1])
     if not len(window):
-        return (*(np.zeros(0, np.uint64) for _ in range(2)), *(np.zeros(0, np.int64) for _ in range(3)))
+        return none
     place, text = place[window], text[window]
     head = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
     count = np.diff(np.append(head, len(window)))
     first, place, text = window[head], place[head], text[head]
     context = rolling.of(first, first + count - 1 + length)
     context = context * np.uint64(0x2545F4914F6CDD1D) + (place - first).astype(np.uint64)
-    return h[place], context, text, first - offsets[text], count
+    return h[place], context, text, first - offsets[text], count, place - first
 
 
 def _low(x: np.ndarray, n: int) -> bytes:
@@ -87,8 +95,10 @@ def _high(raw: bytes, n: int, count: int) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-#: (column, bytes) of a packed block; 40 bits of each hash beside the share's own.
-PLANES = (("x", 5), ("c", 5), ("doc", 4), ("at", 5), ("n", 1))
+#: (column, bytes) of a packed block; 40 bits of the minimizer's hash beside the share's own.
+PLANES = (("x", 5), ("c", 8), ("doc", 4), ("at", 5), ("n", 2), ("p", 2))
+#: Windows that a run can have at most.
+LONGEST = (1 << 16) - 1
 
 
 def packed_minimizers(docs: DataFrame, shares: int, length: int, gram: int) -> DataFrame:
@@ -99,7 +109,7 @@ def packed_minimizers(docs: DataFrame, shares: int, length: int, gram: int) -> D
         held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, c, ids, at, n = (np.concatenate(x) for x in zip(*held))
+            h, c, ids, at, n, p = (np.concatenate(x) for x in zip(*held))
             held.clear()
             share = (h % np.uint64(shares)).astype(np.int64)
             order = np.argsort(share, kind="stable")
@@ -107,7 +117,7 @@ def packed_minimizers(docs: DataFrame, shares: int, length: int, gram: int) -> D
             for s in np.flatnonzero(np.diff(cuts)):
                 o = order[cuts[s] : cuts[s + 1]]
                 known, doc = np.unique(ids[o], return_inverse=True)
-                cols = {"x": h[o] >> np.uint64(24), "c": c[o] >> np.uint64(24), "doc": doc, "at": at[o], "n": n[o]}
+                cols = {"x": h[o] >> np.uint64(24), "c": c[o], "doc": doc, "at": at[o], "n": n[o], "p": p[o]}
                 block = b"".join(_low(cols[k], w) for k, w in PLANES)
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([known.astype("<i8").tobytes()], pa.binary()), pa.array([block], pa.binary())], names=["share", "ids", "block"])
 
@@ -128,8 +138,8 @@ def packed_minimizers(docs: DataFrame, shares: int, length: int, gram: int) -> D
                     seen.clear()
                 if fresh:
                     b = b.take(pa.array(fresh))
-                    h, c, text, at, n = minimizers(*joined_bytes(b), length, gram)
-                    held.append((h, c, ids[fresh][text], at, n))
+                    h, c, text, at, n, p = minimizers(*joined_bytes(b), length, gram)
+                    held.append((h, c, ids[fresh][text], at, n, p))
                     size += len(h)
                 if size > FLUSH:
                     yield from flush()
@@ -140,14 +150,14 @@ def packed_minimizers(docs: DataFrame, shares: int, length: int, gram: int) -> D
     return map_batches(docs.where("doc_id is not null and text is not null").select("doc_id", "text"), run, "share long, ids binary, block binary")
 
 
-FOUND = "doc_id long, group_id long, at long, n long, kind int"
+FOUND = "doc_id long, group_id long, at long, n long, p long, kind int"
 COVERED, OPEN, WIDE = 0, 1, 2
 
 
-def settle(share: int, ids: list[bytes], blocks: list[bytes]) -> tuple[np.ndarray, ...]:
+def settle(share: int, ids: list[bytes], blocks: list[bytes], hot: int = HOT) -> tuple[np.ndarray, ...]:
     """Of the minimizers of one share: those whose context an earlier document
     has (COVERED), and those whose windows have to be compared (OPEN, or WIDE
-    where a group has very many), by the columns of FOUND."""
+    where a group has more than ``hot`` contexts), by the columns of FOUND."""
     cols: dict[str, list] = {k: [] for k, _ in PLANES}
     for known, block in zip(ids, blocks):
         docs = np.frombuffer(known, "<i8")
@@ -155,11 +165,11 @@ def settle(share: int, ids: list[bytes], blocks: list[bytes]) -> tuple[np.ndarra
         count, at = len(block) // width, 0
         for k, w in PLANES:
             v = _high(block[at : at + w * count], w, count)
-            cols[k].append(docs[v.astype(np.int64)] if k == "doc" else v)
+            cols[k].append(docs[v.astype(np.int64)] if k == "doc" else v if k in "xc" else v.astype(np.int64))
             at += w * count
-    x, c, doc, at, n = (np.concatenate(cols[k]) for k, _ in PLANES)
+    x, c, doc, at, n, p = (np.concatenate(cols[k]) for k, _ in PLANES)
     order = np.lexsort((at, doc, c, x))
-    x, c, doc, at, n = x[order], c[order], doc[order], at[order], n[order]
+    x, c, doc, at, n, p = (v[order] for v in (x, c, doc, at, n, p))
     new_x = np.concatenate([[True], x[1:] != x[:-1]])
     new_c = new_x | np.concatenate([[True], c[1:] != c[:-1]])
     group, head = np.cumsum(new_x) - 1, np.flatnonzero(new_x)
@@ -167,11 +177,11 @@ def settle(share: int, ids: list[bytes], blocks: list[bytes]) -> tuple[np.ndarra
     kinds = np.add.reduceat(new_c.astype(np.int64), head)[group]
     covered = doc > doc[np.flatnonzero(new_c)][np.cumsum(new_c) - 1]
     open_ = ~covered & (low < high) & (kinds > 1)
-    kind = np.where(covered, COVERED, np.where(kinds > HOT, WIDE, OPEN))
+    kind = np.where(covered, COVERED, np.where(kinds > hot, WIDE, OPEN))
     keep = covered | open_
     # the high bits of a group's hash and its share tell groups apart
     name = (mix_name(x[keep], share)).view(np.int64)
-    return doc[keep], name, at[keep].astype(np.int64), n[keep].astype(np.int64), kind[keep].astype(np.int32)
+    return doc[keep], name, at[keep], n[keep], p[keep], kind[keep].astype(np.int32)
 
 
 def mix_name(x: np.ndarray, share: int) -> np.ndarray:
@@ -200,47 +210,83 @@ def cut(data: bytes, starts: list[int], ends: list[int]) -> tuple[bytes, int, in
     return left, len(data) - len(left), len(s)
 
 
+def pieces(raw: memoryview, group: int, at: int, n: int, p: int, length: int, gram: int) -> Iterator[tuple[int, int, bytes]]:
+    """(group, start, bytes) of the pieces of a context of ``n`` windows from
+    ``at`` on, its minimizer ``p`` bytes behind: windows in which the minimizer
+    stands at the same multiple of STEP, or less than STEP behind it."""
+    i = 0
+    while i < n:
+        k = (p - i) // STEP  # the place falls by one from window to window
+        last = min(n - 1, p - k * STEP)
+        common = at + p - k * STEP
+        end = max(at + p + gram, common + length - STEP + 1)
+        name = hashlib.blake2b(raw[common:end], digest_size=8, key=group.to_bytes(8, "little", signed=True) + k.to_bytes(4, "little"))
+        yield int.from_bytes(name.digest(), "little", signed=True), at + i, bytes(raw[at + i : at + last + length])
+        i = last + 1
+
+
+def matches(source: list[bytes], owner: np.ndarray, query: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, place, least owner) of every string of ``length`` bytes of the
+    queries that a source has, by one index's matching statistics."""
+    none = np.zeros(0, np.int64)
+    if not len(source) or not len(query):
+        return none, none, none
+    index = RunIndex(source, owner, length)
+    found = [(none, none, none)]
+    for number, position, match, place in index.matching_statistics(query):
+        long_ = np.flatnonzero(match >= length)
+        found.append((number[long_], position[long_], index.least_owner(place[long_])))
+    number, position, least = (np.concatenate(x) for x in zip(*found))
+    return number, position, least
+
+
 def compare(ctx: pd.DataFrame, length: int) -> pd.DataFrame:
     """Marked stretches (doc_id, start, end) among the contexts of some groups."""
     by = ctx.groupby("group_id")["doc_id"]
     low, high = by.transform("min"), by.transform("max")
     source, query = ctx[ctx["doc_id"] < high], ctx[ctx["doc_id"] > low]
-    out = [np.zeros(0, np.int64)] * 3
-    if len(source) and len(query):
-        index = RunIndex(source["context"].tolist(), source["doc_id"].to_numpy(), length)
-        doc, at = query["doc_id"].to_numpy(), query["at"].to_numpy()
-        found = []
-        for number, position, match, place in index.matching_statistics(query["context"].tolist()):
-            long_ = np.flatnonzero(match >= length)
-            hit = long_[index.least_owner(place[long_]) < doc[number[long_]]]
-            found.append((number[hit], position[hit]))
-        number, position = (np.concatenate(x) for x in zip(*found))
-        start = at[number] + position
-        order = np.lexsort((start, doc[number]))
-        d, s = doc[number][order], start[order]
-        # runs of consecutive windows become one stretch
-        head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)])) if len(d) else np.zeros(0, np.int64)
-        tail = np.append(head[1:] - 1, len(d) - 1) if len(d) else head
-        out = [d[head], s[head], s[tail] + length]
-    return pd.DataFrame(dict(zip(("doc_id", "start", "end"), out)))
-
-
-def marked_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, stretches): for each document that loses anything, the stretches
-    [start, end) of its UTF-8 bytes that windows seen earlier cover."""
-    spark = docs.sparkSession
-    shares = SHARES * partitions(spark)
+    doc, at = query["doc_id"].to_numpy(np.int64), query["at"].to_numpy(np.int64)
+    number, position, least = matches(source["context"].tolist(), source["doc_id"].to_numpy(np.int64), query["context"].tolist(), length)
+    hit = least < doc[number]
+    number, position = number[hit], position[hit]
+    d, s = doc[number], at[number] + position
+    order = np.lexsort((s, d))
+    d, s = d[order], s[order]
+    # runs of consecutive windows become one stretch
+    head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)])) if len(d) else np.zeros(0, np.int64)
+    tail = np.append(head[1:] - 1, len(d) - 1) if len(d) else head
+    return pd.DataFrame({"doc_id": d[head], "start": s[head], "end": s[tail] + length})
+
+
+def compare_pieces(ctx: pd.DataFrame, length: int) -> pd.DataFrame:
+    """For distinct pieces (group_id, context, low and high doc_id of those that
+    have it): the windows (i) that documents from ``least`` on have."""
+    by = ctx.groupby("group_id")
+    low, high = by["low"].transform("min"), by["high"].transform("max")
+    source, query = ctx[ctx["low"] < high], ctx[ctx["high"] > low]
+    number, position, least = matches(source["context"].tolist(), source["low"].to_numpy(np.int64), query["context"].tolist(), length)
+    keep = least < query["high"].to_numpy(np.int64)[number]
+    number = number[keep]
+    return pd.DataFrame({"group_id": query["group_id"].to_numpy(np.int64)[number], "context": query["context"].to_numpy(object)[number], "i": position[keep], "least": least[keep]})
+
+
+def marked_stretches(docs: DataFrame, length: int, gram: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, start, end): the stretches of documents' UTF-8 bytes that windows
+    seen earlier cover; they may overlap."""
+    if not gram < length < gram + LONGEST:
+        raise ValueError(f"length must be above {gram} and below {gram + LONGEST}")
+    shares = SHARES * partitions(docs.sparkSession)
     packed = packed_minimizers(docs, shares, length, gram)
+    hot = HOT
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        cols = settle(key[0].as_py(), group.column("ids").to_pylist(), group.column("block").to_pylist())
-        kinds = [pa.int64()] * 4 + [pa.int32()]
-        return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], names=["doc_id", "group_id", "at", "n", "kind"])
+        cols = settle(key[0].as_py(), group.column("ids").to_pylist(), group.column("block").to_pylist(), hot)
+        return pa.Table.from_arrays([pa.array(v) for v in cols], names=[c.split()[0] for c in FOUND.split(", ")])
 
     found = packed.groupBy("share").applyInArrow(run, FOUND)
-    place = F.struct("group_id", "at", "n", "kind")
+    place = F.struct("group_id", "at", "n", "p", "kind")
     # at most one entry for each minimizer of a document: bounded by its length
-    found = materialize(found.groupBy("doc_id").agg(F.collect_list(place).alias("found")), "found")
+    found = scratch.put(found.groupBy("doc_id").agg(F.collect_list(place).alias("found")), "found")
 
     open_ = found.select("doc_id", F.filter("found", lambda f: f.kind != COVERED).alias("found")).where(F.size("found") > 0)
     first = docs.select("doc_id", "text").join(open_, "doc_id")
@@ -251,60 +297,72 @@ def marked_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 rows: list[tuple] = []
                 for i, text, places in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("found").to_pylist()):
                     raw = memoryview(text.as_buffer())
-                    rows += [(p["group_id"], i, p["at"], p["kind"], bytes(raw[p["at"] : p["at"] + p["n"] - 1 + length])) for p in places]
+                    for f in places:
+                        g, at, n = f["group_id"], f["at"], f["n"]
+                        if f["kind"] == OPEN:
+                            rows.append((g, i, at, OPEN, bytes(raw[at : at + n - 1 + length])))
+                        else:
+                            rows += [(name, i, start, WIDE, data) for name, start, data in pieces(raw, g, at, n, f["p"], length, gram)]
                 cols = list(zip(*rows)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["group_id", "doc_id", "at", "kind", "context"])
 
-    ctx = materialize(map_batches(first, contexts, "group_id long, doc_id long, at long, kind int, context binary"), "contexts")
+    ctx = scratch.put(map_batches(first, contexts, "group_id long, doc_id long, at long, kind int, context binary"), "contexts")
     share = F.pmod(F.xxhash64("group_id"), F.lit(shares))
     near = ctx.where(F.col("kind") == OPEN).withColumn("share", share).groupBy("share").applyInPandas(lambda p: compare(p, length), "doc_id long, start long, end long")
-    # groups of very many contexts: their windows meet by content, summed map-side first
-    at = F.explode(F.sequence(F.lit(0), F.length("context") - length))
-    wide = ctx.where(F.col("kind") == WIDE).select("doc_id", "at", "context", at.alias("i"))
-    wide = wide.select("doc_id", (F.col("at") + F.col("i")).alias("start"), F.sha2(F.substring("context", F.col("i") + 1, F.lit(length)), 256).alias("window"))
-    least = wide.groupBy("window").agg(F.min("doc_id").alias("low"))
-    wide = wide.join(least, "window").where("low < doc_id").select("doc_id", "start", (F.col("start") + length).alias("end"))
+    wide = ctx.where(F.col("kind") == WIDE).select("group_id", "doc_id", "at", "context")
+    kinds = wide.groupBy("group_id", "context").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    hits = kinds.withColumn("share", share).groupBy("share").applyInPandas(lambda p: compare_pieces(p, length), "group_id long, context binary, i long, least long")
+    # a table of its own: Spark may then split a piece that very many documents have
+    hits = scratch.put(hits, "hits")
+    start = F.col("at") + F.col("i")
+    again = wide.join(hits, ["group_id", "context"]).where("least < doc_id").select("doc_id", start.alias("start"), (start + length).alias("end"))
 
     whole = found.select("doc_id", F.explode("found").alias("f")).where(F.col("f.kind") == COVERED)
     whole = whole.select("doc_id", F.col("f.at").alias("start"), (F.col("f.at") + F.col("f.n") - 1 + length).alias("end"))
-    all_ = whole.unionByName(near).unionByName(wide)
-    return all_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("stretches"))
+    return whole.unionByName(near).unionByName(again)
 
 
-def first_copies(docs: DataFrame, length: int) -> DataFrame:
-    """(digest, first): the smallest doc_id of each text that others repeat."""
+def later_copies(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """(doc_id): documents whose whole text a smaller doc_id has too."""
     known = docs.where(f"doc_id is not null and octet_length(text) >= {length}").select("doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("digest"))
-    return known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    first = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    first = scratch.put(first, "first-copies")
+    return known.join(first, "digest").where("first < doc_id").select("doc_id").distinct()
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` (doc_id, text) with ``kept`` binary, ``n_removed``, ``n_spans``
-    and the stretches themselves, one row per input row.
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and ``kept`` (binary), one row per input
+    row of ``docs`` (doc_id, text), with those of its columns that ``carry`` names.
 
     Null counts as the empty text; a row without doc_id loses nothing and makes
     others lose nothing; rows that repeat a doc_id repeat its text, and take
-    nothing from each other; an empty table gives none.
+    nothing from each other; a text of any length is taken whole, a very long one
+    by itself; an empty table gives none; columns that aren't named are ignored.
     """
-    marks = materialize(marked_stretches(docs, length, gram), "marks")
-    base = docs.select("doc_id", "text").withColumn("digest", F.sha2(F.encode("text", "utf-8"), 256))
-    base = base.join(first_copies(docs, length), "digest", "left").withColumn("copied", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)))
-    base = base.join(marks, "doc_id", "left").select("doc_id", "text", "copied", "stretches")
+    with Scratch(docs.sparkSession) as scratch:
+        every = F.lit((1 << 62)).alias("end")
+        copies = later_copies(docs, length, scratch).select("doc_id", F.lit(0).cast("long").alias("start"), every)
+        marks = marked_stretches(docs, length, gram, scratch).unionByName(copies)
+        marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("stretches"))
+        marks = scratch.put(marks, "marks", keep=True)
+    base = docs.select("doc_id", "text", *carry).join(marks, "doc_id", "left")
+    carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
                 rows = []
-                for text, copied, s in zip(b.column("text"), b.column("copied").to_pylist(), b.column("stretches").to_pylist()):
+                for text, s in zip(b.column("text"), b.column("stretches").to_pylist()):
                     raw = text.as_buffer()
                     raw = raw.to_pybytes() if raw is not None else b""
-                    s = [{"start": 0, "end": len(raw)}] if copied else s or []
+                    s = s or []
                     kept, removed, spans = cut(raw, [x["start"] for x in s], [x["end"] for x in s])
                     rows.append((len(raw), removed, spans, kept))
                 cols = list(zip(*rows)) if rows else [()] * 4
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds)), *(b.column(c) for c in carry)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry])
 
-    return map_batches(base, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_batches(base, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + carried)
 
 
 def whole_characters(kept: Column) -> Column:

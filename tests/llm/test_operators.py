@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.llm import media, mixing, near_dup, packing, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from scriptorium.llm.common import Scratch
 from scriptorium.llm.components import connected_components
 from scriptorium.llm.queries import BYTE_BPE, WORD_BPE
 from scriptorium.llm.run_index import RunIndex
@@ -121,6 +122,23 @@ def test_mixing(docs, rows):
         assert abs(g.target.iloc[0] - target[s]) < 1e-6 and abs(g.taken.sum() - target[s]) <= 2
 
 
+def test_mixing_in_large_blocks(docs, rows, monkeypatch):
+    """Blocks larger than shards, shards and sources dealt in groups of two: each
+    source still within one block of its target."""
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 5)
+    monkeypatch.setattr(mixing, "TOGETHER", 2)
+    got = mixing.mix_sources(docs, block=400).toPandas()
+    assert (got.taken <= 3 * got["size"]).all() and (got.taken >= 0).all()
+    for _, g in got.groupby(got.source.fillna("-")):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 400
+
+
+def test_numbered(spark):
+    df = spark.range(500).select((F.col("id") * 37 % 500).cast("string").alias("k")).unionByName(spark.range(1).select(F.lit(None).cast("string").alias("k")))
+    got = {r.k: r.n for r in mixing.numbered(df, [F.col("k").isNull(), F.encode("k", "utf-8")], "n", Scratch(spark)).collect()}
+    assert got == {k: n for n, k in enumerate([*sorted(map(str, range(500))), None])}
+
+
 def test_sainte_lague(spark):
     votes = {"a": 53_000.0, "b": 24_000.0, "c": 23_000.0, "d": 0.0, "e": 9.0}
     units = spark.createDataFrame([("g", k, v, 37) for k, v in votes.items()], "g string, unit string, w double, seats long")
@@ -185,20 +203,30 @@ def brute_suffix(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_suffix_dedup(docs, rows, monkeypatch, hot):
-    if hot == 2:  # the way of very large groups
-        plain = suffix_dedup.settle
-        monkeypatch.setattr(suffix_dedup, "HOT", hot)
-        assert plain is suffix_dedup.settle
-    want = brute_suffix(rows)
-    got = suffix_dedup.without_repeats(docs).collect()
+@pytest.mark.parametrize("length, hot", [(50, 500), (50, 2), (300, 500), (300, 2), (600, 500), (600, 2)])
+def test_suffix_dedup(docs, rows, monkeypatch, length, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # with 2, most groups are dealt again
+    want = brute_suffix(rows, length)
+    got = suffix_dedup.without_repeats(docs, length).collect()
     assert len(got) == len(rows)
     for r in got:
         if r.doc_id is None:
             assert r.n_removed == 0
         else:
             assert (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) == want[r.doc_id]
+    with pytest.raises(ValueError):
+        suffix_dedup.without_repeats(docs, 20)
+
+
+def test_suffix_dedup_of_repeats(spark):
+    """Shared runs of one letter and of a short period, at a length of many windows."""
+    rng = random.Random(3)
+    shared = "ab" * 300 + prose(rng, 90) + "z" * 500
+    made = [(k, prose(rng, 20) + shared + prose(rng, 20)) for k in range(5)]
+    for length in (300, 600):
+        want = brute_suffix([(i, t) for i, t in made], length)
+        got = suffix_dedup.without_repeats(spark.createDataFrame(made, "doc_id long, text string"), length).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got} == want
 
 
 def test_chains():
@@ -277,7 +305,7 @@ def test_sketches_estimate():
 
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 200), (200, 150), (7, 7), (300, 300)]
-    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 150: 100, 200: 100, 300: 300}
 
 
