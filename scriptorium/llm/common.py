@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text hashed at once in a Python worker; bounds its memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256)
@@ -73,6 +73,8 @@ class Scratch:
             files.delete(where, True)
             files.cancelDeleteOnExit(where)
         self.tables = [(t, p) for t, p in self.tables if not any(t is g for g in gone)]
+        # Spark deletes shuffle files once the plans that wrote them are collected
+        self.spark.sparkContext._jvm.System.gc()
 
     def __enter__(self) -> Scratch:
         return self

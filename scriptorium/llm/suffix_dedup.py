@@ -46,7 +46,7 @@ from scriptorium.llm.run_index import RunIndex
 LENGTH, GRAM = 50, 20
 #: Minimizers a task gathers before it hands them on, and the number of groups
 #: shares per shuffle partition.
-FLUSH, SHARES = 2_000_000, 4
+FLUSH, SHARES = 500_000, 8
 #: Distinct contexts above which a group is dealt again, and places of the
 #: minimizer that a piece of a context spans.
 HOT, STEP = 500, 4
