@@ -53,9 +53,14 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", *media.FACTS, "pos", "caption")
 
 
+def page_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 over whole pages, a row for each item."""
+    return media.page_media(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.compression_bands(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_token_counts, op4_suffix_dedup, op5_substring_dedup, op6_near_duplicates, op7_toxicity, op8_packing, op9_media_columns, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_token_counts, op4_suffix_dedup, op5_substring_dedup, op6_near_duplicates, op7_toxicity, op8_packing, op9_media_columns, op10_quality_rules, page_media)}
 ORACLES = {"op1_url_filter": url_filter.ORACLE}

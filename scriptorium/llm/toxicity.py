@@ -9,8 +9,9 @@ attention layer weighs their states, and a logistic unit scores the mean.  A
 text's score is that of its highest window.
 
 The network is fitted on the driver from a bounded sample of labelled rows (at
-most SAMPLE of either class), and broadcast; its size does not depend on the
-data.  Since a label holds for a whole text, each text takes part by those of
+most SAMPLE of either class, one row per id, of texts above TRAIN_WORDS words so
+many from evenly spaced stretches), and broadcast; its size does not depend on
+the data.  Since a label holds for a whole text, each text takes part by those of
 its windows that look worst, and for clean ones by some others too.
 """
 
@@ -29,6 +30,8 @@ BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 1 << 15, 6, 6, 8, 8
 GRAMS = (3, 4, 5)
 #: Labelled rows of each class that are used at most, least passes over them and steps, and windows at once.
 SAMPLE, EPOCHS, STEPS, BATCH, RATE = 1000, 5, 80, 256, 0.02
+#: Words of a labelled text that are learned from at most, and words of a stretch.
+TRAIN_WORDS, STRETCH = 8_000, 400
 THRESHOLD = 0.7
 #: Words a worker remembers, and windows that it scores at once.
 CACHE_WORDS, AT_ONCE = 150_000, 4096
@@ -230,15 +233,24 @@ def calibrate(net: Network, feats, docs: list[np.ndarray], y: np.ndarray) -> Non
     """Shift the last bias so that THRESHOLD parts the texts it was fitted on:
     a text is as bad as its worst window, so long texts score higher."""
     gates = [np.concatenate([np.zeros((1, 3 * HIDDEN), np.float32), g]) for g in net.gates(net.inputs(feats))]
-    spans = [windows_of(len(ids)) for ids in docs]
-    rows = np.zeros((sum(map(len, spans)), WINDOW), np.int64)
-    for row, (ids, (a, b)) in zip(rows, ((ids, s) for ids, ss in zip(docs, spans) for s in ss)):
-        row[: b - a] = ids[a:b] + 1
-    owner = np.repeat(np.arange(len(docs)), list(map(len, spans)))
     worst = np.full(len(docs), -20.0)
-    for a in range(0, len(rows), AT_ONCE):
-        index = np.ascontiguousarray(rows[a : a + AT_ONCE].T)
-        np.maximum.at(worst, owner[a : a + AT_ONCE], net.forward(gates[0][index], gates[1][index], index > 0)[0])
+    rows, owner = np.zeros((AT_ONCE, WINDOW), np.int64), np.zeros(AT_ONCE, np.int64)
+
+    def score(n: int) -> None:
+        index = np.ascontiguousarray(rows[:n].T)
+        np.maximum.at(worst, owner[:n], net.forward(gates[0][index], gates[1][index], index > 0)[0])
+
+    n = 0
+    for k, ids in enumerate(docs):
+        for a, b in windows_of(len(ids)):
+            rows[n], owner[n] = 0, k
+            rows[n, : b - a] = ids[a:b] + 1
+            n += 1
+            if n == AT_ONCE:
+                score(n)
+                n = 0
+    if n:
+        score(n)
     order = np.argsort(worst, kind="stable")
     # errors if the cut lies before each text; a clean text taken for toxic weighs double
     errors = np.concatenate([[0], np.cumsum(y[order] == 1)]) + 2 * ((y == 0).sum() - np.concatenate([[0], np.cumsum(y[order] == 0)]))
@@ -253,14 +265,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
+def stretches(text: Column, most: int = TRAIN_WORDS, stretch: int = STRETCH) -> Column:
+    """The text; of one of more than ``most`` words, stretches that begin at equal
+    distances and make up ``most`` words."""
+    words = F.split(F.trim(text), r"\s+")
+    n, count = F.size(words), most // stretch
+    cut = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.array_join(F.slice(words, (F.floor(k * (n - stretch) / (count - 1)) + 1).cast("int"), stretch), " "))
+    return F.when(n > most, F.array_join(cut, " ")).otherwise(text)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = SAMPLE) -> list:
-    """Rows (text, label) to learn from: at most ``most`` of each class, by hash."""
-    known = labels.where(F.col(column).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(column).alias("label")).distinct()
+    """Rows (doc_id, text, label) to learn from: at most ``most`` ids of each class,
+    by hash.  An id that is labelled both ways is not learned from; of rows that
+    share an id the least text is."""
+    known = labels.where(F.col(column).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("other")).where("label = other").select("doc_id", "label")
     draw = F.xxhash64("doc_id", F.lit(3))
     chosen = known.where("label = 1").orderBy(draw, "doc_id").limit(most).unionByName(known.where("label = 0").orderBy(draw, "doc_id").limit(most))
     # 2 * most rows of two integers: a proven bound
     rows = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return sorted(((r["doc_id"], r["text"] or "", int(r["label"])) for r in rows.toLocalIterator()), key=lambda r: r[:2])
+    rows = rows.withColumn("text", stretches(F.coalesce("text", F.lit("")))).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return sorted(((r["doc_id"], r["text"], int(r["label"])) for r in rows.toLocalIterator()), key=lambda r: r[:2])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
@@ -268,7 +292,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", th
 
     A null, empty or blank text has no windows and scores 0; without labels of
     both classes everything scores 0; rows without doc_id are scored too, as
-    held out; repeated rows score alike; other columns are ignored.
+    held out; repeated rows score alike; scores are rounded to six places, and one
+    that is equal to ``threshold`` counts as above it; a text of any length is
+    scored whole, some windows at a time; an empty table gives none; other columns
+    are ignored.
     """
     sample = labelled_sample(docs, labels, column)
     model = docs.sparkSession.sparkContext.broadcast(fit([t for _, t, _ in sample], [y for *_, y in sample]))

@@ -357,6 +357,32 @@ def brute_near(rows, words, percent):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
+def test_near_duplicates_of_all_pairs(spark):
+    """Every document of the driver's table against all others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_near([(r.doc_id, r.text) for r in docs.collect()], 2, 80)
+    got = near_dup.near_duplicates(docs, 2, 80).collect()
+    assert sum(i != root for i, (_, root) in want.items()) > 50
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_prefixes_of_a_template(spark):
+    """Texts of one template that differ by more than the threshold allows do not
+    meet at all; one that is near another does."""
+    rng = random.Random(2)
+    frame = prose(rng, 160).split(" ")
+    made = []
+    for k in range(60):
+        w = list(frame)
+        for j in range(k % 4, 160, 4):
+            w[j] = f"own{k}x{j}"
+        made.append((k, k, " ".join(w)))
+    made.append((99, 99, made[7][2] + " tail"))
+    with Scratch(spark) as scratch:
+        got = near_dup.prefix_pairs(spark.createDataFrame(made, "id long, part long, text string"), 2, 80, scratch).collect()
+    assert [(r.a, r.b) for r in got] == [(7, 99)]
+
+
 @pytest.mark.parametrize("words", [2, 5])
 def test_near_duplicates(docs, rows, words):
     want, got = brute_near(rows, words, 80), near_dup.near_duplicates(docs, words, 80).collect()
@@ -412,6 +438,54 @@ def test_toxicity(spark):
     assert {(r.doc_id, r.score) for r in toxicity.score_toxicity(docs, flipped).collect()} == {(r.doc_id, r.score) for r in got}
 
 
+def test_toxicity_of_all_windows(spark):
+    """Scores against a step-by-step version of the network over every window; extra
+    columns, repeated rows, rows that share an id, and a text above a mebibyte."""
+    rng = random.Random(6)
+    rows = [(i, " ".join([*prose(rng, 60).split(" "), *(["zorg"] * (i % 3 == 0)), *prose(rng, rng.randint(0, 90)).split(" ")])) for i in range(90)]
+    rows += [rows[3], rows[3], (4, "another text of this id"), (200, "word " * 220_000 + "zorg zorg")]
+    docs = spark.createDataFrame([(*r, 0.5, 1, True) for r in rows], "doc_id long, text string, score double, n_windows int, held_out boolean")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 9.0) for i in range(90)] + [(3, 1, 0.0), (4, 1, 0.0)], "doc_id long, toxic int, score double")
+    sample = toxicity.labelled_sample(docs, labels)
+    assert len({i for i, *_ in sample}) == len(sample) and 4 not in {i for i, *_ in sample}
+    net = toxicity.fit([t for _, t, _ in sample], [y for *_, y in sample])
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def score(words):
+        x = net.inputs(toxicity.word_features(words)).astype(float)
+        states = {}
+        for d, steps in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            h, H = np.zeros(toxicity.HIDDEN), toxicity.HIDDEN
+            for t in steps:
+                gate, rec = x[t] @ net.p["W" + d] + net.p["c" + d], h @ net.p["U" + d]
+                z, r = sigmoid(gate[:H] + rec[:H]), sigmoid(gate[H : 2 * H] + rec[H : 2 * H])
+                n = np.tanh(gate[2 * H :] + r * rec[2 * H :])
+                states[d, t] = h = (1 - z) * n + z * h
+        hs = np.array([np.concatenate([states["f", t], states["b", t]]) for t in range(len(x))])
+        e = np.array([np.tanh(h @ net.p["Wa"] + net.p["ba"]) @ net.p["va"] for h in hs])
+        a = np.exp(e - e.max())
+        return sigmoid((a / a.sum()) @ hs @ net.p["w"] + net.p["b"][0])
+
+    got = toxicity.score_toxicity(docs, labels).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for i, t in rows:
+        by[i].append(t)
+    for r in got:
+        if r.doc_id < 40:
+            want = [max(score(w[a:b]) for a, b in toxicity.windows_of(len(w))) for w in map(toxicity.words_of, by[r.doc_id])]
+            assert min(abs(x - r.score) for x in want) < 1e-4
+    (long_,) = (r for r in got if r.doc_id == 200)
+    assert long_.n_windows > 9000 and long_.score >= max(r.score for r in got if r.doc_id % 3 and r.doc_id < 90) - 0.2
+
+
+def test_stretches(spark):
+    df = spark.createDataFrame([("a b  c",), (" ".join(map(str, range(100))),), ("",)], "t string")
+    got = [r[0] for r in df.select(toxicity.stretches(F.col("t"), 40, 10)).collect()]
+    assert got[0] == "a b  c" and got[2] == ""
+    assert got[1].split() == [str(s + k) for s in (0, 30, 60, 90) for k in range(10)]
+
+
 def test_network_gradients():
     net = toxicity.Network(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -497,6 +571,29 @@ def test_interleaving(spark):
         media.decode_payload(bytes(stored))
 
 
+def test_pages_of_documents(spark, docs, rows):
+    """Whole pages: several items in order, text between references, captions with
+    their own reference, payloads of the documents they name."""
+    html = "<h1>Head {0}</h1><p>one <b>two</b></p><img src='/a{0}.png' alt='dog'><p>three</p><figure><img src='/b.png'><video src='/c.mp4'></video><figcaption>both</figcaption></figure>tail"
+    pages = spark.createDataFrame([(k, "u", html.format(k)) for k in range(6)] + [(6, "u", None), (9000, "u", "<p>alone")], "page_id long, url string, html string")
+    got = defaultdict(list)
+    for r in media.page_media(pages, docs).orderBy("page_id", "pos").collect():
+        got[r.page_id].append(r)
+    assert [(r.pos, r.kind, r.text, r.ref) for r in got[9000]] == [(0, "text", "alone", None)]
+    text = {r[0]: r[1] or "" for r in rows}
+    for k in range(7):
+        own, figure = got[k][:-1], got[k][-1]
+        b = text[k].encode()
+        p = b.ljust(max(192, -(-len(b) // 192) * 192), b" ")
+        assert figure.resolved and figure.payload_sha256 == hashlib.sha256(p).hexdigest() and figure.pos == len(own)
+        assert (figure.caption or "") == " ".join(text[k].split("\n")[0][:80].split())
+        if k < 6:
+            assert [(r.pos, r.kind, r.text, r.ref, r.caption, r.resolved) for r in own] == [
+                (0, "text", f"Head {k}", None, None, False), (1, "text", "one two", None, None, False), (2, "img", None, f"/a{k}.png", "dog", False),
+                (3, "text", "three", None, None, False), (4, "img", None, "/b.png", "both", False), (5, "video", None, "/c.mp4", "both", False), (6, "text", "tail", None, None, False),
+            ]
+
+
 def brute_quality(text):
     words = WORD.findall(text)
     lines = [x for x in text.split("\n") if WORD.search(x)]
