@@ -38,7 +38,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from scriptorium.llm.common import RollingHash, Scratch, joined_bytes, map_batches, partitions, slices
 from scriptorium.llm.run_index import RunIndex
@@ -49,7 +49,7 @@ LENGTH, GRAM = 50, 20
 FLUSH, SHARES = 500_000, 8
 #: Distinct contexts above which a group is dealt again, and places of the
 #: minimizer that a piece of a context spans.
-HOT, STEP = 500, 4
+HOT, STEP = 2_000, 4
 
 
 def minimizers(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -330,9 +330,10 @@ def later_copies(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     return known.join(first, "digest").where("first < doc_id").select("doc_id").distinct()
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: Sequence[str] = ()) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` (binary), one row per input
     row of ``docs`` (doc_id, text), with those of its columns that ``carry`` names.
+    With ``as_text`` ``kept`` is a string, without the letters that were cut in two.
 
     Null counts as the empty text; a row without doc_id loses nothing and makes
     others lose nothing; rows that repeat a doc_id repeat its text, and take
@@ -357,19 +358,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, car
                     raw = raw.to_pybytes() if raw is not None else b""
                     s = s or []
                     kept, removed, spans = cut(raw, [x["start"] for x in s], [x["end"] for x in s])
-                    rows.append((len(raw), removed, spans, kept))
+                    rows.append((len(raw), removed, spans, kept.decode("utf-8", errors="ignore") if as_text else kept))
                 cols = list(zip(*rows)) if rows else [()] * 4
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds)), *(b.column(c) for c in carry)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry])
 
-    return map_batches(base, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + carried)
-
-
-def whole_characters(kept: Column) -> Column:
-    """Text of bytes from which stretches were cut: letters that were cut in two go."""
-
-    @F.pandas_udf("string")
-    def decode(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: b.decode("utf-8", errors="ignore"), na_action="ignore")
-
-    return decode(kept)
+    return map_batches(base, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary") + carried)
