@@ -33,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings that an earlier document has go from the texts, letters whole;
     documents of which no word is left go."""
-    left = suffix_dedup.without_repeats(docs.select(*COLUMNS), carry=("lang", "source"))
-    left = left.select("doc_id", suffix_dedup.whole_characters(F.col("kept")).alias("text"), "lang", "source")
+    left = suffix_dedup.without_repeats(docs.select(*COLUMNS), carry=("lang", "source"), as_text=True)
+    left = left.select("doc_id", F.col("kept").alias("text"), "lang", "source")
     return left.where(r"text rlike '[^\\x20\\x09-\\x0D]'").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
