@@ -56,14 +56,28 @@ def percent(c: Column) -> Column:
 
 def name_stem(c: Column) -> Column:
     """Lower case, without a deletion mark, letters and digits only."""
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "δ|delta", ""), r"(?U)[^\p{Alnum}]", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(c), "δ|∆|delta", ""), r"(?U)[^\p{Alnum}]", "")
 
 
-def allele_stem(c: Column, depth: int = 4) -> Column:
-    """The stem without what stands in brackets, nested up to ``depth`` times."""
-    for _ in range(depth):
-        c = F.regexp_replace(c, r"[(\[][^()\[\]]*[)\]]", "")
-    return name_stem(c)
+def allele_stem(c: Column) -> Column:
+    """The stem of what stands outside of brackets, however deep they are nested; a
+    closing one too many is left out, after an opening one too many nothing counts."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"))
+
+    def step(acc: Column, x: Column) -> Column:
+        opens, closes = x.isin("(", "["), x.isin(")", "]")
+        depth = F.when(opens, acc.depth + 1).when(closes, F.greatest(acc.depth - 1, F.lit(0))).otherwise(acc.depth)
+        return F.struct(F.when(opens | closes | (acc.depth > 0), acc.out).otherwise(F.concat(acc.out, x)).alias("out"), depth.alias("depth"))
+
+    return name_stem(F.aggregate(F.split(F.coalesce(c, F.lit("")), ""), start, step, lambda acc: acc.out))
+
+
+def named_by_allele(name: Column, alleles: Column) -> Column:
+    """Whether a genotype's name holds the stem of one of its alleles, with or
+    without what that has in brackets; null without a name or alleles."""
+    held = F.filter(F.transform(F.coalesce(alleles, F.array().cast("array<string>")), text_or_empty), lambda a: a != "")
+    stems = F.filter(F.concat(F.transform(held, allele_stem), F.transform(held, name_stem)), lambda s: s != "")
+    return F.when((text_or_empty(name) != "") & (F.size(stems) > 0), F.exists(stems, lambda s: name_stem(name).contains(s)))
 
 
 def word_jaccard(a: Column, b: Column) -> Column:

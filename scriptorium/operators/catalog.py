@@ -15,7 +15,7 @@ def triage_rank(c: Column) -> Column:
 
 def check_signal(checks: Column) -> Column:
     """ok or flagged values of a map of checks."""
-    v = F.map_values(checks)
+    v = F.coalesce(F.map_values(checks), F.array().cast("array<string>"))
     return F.struct(F.size(F.filter(v, lambda x: F.lower(x).startswith("ok"))).alias("n_ok"), F.size(F.filter(v, lambda x: F.upper(x).rlike("^(FLAG|NOT)"))).alias("n_flagged"))
 
 

@@ -99,21 +99,25 @@ def figure_audit(roster: DataFrame, ledger: DataFrame, cited: DataFrame) -> Data
 
 
 def nearest_captions(images: DataFrame, captions_: DataFrame, slack: float = 5.0, reach: float = 220.0, least_px: int = 50) -> DataFrame:
-    """Each image box with the nearest caption on the side where its kind stands:
-    a figure's below, a table's above, within ``reach`` points on its page."""
-    large = images.where((F.col("width") >= least_px) & (F.col("height") >= least_px))
-    both = large.join(captions_, ["doc", "page"])
+    """Each image box (doc, image, ...) with the nearest caption on the side where its
+    kind stands: a figure's below, a table's above, within ``reach`` points on its
+    page; status is captioned, no caption, or small (not looked at)."""
+    large = (F.col("width") >= least_px) & (F.col("height") >= least_px)
+    both = images.where(large).join(captions_, ["doc", "page"])
     below, above = F.col("caption_top") - F.col("bottom"), F.col("top") - F.col("caption_bottom")
     gap = F.when(F.col("kind") == "table", above).otherwise(below)
     near = both.withColumn("gap", gap).where((F.col("gap") >= -slack) & (F.col("gap") <= reach))
     place = F.row_number().over(W.partitionBy("doc", "image").orderBy("gap", "number", "kind"))
-    return near.withColumn("_n", place).where("_n = 1").select("doc", "image", "kind", "number", "gap")
+    best = near.withColumn("_n", place).where("_n = 1").select("doc", "image", "kind", "number", "gap")
+    status = F.when(F.col("kind").isNotNull(), "captioned").when(large, "no caption").otherwise("small")
+    return images.join(best, ["doc", "image"], "left").select("doc", "image", "kind", "number", "gap", status.alias("status"))
 
 
 def unique_names(names: DataFrame) -> DataFrame:
-    """``names`` (doc, seq, base) with name: base, then base with b, c, ..."""
+    """``names`` (doc, seq, base) with name: base, then base with b to z, then with
+    -2, -3, and so on."""
     n = F.row_number().over(W.partitionBy("doc", "base").orderBy("seq"))
-    return names.withColumn("_n", n).withColumn("name", F.when(F.col("_n") == 1, F.col("base")).otherwise(F.concat("base", F.char(F.lit(96) + F.col("_n"))))).drop("_n")
+    return names.withColumn("_n", n).withColumn("name", F.when(F.col("_n") == 1, F.col("base")).when(F.col("_n") <= 26, F.concat("base", F.char(F.lit(96) + F.col("_n")))).otherwise(F.concat("base", F.lit("-"), (F.col("_n") - 25).cast("string")))).drop("_n")
 
 
 def stem(path: Column) -> Column:

@@ -47,15 +47,15 @@ def park_reason(subject: Column, subject_problem: Column, feature_type: Column,
     interpretive = (a["type"] == "molecular_function") & F.lower(text_or_empty(a["note"])).rlike("|".join(INTERPRETIVE))
     exempt = (a["type"] == NO_TERM_NEEDED) | (a["type"].isin(*QUALIFIER_TYPES) & (text_or_empty(a["term_name"]) != ""))
     return (
-        F.when(subject_problem == "absent", F.concat(F.lit("annotation subject '"), subject, F.lit("' is not defined in the setup sections")))
-        .when((feature_type == "gene") & (subject_problem == HELD), "depends on a held gene (unresolved accession)")
-        .when(subject_problem == HELD, "depends on an excluded feature")
-        .when(subject_problem == UNDEFINED, "depends on an undefined feature")
-        .when(truthy(a["hold"]), F.coalesce(F.nullif(text_or_empty(a["hold_reason"]), F.lit("")), F.lit("held by curator (hold flag)")))
+        F.when(subject_problem == "absent", F.concat(F.lit("subject absent: "), subject))
+        .when((feature_type == "gene") & (subject_problem == HELD), "gene held")
+        .when(subject_problem == HELD, "subject held")
+        .when(subject_problem == UNDEFINED, "subject undefined")
+        .when(truthy(a["hold"]), F.coalesce(F.nullif(text_or_empty(a["hold_reason"]), F.lit("")), F.lit("on hold")))
         .when(no_term & F.coalesce(exempt, F.lit(False)), "")
-        .when(no_term, "no ontology term resolved")
-        .when(a["bad_term"].isNotNull(), F.concat(F.lit("ontology ID "), a["bad_term"], F.lit(" (--validate)")))
-        .when(F.coalesce(interpretive, F.lit(False)), "interpretive molecular-function (no direct assay)")
+        .when(no_term, "no term")
+        .when(a["bad_term"].isNotNull(), F.concat(F.lit("term "), a["bad_term"]))
+        .when(F.coalesce(interpretive, F.lit(False)), "not assayed")
         .otherwise("")
     )
 
@@ -72,7 +72,7 @@ def queue_items(annotations: DataFrame, states: DataFrame, sections: tuple[str,
     out = out.withColumn("reason", reason).drop("state")
     if sections is not None:
         lost = (F.col("reason") == "") & ~F.coalesce(F.col("type").isin(*sections), F.lit(False))
-        out = out.withColumn("reason", F.when(lost, "no section takes this annotation type").otherwise(F.col("reason")))
+        out = out.withColumn("reason", F.when(lost, "no section").otherwise(F.col("reason")))
     return out.withColumn("disposition", F.when(F.col("reason") == "", "enter").otherwise("parked"))
 
 

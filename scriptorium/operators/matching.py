@@ -1,8 +1,8 @@
 """Phrases to vocabulary terms: inverse document frequencies, scores, ranking.
 
-A pair that shares no token scores 0, so candidates come from an equi-join on
-tokens instead of comparing all pairs; the vocabulary side is small and Spark
-broadcasts it by its size, or else splits frequent tokens.
+Candidates come from an equi-join on tokens instead of comparing all pairs, and
+of a phrase's tokens only those take part that no match can do without.  Scores
+are those of distinct texts; each text stands for the few first of its terms.
 """
 
 from __future__ import annotations
@@ -36,39 +36,73 @@ def idf(texts: DataFrame) -> DataFrame:
     return posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(F.lit(float(max(n, 1))) / F.col("df")))
 
 
-def scores(phrases: DataFrame, texts: DataFrame, weights: DataFrame) -> DataFrame:
-    """(phrase_id, term_id, exact, score) of all pairs that share a token.
+def weighed(phrases: DataFrame, weights: DataFrame) -> DataFrame:
+    """(phrase_id, q, mass, parts, key): of each phrase its lower-cased text, the
+    mass of its tokens, these with their weights, and the tokens to look texts up by.
+
+    A text that reaches a third of the mass has one of the heaviest tokens, up to
+    where the rest holds less than a third.  A text that holds the whole phrase has
+    all tokens within it, and shares the first or the last one if there are no
+    others; so these and the heaviest inner one are looked up besides.
+    """
+    rarest = weights.agg(F.coalesce(F.max("idf"), F.lit(1.0)).alias("rarest"))
+    said = F.regexp_extract_all(F.col("q"), F.lit("[a-z0-9]+"), 0)
+    q = phrases.select("phrase_id", F.lower(strip(F.col("phrase"))).alias("q")).withColumn("said", said)
+    each = q.select("phrase_id", "q", "said", F.explode(F.array_distinct("said")).alias("token"))
+    each = each.join(weights.select("token", "idf"), "token", "left").crossJoin(F.broadcast(rarest)).withColumn("w", F.coalesce("idf", "rarest"))  # one row
+    whole = each.groupBy("phrase_id", "q", "said").agg(F.sum("w").alias("mass"), F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("late"), "token", "w"))).alias("parts")).where("mass > 0")
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<string>").alias("keys"))
+    # tokens are taken while those from this one on hold a third or more, with a hair of slack
+    step = lambda acc, x: F.struct((acc.sum + x.w).alias("sum"), F.when(F.col("mass") - acc.sum >= F.col("mass") / 3 - 1e-6, F.concat(acc.keys, F.array(x.token))).otherwise(acc.keys).alias("keys"))
+    heavy = F.aggregate("parts", start, step, lambda acc: acc["keys"])
+    inner = F.slice("said", 2, F.greatest(F.size("said") - 2, F.lit(0)))
+    best = F.slice(F.filter(F.transform("parts", lambda x: x.token), lambda t: F.array_contains(inner, t)), 1, 1)
+    keys = F.array_distinct(F.concat(heavy, best, F.array(F.element_at("said", 1), F.element_at("said", -1))))
+    return whole.withColumn("key", F.explode(keys)).drop("said")
+
+
+def scores(phrases: DataFrame, texts: DataFrame, weights: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """(phrase_id, text, exact, score) of all pairs of a phrase and a distinct text,
+    lower-cased, that reach ``least`` (a third of 60, or more).
 
     100 for an equal text; 60 times the covered share of the phrase's mass; at
     least 60 and the number of shared tokens if the phrase lies within the text.
     A phrase whose tokens all have no mass scores 0, even if equal.  Tokens that
     no term has weigh as much as the rarest.
     """
-    rarest = weights.agg(F.coalesce(F.max("idf"), F.lit(1.0)).alias("rarest"))
-    q = phrases.select("phrase_id", F.lower(strip(F.col("phrase"))).alias("q"), F.explode(tokens(F.col("phrase"))).alias("token"))
-    q = q.join(weights.select("token", "idf"), "token", "left").crossJoin(F.broadcast(rarest)).withColumn("w", F.coalesce("idf", "rarest"))  # one row
-    q = q.withColumn("mass", F.sum("w").over(W.partitionBy("phrase_id"))).where("mass > 0")
-    t = texts.select("term_id", F.lower(strip(F.col("text"))).alias("text"), F.explode(tokens(F.col("text"))).alias("token")).distinct()
-    pair = q.join(t, "token").groupBy("phrase_id", "q", "mass", "term_id", "text").agg(F.sum("w").alias("shared"), F.count(F.lit(1)).alias("n"))
-    covered = 60.0 * F.col("shared") / F.col("mass")
+    if least < LEAST_SCORE:
+        raise ValueError("candidates are complete from a third of the greatest coverage on")
+    q = weighed(phrases, weights)
+    t = texts.select(F.lower(strip(F.col("text"))).alias("text")).distinct().withColumn("has", tokens(F.col("text")))
+    met = q.join(t.withColumn("key", F.explode("has")), "key").drop("key").dropDuplicates(["phrase_id", "text"])
+    shared = F.filter("parts", lambda x: F.array_contains("has", x.token))
+    sum_ = F.aggregate(shared, F.lit(0.0), lambda acc, x: acc + x.w)
+    covered = 60.0 * sum_ / F.col("mass")
     exact = F.col("text") == F.col("q")
-    score = F.when(exact, 100.0).when(F.instr(F.col("text"), F.col("q")) > 0, F.greatest(covered, 60.0 + F.col("n"))).otherwise(covered)
-    return pair.withColumns({"exact": exact, "score": score}).groupBy("phrase_id", "term_id").agg(F.max("exact").alias("exact"), F.max("score").alias("score"))
+    score = F.when(exact, 100.0).when(F.instr(F.col("text"), F.col("q")) > 0, F.greatest(covered, 60.0 + F.size(shared))).otherwise(covered)
+    # summed in floating point: compared with a hair of slack
+    return met.select("phrase_id", "text", exact.alias("exact"), score.alias("score")).where(F.col("score") >= least - 1e-9)
 
 
 def match_terms(phrases: DataFrame, terms: DataFrame, rows: int = 5, least: float = LEAST_SCORE) -> DataFrame:
     """The best ``rows`` terms of each phrase, offered and withheld ones apart.
 
     ``terms``: term_id, name, synonyms, obsolete, subsets.  Obsolete terms and
-    groupings count for the statistics and are withheld, never dropped.
+    groupings count for the statistics and are withheld, never dropped.  Of the
+    terms that have a text, only the first ``rows`` by id can be among the best,
+    since the others score no less by it.
     """
-    texts = term_texts(terms)
-    # summed in floating point: compared with a hair of slack
-    found = scores(phrases, texts, idf(texts)).where(F.col("score") >= least - 1e-9)
     about = terms.select("term_id", "name", F.coalesce("obsolete", F.lit(False)).alias("obsolete"), usage_of(F.col("subsets")).alias("usage"))
-    found = found.join(about, "term_id").withColumn("disposition", F.when(F.col("obsolete") | (F.col("usage") == "grouping"), "withheld").otherwise("offered"))
+    about = about.withColumn("disposition", F.when(F.col("obsolete") | (F.col("usage") == "grouping"), "withheld").otherwise("offered"))
+    texts = term_texts(terms)
+    held = texts.select("term_id", F.lower(strip(F.col("text"))).alias("text")).distinct().join(about.select("term_id", "disposition"), "term_id")
+    first = F.row_number().over(W.partitionBy("text", "disposition").orderBy("term_id"))
+    held = held.withColumn("_n", first).where(F.col("_n") <= rows).drop("_n")
+    found = scores(phrases, texts, idf(texts), least).join(held, "text")
+    found = found.groupBy("phrase_id", "disposition", "term_id").agg(F.max("exact").alias("exact"), F.max("score").alias("score"))
     order = W.partitionBy("phrase_id", "disposition").orderBy(F.desc("exact"), F.desc(F.round("score", 9)), "term_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
+    return best.join(about.drop("disposition"), "term_id")
 
 
 def match_status(phrases: DataFrame, matches: DataFrame) -> DataFrame:
@@ -86,12 +120,13 @@ def term_context(label: Column) -> Column:
     return F.when(F.coalesce(label, F.lit("")).rlike(r"(?i)\bhost\b"), "in-host").otherwise("unspecified")
 
 
-def context_review(matches: DataFrame, context: str, marker: Column | None = None) -> DataFrame:
+def context_review(phrases: DataFrame, matches: DataFrame, context: str) -> DataFrame:
     """Per phrase: candidates usable and mismatched for an assay's context; only an
-    in-host term for a free-living assay is a mismatch."""
+    in-host term for a free-living assay is a mismatch.  A phrase without
+    candidates has none of either."""
     if context not in CONTEXTS:
         raise ValueError(f"unknown assay context {context!r}")
-    marked = term_context(F.col("name")) == "in-host" if marker is None else marker
-    wrong = marked & F.lit(context == "free-living")
-    out = matches.groupBy("phrase_id").agg(F.count_if(~wrong).alias("n_usable"), F.count_if(wrong).alias("n_mismatched"))
+    wrong = (term_context(F.col("name")) == "in-host") & F.lit(context == "free-living")
+    by = matches.groupBy("phrase_id").agg(F.count_if(~wrong).alias("n_usable"), F.count_if(wrong).alias("n_mismatched"))
+    out = phrases.select("phrase_id").join(by, "phrase_id", "left").fillna(0, ["n_usable", "n_mismatched"])
     return out.withColumn("all_mismatched", (F.col("n_usable") == 0) & (F.col("n_mismatched") > 0))

@@ -40,9 +40,10 @@ def allocate(totals: DataFrame, by_direct: bool = False) -> DataFrame:
 
 def priced(rows: DataFrame, prices: DataFrame) -> DataFrame:
     """With ``cost`` per million tokens of each bucket; a model without a price
-    has that of ``default``.  ``prices``: model and a column per bucket."""
-    default = prices.where("model = 'default'").select(*[F.col(b).alias(f"d_{b}") for b in BUCKETS])
-    out = rows.join(prices.select("model", *[F.col(b).alias(f"p_{b}") for b in BUCKETS]), "model", "left").crossJoin(F.broadcast(default))  # one row
+    has that of ``default``, and without that none: its cost is null.  ``prices``:
+    model and a column per bucket; of rows that repeat a model the least price."""
+    default = prices.where("model = 'default'").agg(*[F.min(b).alias(f"d_{b}") for b in BUCKETS])
+    out = rows.join(prices.groupBy("model").agg(*[F.min(b).alias(f"p_{b}") for b in BUCKETS]), "model", "left").crossJoin(F.broadcast(default))  # one row
     amount: Column = F.lit(0.0)
     for b in BUCKETS:
         amount = amount + (F.col(f"share_{b}") + (F.col(f"direct_{b}") if b != "cache_read" else 0)) * F.coalesce(f"p_{b}", f"d_{b}")

@@ -11,21 +11,30 @@ from scriptorium.functions.identifiers import canonical_prefix, format_valid, lo
 from scriptorium.functions.text import normal_pmid, strip
 
 
-def validate_ids(ids: DataFrame, index: DataFrame, indexed: tuple[str, ...]) -> DataFrame:
+def validate_ids(ids: DataFrame, index: DataFrame, indexed: tuple[str, ...], skipped: tuple[str, ...] = (), broken: tuple[str, ...] = ()) -> DataFrame:
     """``ids`` (input_id) with prefix, format_valid, existence, label, ok.
 
-    ``index``: term_id, label, obsolete, of the prefixes ``indexed``.  The first
-    that holds: unknown_prefix, format_invalid, format_checked_only (no index has
-    the prefix), not_found, obsolete, exists.  Badly formed ids look nothing up.
+    ``index``: term_id, label, obsolete and perhaps ``place``, of the prefixes
+    ``indexed``; of terms that repeat an id the last place counts, of equal places
+    the one that is not obsolete.  The first that holds: unknown_prefix,
+    format_invalid, format_checked_only (no index has the prefix), not_checked
+    (the prefix is among ``skipped``), error (its index is among the ``broken``
+    ones, which could not be read), not_found, obsolete, exists.  Badly formed ids
+    look nothing up, and each id is looked up once.
     """
     c = F.col("input_id")
     out = ids.withColumns({"prefix": canonical_prefix(c), "format_valid": format_valid(c)})
     out = out.withColumn("key", F.when(F.col("format_valid"), F.concat("prefix", F.lit(":"), local_part(c))))
-    out = out.join(index.select(F.col("term_id").alias("key"), "label", "obsolete"), "key", "left")
+    place = F.col("place") if "place" in index.columns else F.lit(0)
+    term = F.max(F.struct(place.alias("at"), (~F.coalesce("obsolete", F.lit(False))).alias("live"), F.coalesce("label", F.lit("")).alias("label")))
+    known = index.groupBy(F.col("term_id").alias("key")).agg(term.alias("t"))
+    out = out.join(known.select("key", "t.label", (~F.col("t.live")).alias("obsolete")), "key", "left")
     existence = (
         F.when(F.col("prefix").isNull(), "unknown_prefix")
         .when(~F.col("format_valid"), "format_invalid")
         .when(~F.col("prefix").isin(*indexed), "format_checked_only")
+        .when(F.col("prefix").isin(*skipped), "not_checked")
+        .when(F.col("prefix").isin(*broken), "error")
         .when(F.col("label").isNull(), "not_found")
         .when(F.col("obsolete"), "obsolete")
         .otherwise("exists")

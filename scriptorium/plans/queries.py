@@ -99,11 +99,13 @@ def term_match_status(spark, d):
     return matching.match_status(phrases, matching.match_terms(phrases, part_terms(spark, d))).select("phrase", "n_offered", "n_withheld", "status")
 
 
-@query(f"""WITH {MATCHES} SELECT phrase AS phrase_id, sum(CASE WHEN contains(name, 'ring') THEN 0 ELSE 1 END)::BIGINT AS n_usable,
-sum(CASE WHEN contains(name, 'ring') THEN 1 ELSE 0 END)::BIGINT AS n_mismatched, sum(CASE WHEN contains(name, 'ring') THEN 0 ELSE 1 END) = 0 AS all_mismatched FROM kept GROUP BY phrase""")
+@query(f"""WITH {MATCHES}, r AS (SELECT phrase, sum(CASE WHEN name LIKE '% ring' THEN 0 ELSE 1 END)::BIGINT AS u, sum(CASE WHEN name LIKE '% ring' THEN 1 ELSE 0 END)::BIGINT AS m FROM kept GROUP BY phrase)
+SELECT p.phrase AS phrase_id, coalesce(u, 0) AS n_usable, coalesce(m, 0) AS n_mismatched, coalesce(u = 0 AND m > 0, false) AS all_mismatched FROM phrases p LEFT JOIN r ON p.phrase = r.phrase""")
 def context_review(spark, d):
-    found = matching.match_terms(part_phrases(spark, d), part_terms(spark, d))
-    return matching.context_review(found, "free-living", F.col("name").contains("ring"))
+    """Rings are taken for structures in a host."""
+    phrases = part_phrases(spark, d)
+    found = matching.match_terms(phrases, part_terms(spark, d)).withColumn("name", F.regexp_replace("name", " ring$", " in host ring"))
+    return matching.context_review(phrases, found, "free-living")
 
 
 PASSAGES = r"""
@@ -142,12 +144,11 @@ def part_index(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.explode(F.array(F.concat(F.lit("GO:"), number), F.concat(F.lit("BTO:"), number))).alias("term_id"), F.col("p_name").alias("label"), (p.p_size > 45).alias("obsolete"))
 
 
-@query(f"WITH {ID_SQL}, t AS (SELECT DISTINCT l_orderkey, upper(p) || ':' || local AS id FROM ids WHERE p <> 'XX') SELECT l_orderkey AS doc, count(*) AS n_ids FROM t GROUP BY l_orderkey")
+@query(f"WITH {ID_SQL} SELECT l_orderkey AS doc, count(DISTINCT CASE WHEN p <> 'XX' THEN upper(p) || ':' || local END) AS n_ids FROM ids GROUP BY l_orderkey")
 def id_extract(spark, d):
     """Identifiers within texts that are put together of each order's lines."""
     texts = line_ids(spark, d).groupBy("l_orderkey").agg(F.concat_ws(", see ", F.collect_list("input_id")).alias("text"))
-    found = texts.select(F.col("l_orderkey").alias("doc"), F.size(F.array_distinct(F.transform(identifiers.extract_ids(F.col("text")), F.upper))).cast("long").alias("n_ids"))
-    return found.where("n_ids > 0")
+    return texts.select(F.col("l_orderkey").alias("doc"), F.size(F.array_distinct(F.transform(identifiers.extract_ids(F.col("text")), F.upper))).cast("long").alias("n_ids"))
 
 
 VALIDATED = ID_SQL + r""",
@@ -286,11 +287,11 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query(f"WITH {EVENTS} SELECT ontology, norm, count(*) AS seen FROM e WHERE value <= 30 GROUP BY ontology, norm")
+@query(f"WITH {EVENTS} SELECT ontology, norm, count(*) AS seen, count(DISTINCT pmid) AS n_papers FROM e WHERE value <= 30 GROUP BY ontology, norm")
 def stream_gap_rank(spark, d):
     k = F.get_json_object("props", "$.k")
     events = _events(spark, d).where("value <= 30").select(F.col("event_type").alias("ontology"), F.concat(F.lit(" Phrase  "), k).alias("phrase"), F.lit("gap").alias("outcome"), F.col("user_id").cast("string").alias("pmid"))
-    return jobs.run_to_table(jobs.gap_counts(events), "complete").select("ontology", "norm", "seen")
+    return jobs.gap_totals(jobs.run_to_table(jobs.gap_counts(events), "complete"))
 
 
 @query("""WITH w AS (SELECT time_bucket(INTERVAL '1 day', ts) AS start, user_id AS session, count(*) AS n, round(sum(value), 4) AS tokens FROM events GROUP BY 1, 2)
@@ -385,10 +386,10 @@ a AS (SELECT o_orderkey AS draft, CASE WHEN o_orderkey % 11 = 0 THEN 'missing' E
   CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'GO:1' END AS term, CASE WHEN o_orderkey % 4 = 0 THEN 'physical_interaction' WHEN o_orderkey % 4 = 1 THEN 'molecular_function' ELSE 'phenotype' END AS type,
   CASE WHEN o_custkey % 10 = 0 THEN 'not_found' END AS bad, CASE WHEN o_custkey % 3 = 0 THEN 'Inferred from x' ELSE '' END AS note FROM orders),
 q AS (SELECT a.draft, CASE
-  WHEN feature <> 'g' OR gt.o IS NULL THEN 'annotation subject ''' || feature || ''' is not defined in the setup sections'
-  WHEN gt.st = 'held' THEN 'depends on an excluded feature' WHEN hold <> '' THEN 'held by curator (hold flag)'
-  WHEN term = '' AND type = 'physical_interaction' THEN '' WHEN term = '' THEN 'no ontology term resolved' WHEN bad IS NOT NULL THEN 'ontology ID not_found (--validate)'
-  WHEN type = 'molecular_function' AND note <> '' THEN 'interpretive molecular-function (no direct assay)' ELSE '' END AS reason
+  WHEN feature <> 'g' OR gt.o IS NULL THEN 'subject absent: ' || feature
+  WHEN gt.st = 'held' THEN 'subject held' WHEN hold <> '' THEN 'on hold'
+  WHEN term = '' AND type = 'physical_interaction' THEN '' WHEN term = '' THEN 'no term' WHEN bad IS NOT NULL THEN 'term not_found'
+  WHEN type = 'molecular_function' AND note <> '' THEN 'not assayed' ELSE '' END AS reason
   FROM a LEFT JOIN genotype gt ON a.draft = gt.o)"""
 
 
@@ -613,7 +614,7 @@ def figure_audit(spark, d):
 
 
 @query("""WITH r AS (SELECT p_brand AS doc, p_partkey AS seq, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS n, p_name AS base FROM part)
-SELECT doc, seq, CASE WHEN n = 1 THEN base ELSE base || chr(CAST(96 + n AS INTEGER)) END AS name FROM r""")
+SELECT doc, seq, CASE WHEN n = 1 THEN base WHEN n <= 26 THEN base || chr(CAST(96 + n AS INTEGER)) ELSE base || '-' || (n - 25) END AS name FROM r""")
 def unique_names(spark, d):
     return documents.unique_names(table(spark, d, "part").select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("base"))).select("doc", "seq", "name")
 
@@ -651,7 +652,7 @@ def snapshot_diff(spark, d):
 
 @query("""WITH r AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 3 ELSE 5 END AS rank, o_orderstatus FROM orders),
 l AS (SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END)::BIGINT AS ok, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS flagged FROM (SELECT DISTINCT l_orderkey, l_linenumber, max(l_returnflag) OVER (PARTITION BY l_orderkey, l_linenumber) AS l_returnflag FROM lineitem) x GROUP BY l_orderkey)
-SELECT o_orderkey AS draft, rank AS triage_rank, ok AS n_ok, flagged AS n_flagged FROM r JOIN l ON o_orderkey = l_orderkey""")
+SELECT o_orderkey AS draft, rank AS triage_rank, coalesce(ok, 0) AS n_ok, coalesce(flagged, 0) AS n_flagged FROM r LEFT JOIN l ON o_orderkey = l_orderkey""")
 def batch_review(spark, d):
     """Drafts whose checks are maps from line to verdict."""
     verdict = F.when(F.col("f") == "A", "ok, fine").when(F.col("f") == "R", "FLAG it").otherwise("none")
@@ -659,7 +660,7 @@ def batch_review(spark, d):
     checks = lines.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct(F.col("l_linenumber").cast("string"), verdict))).alias("m"))
     p = F.col("o_orderpriority")
     triage = F.when(p == "1-URGENT", "needs_human_decision").when(p == "2-HIGH", "in_scope").otherwise("nonsense")
-    both = table(spark, d, "orders").join(checks, F.col("o_orderkey") == F.col("l_orderkey"))
+    both = table(spark, d, "orders").join(checks, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     signal = catalog.check_signal(F.col("m"))
     return both.select(F.col("o_orderkey").alias("draft"), catalog.triage_rank(triage).alias("triage_rank"), signal.n_ok.cast("long").alias("n_ok"), signal.n_flagged.cast("long").alias("n_flagged"))
 

@@ -30,7 +30,7 @@ RELEASE_ALIASES = {
 def _tag(lines: str, tag: str) -> Column:
     """Values of a tag's lines within a stanza."""
     hits = F.filter(lines, lambda x: x.startswith(tag + ":"))
-    return F.transform(hits, lambda x: F.trim(F.substring(x, len(tag) + 2, 100_000)))
+    return F.transform(hits, lambda x: F.trim(F.substr(x, F.lit(len(tag) + 2))))
 
 
 def read_obo(spark: SparkSession, path: str, prefix: str, annotatable_only: bool = False, label_marks_obsolete: bool = True) -> DataFrame:
@@ -89,12 +89,17 @@ def append_gaps(events: DataFrame, path: str) -> None:
 
 
 def read_turns(spark: SparkSession, path: str) -> DataFrame:
-    """Turns that report their usage; lines that cannot be read are skipped."""
+    """Turns that report their usage, with their place (turn) within the session and
+    what they say (blob): text parts and tool inputs, or plain content, lower-cased.
+    Lines that cannot be read are skipped."""
     raw = spark.read.schema(TURN).json(path, mode="PERMISSIVE")
+    parts = F.from_json("message.content", "array<struct<type:string,text:string,input:string>>")
+    said = F.concat_ws("\n", F.flatten(F.transform(parts, lambda p: F.array_compact(F.array(p.text, p.input)))))
+    blob = F.lower(F.coalesce(F.when(F.col("message.content").startswith("["), said), "message.content", F.lit("")))
     u = lambda c: F.coalesce(F.col(f"message.usage.{c}"), F.lit(0))
     return raw.where("message.usage is not null").select(
         F.coalesce("message.model", F.lit("?")).alias("model"), u("input_tokens").alias("inp"), u("output_tokens").alias("out"), u("cache_creation_input_tokens").alias("cache_write"),
-        u("cache_read_input_tokens").alias("cache_read"), F.lower(F.coalesce("message.content", F.lit(""))).alias("blob"), F.col("_metadata.file_path").alias("session"),
+        u("cache_read_input_tokens").alias("cache_read"), blob.alias("blob"), F.col("_metadata.file_path").alias("session"), F.monotonically_increasing_id().alias("turn"),
     )
 
 

@@ -13,9 +13,14 @@ from scriptorium.operators import tracking, validation
 
 
 def gap_counts(events: DataFrame) -> DataFrame:
-    """Running counts of each gap; state grows with distinct phrases only."""
+    """Running counts of each gap in each paper; state grows with distinct pairs."""
     gaps = events.where("outcome = 'gap'").withColumn("norm", normal_phrase(F.col("phrase")))
-    return gaps.groupBy("ontology", "norm").agg(F.count(F.lit(1)).alias("seen"), F.approx_count_distinct("pmid").alias("n_papers"))
+    return gaps.groupBy("ontology", "norm", "pmid").agg(F.count(F.lit(1)).alias("seen"))
+
+
+def gap_totals(counts: DataFrame) -> DataFrame:
+    """What ``gap_counts`` wrote, by gap, with its number of papers."""
+    return counts.groupBy("ontology", "norm").agg(F.sum("seen").alias("seen"), F.countDistinct("pmid").alias("n_papers"))
 
 
 def tokens_by_window(turns: DataFrame, length: str = "5 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -39,6 +44,9 @@ def upsert_each(path: str, keys: list[str], order: str) -> Callable[[DataFrame,
         if epoch:
             table = spark.read.schema(batch.schema).parquet(f"{path}/v{epoch - 1}")
         tracking.upsert(table, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        if epoch > 1:  # a replay needs the version before it, and no older one
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{epoch - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return put
 
@@ -54,7 +62,11 @@ def first_seen(rows: DataFrame, key: str, ts: str = "ts", late: str = "10 minute
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-streams-")
     return f"{base}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
 
 
@@ -82,4 +94,6 @@ def run_upserts(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
         last.append(epoch)
 
     stream.writeStream.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+    if not last:  # nothing came
+        return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{folder}/table/v{last[-1]}")
