@@ -41,8 +41,15 @@ def without_tags(c: Column) -> Column:
 
 
 def table_cell(c: Column) -> Column:
-    """Safe within a cell of a pipe table."""
-    return F.regexp_replace(F.regexp_replace(text_or_empty(c), r"\|", r"\\|"), r"\s*\n\s*", " ")
+    """Safe within a cell of a pipe table: one line, pipes escaped."""
+    return strip(F.regexp_replace(F.regexp_replace(text_or_empty(c), r"\|", r"\\|"), r"(?U)\s+", " "))
+
+
+def term_cell(term_id: Column, name: Column) -> Column:
+    """A term's name and id; one without id is marked as unresolved."""
+    known, said = text_or_empty(term_id), text_or_empty(name)
+    named = F.when(said != "", F.concat(said, F.lit(" — "), known)).otherwise(known)
+    return table_cell(F.when(known != "", named).otherwise(F.concat(F.lit("⚠ "), F.coalesce(F.nullif(said, F.lit("")), F.lit("(unresolved)")))))
 
 
 def lenient_int(c: Column) -> Column:
@@ -86,9 +93,20 @@ def word_jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))
 
 
-def figure_numbers(c: Column) -> Column:
-    """Distinct figure numbers that a text cites, in order."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?i)\bfig(?:ure|s|\.)?\.?\s*(S?\d+)"), 1))
+_CITED = r"(?i)\bfig(?:ure)?s?\.?\s*(\d+)"
+
+
+def figure_labels(c: Column) -> Column:
+    """Distinct figures that a text cites, in order, as 'Figure n'."""
+    numbers = F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(_CITED), 1))
+    return F.transform(numbers, lambda n: F.concat(F.lit("Figure "), n))
+
+
+def figure_label(c: Column) -> Column:
+    """'Fig 5A', 'figure 5' and '5' as 'Figure 5'; what names no number as it is."""
+    said = text_or_empty(c)
+    number = F.coalesce(F.nullif(F.regexp_extract(said, _CITED, 1), F.lit("")), F.nullif(F.regexp_extract(said, r"^(\d+)", 1), F.lit("")))
+    return F.coalesce(F.concat(F.lit("Figure "), number), said)
 
 
 #: Pixels a token stands for, and what pictures are scaled down to.
@@ -101,10 +119,32 @@ def image_tokens(width: Column, height: Column) -> Column:
     return F.when((width > 0) & (height > 0), F.bround(width * scale * (height * scale) / PIXELS_PER_TOKEN, 0)).otherwise(0).cast("long")
 
 
-def extensions_text(c: Column) -> Column:
-    """relation=value pairs of an array of structs."""
-    shown = F.filter(c, lambda e: text_or_empty(e.relation) != "")
-    return F.array_join(F.transform(shown, lambda e: F.concat(text_or_empty(e.relation), F.lit("="), text_or_empty(e.value))), " · ")
+def extensions_text(c: Column, without: tuple[str, ...] = ()) -> Column:
+    """relation=value pairs of an array of structs, but those of some relations."""
+    relation = lambda e: text_or_empty(e.relation)
+    shown = F.filter(c, lambda e: (relation(e) != "") & ~relation(e).isin(*without) if without else relation(e) != "")
+    return F.coalesce(F.array_join(F.transform(shown, lambda e: F.concat(relation(e), F.lit("="), text_or_empty(e.value))), " · "), F.lit(""))
+
+
+def extension_values(c: Column, relation: str) -> Column:
+    """The values of one relation."""
+    held = F.filter(c, lambda e: text_or_empty(e.relation) == relation)
+    return F.coalesce(F.array_join(F.transform(held, lambda e: text_or_empty(e.value)), "; "), F.lit(""))
+
+
+def stamp(tool: str, model: Column, date: Column, revision: Column | None = None, today: Column | None = None) -> Column:
+    """What made an output, of which revision, on which day; missing parts are left
+    out, and without a date ``today`` stands."""
+    said = [F.concat_ws(" · ", F.lit(tool), F.nullif(text_or_empty(model), F.lit("")))]
+    if revision is not None:
+        said.append(F.concat(F.lit("commit "), F.nullif(text_or_empty(revision), F.lit(""))))
+    day = F.coalesce(F.nullif(text_or_empty(date), F.lit("")), (F.current_date() if today is None else today).cast("string"))
+    return F.concat_ws(" · ", *said, F.concat(F.lit("date "), day))
+
+
+def truncated(c: Column, most: int) -> Column:
+    """At most ``most`` letters, the last an ellipsis if some are missing."""
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 1), F.lit("…"))).otherwise(c)
 
 
 def citation(author: Column, year: Column, fallback: Column) -> Column:

@@ -102,3 +102,42 @@ def contract_errors(checks: dict[str, Column]) -> Column:
 
 def only_new(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return rows.join(known.select(key).distinct(), key, "left_anti")
+
+
+# Categories of flags in their order.
+FLAGS = ("needs_pmid", "needs_accession", "needs_term_choice", "needs_genotype_modelling", "needs_evidence_code", "scope_question", "completeness_gap", "other")
+
+
+def review_order(triage: Column, n_flags: Column, name: Column) -> list[Column]:
+    """Drafts by verdict, most attention first, then most flags, then name."""
+    return [triage_rank(triage), n_flags.desc(), name]
+
+
+def flag_place(category: Column) -> list[Column]:
+    """Known categories in their order, then others by name."""
+    at = F.array_position(F.array(*map(F.lit, FLAGS)), category)
+    return [F.when(at > 0, at).otherwise(len(FLAGS) + 1), category]
+
+
+def by_topic(records: DataFrame, first: int | None = None) -> DataFrame:
+    """(topic, name, place): each record (name, topics) under every topic it has."""
+    rows = records.select(F.explode(F.array_distinct("topics")).alias("topic"), "name")
+    out = rows.withColumn("place", F.row_number().over(W.partitionBy("topic").orderBy("name")))
+    return out if first is None else out.where(F.col("place") <= first)
+
+
+def snapshot_summary(files: DataFrame, prefix: str) -> DataFrame:
+    """``files`` (name, text) with release, n_terms and digest of each: the first twelve
+    digits of its text's SHA-256."""
+    terms = F.regexp_count("text", F.lit(rf"(?m)^id:\s*{prefix}:"))
+    return files.select("name", F.nullif(F.regexp_extract("text", r"(?m)^data-version:\s*(.+?)\s*$", 1), F.lit("")).alias("release"), terms.cast("long").alias("n_terms"), F.substring(F.sha2(F.encode("text", "utf-8"), 256), 1, 12).alias("digest"))
+
+
+# What a curated record has to say.
+RECORD_STATUSES = ("validated", "draft")
+
+
+def record_errors(types: tuple[str, ...]) -> Column:
+    """What is wrong with a record (name, status, topics, type)."""
+    said = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    return contract_errors({"name": said("name"), "status": F.col("status").isin(*RECORD_STATUSES), "topics": F.size("topics") > 0, "type": F.col("type").isin(*types)})

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from scriptorium.functions.identifiers import extract_ids
-from scriptorium.functions.text import locus_tags
+from scriptorium.functions.text import locus_tags, strip
 
 
 def page_offsets(pages: DataFrame) -> DataFrame:
@@ -40,9 +40,35 @@ def section_bounds(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return rows.select("doc", "s.section", "s.start", F.coalesce(end, "n").alias("end"))
 
 
-#: Beginnings of captions: a figure or a table, its number, then its text to the paragraph's end.
-_CAPTION = re.compile(r"^[ \t]*(?P<kind>Supplementary Figure|Figure|Fig\.?|Table)[ \t]+(?P<number>S?\d+[A-Za-z]?)[.:|)]?[ \t]*(?P<text>(?:[^\n]+\n?)+?)(?=\n[ \t]*\n|\Z|\n[ \t]*(?:Figure|Fig\.?|Table)[ \t]+S?\d)", re.M | re.I)
+#: A caption begins with its kind and number, anywhere, and goes on to the line's end.
+_CAPTION = re.compile(r"\b(?P<kind>figure|fig\.?|table)\s+(?P<number>\d+[a-z]*|S\d+[a-z]*|(?-i:[IVXL]+)\b)[:\-.\s–]*(?P<text>[^\n]*)", re.I)
+# Least lengths, what is left out of captions, words that describe, and what speaks for a caption.
 LEAST_LENGTH = {"figure": 10, "table": 5}
+ARTIFACTS = (r"^\W+", r"\s+\d+\s*$", r"\([Cc]olor online\)", r"\([Cc]olour figure can be viewed at.*?\)", r"[.\s]*\([Ss]ee [Tt]ext\)")
+DESCRIPTIVE = ("showing", "demonstrating", "illustrating", "depicting", "represents", "indicates", "analysis", "comparison", "effect")
+LONGEST_CAPTION, SURE = 800, {"text": 0.5, "label": 0.3, "good length": 0.2, "odd length": -0.2, "full stop": 0.1, "descriptive": 0.2}
+
+
+def clean_caption(text: str) -> str:
+    """Without artifacts; of a very long one three sentences."""
+    text = " ".join(text.split())
+    for pattern in ARTIFACTS:
+        text = re.sub(pattern, "", text)
+    text = " ".join(text.split())
+    if len(text) <= LONGEST_CAPTION:
+        return text
+    sentences = re.split("[.!?]+", text)
+    return ". ".join(sentences[:3]) + "." if len(sentences) > 1 else text[:LONGEST_CAPTION] + "..."
+
+
+def caption_confidence(number: str, caption: str) -> float:
+    """Between 0 and 1; Roman and supplementary numbers don't make a good label."""
+    n, low = len(caption), caption.lower()
+    holds = {
+        "text": n > 10, "label": number[:1].isdigit(), "good length": 20 <= n <= 300, "odd length": n < 20 or n > 500,
+        "full stop": caption.endswith("."), "descriptive": any(w in low for w in DESCRIPTIVE),
+    }
+    return round(min(1.0, max(0.0, sum(SURE[k] for k, held in holds.items() if held))), 2)
 
 
 def captions(docs: DataFrame) -> DataFrame:
@@ -53,12 +79,9 @@ def captions(docs: DataFrame) -> DataFrame:
             rows = []
             for doc, text in zip(part["doc"], part["text"]):
                 for m in _CAPTION.finditer(text or ""):
-                    kind = "table" if m["kind"].lower() == "table" else "figure"
-                    said = " ".join(m["text"].split())
-                    if len(said) >= LEAST_LENGTH[kind]:
-                        said = " ".join(re.split(r"(?<=[.!?])\s+", said)[:3])[:800]
-                        sure = 0.5 + 0.2 * (len(said) >= 30) + 0.15 * said[:1].isupper() + 0.15 * said.endswith(".")
-                        rows.append((doc, kind, m["number"].upper(), said, m.start(), m.end(), round(min(1.0, sure), 2)))
+                    kind, said = "table" if m["kind"].lower() == "table" else "figure", clean_caption(m["text"])
+                    if (kind == "table" or m["number"][0].isdigit()) and len(said) > LEAST_LENGTH[kind]:
+                        rows.append((doc, kind, m["number"], said, m.start(), m.end(), caption_confidence(m["number"], said)))
             yield pd.DataFrame(rows, columns=["doc", "kind", "number", "caption", "start", "end", "confidence"])
 
     kind = dict(docs.dtypes)["doc"]
@@ -77,25 +100,89 @@ def best_captions(found: DataFrame, alike: float = 0.8) -> DataFrame:
     return by.select("doc", "kind", "number", F.explode(kept).alias("c")).select("doc", "kind", "number", "c.caption", "c.start", "c.end", "c.confidence")
 
 
-def figure_audit(roster: DataFrame, ledger: DataFrame, cited: DataFrame) -> DataFrame:
-    """Per document: figures of the roster, of the ledger and cited by annotations.
+def _is_read() -> Column:
+    return F.coalesce(F.col("inspected") & (F.trim(F.coalesce("read", F.lit(""))) != ""), F.lit(False))
 
-    ``roster``: doc, label; ``ledger``: doc, label, inspected, read; ``cited``:
-    doc, label.  Read means ticked and with a reading.
+
+def figures_at_once(roster: DataFrame, ledger: DataFrame, cited: DataFrame) -> DataFrame:
+    """One row per document and figure of any of the three, with what each says.
+
+    ``roster``: doc, label, openable, tokens; ``ledger``: doc, label, inspected,
+    read, note; ``cited``: doc, label, required, a row for each annotation that
+    cites the figure.  Read means ticked and with a reading.
     """
-    is_read = F.col("inspected") & (F.trim(F.coalesce("read", F.lit(""))) != "")
-    one = lambda df, flag: df.select("doc", "label").distinct().withColumn(flag, F.lit(True))
-    read = ledger.groupBy("doc", "label").agg(F.bool_or(F.coalesce(is_read, F.lit(False))).alias("is_read"), F.bool_or(F.coalesce("inspected", F.lit(False))).alias("ticked"))
-    every = one(roster, "listed").join(read.withColumn("logged", F.lit(True)), ["doc", "label"], "full").join(one(cited, "cited"), ["doc", "label"], "full")
-    every = every.fillna(False, ["listed", "is_read", "ticked", "logged", "cited"])
-    has = F.bool_or("listed")
-    n = lambda c: F.count_if(c)
-    listed, logged, done, ticked, quoted = (F.col(c) for c in ("listed", "logged", "is_read", "ticked", "cited"))
-    out = every.groupBy("doc").agg(
+    note = F.trim(F.coalesce("note", F.lit(""))) != ""
+    r = roster.groupBy("doc", "label").agg(F.lit(True).alias("listed"), F.bool_or(F.coalesce("openable", F.lit(True))).alias("openable"), F.max("tokens").alias("tokens"))
+    log = ledger.groupBy("doc", "label").agg(F.lit(True).alias("logged"), F.bool_or(_is_read()).alias("is_read"), F.bool_or(F.coalesce("inspected", F.lit(False))).alias("ticked"), F.bool_or(note).alias("noted"))
+    c = cited.groupBy("doc", "label").agg(F.count(F.lit(1)).alias("n_cited"), F.count_if(F.coalesce("required", F.lit(False))).alias("n_required"))
+    every = r.join(log, ["doc", "label"], "full").join(c, ["doc", "label"], "full")
+    return every.fillna(False, ["listed", "logged", "is_read", "ticked", "noted"]).fillna(True, ["openable"]).fillna(0, ["tokens", "n_cited", "n_required"])
+
+
+def figure_audit(roster: DataFrame, ledger: DataFrame, cited: DataFrame) -> DataFrame:
+    """Per document (see ``figures_at_once``): figures missing in the ledger, unknown
+    to the roster where there is one, read, ticked but not read, declined with a
+    note, and annotations that need, or merely cite, a figure nobody read.
+    Complete: there is a ledger, every tick has a reading, every need is met."""
+    listed, logged, done, ticked, noted = (F.col(c) for c in ("listed", "logged", "is_read", "ticked", "noted"))
+    n, has = F.count_if, F.bool_or("listed")
+    left = lambda c: F.sum(F.when(~done, c).otherwise(0))
+    out = figures_at_once(roster, ledger, cited).groupBy("doc").agg(
         F.when(has, n(listed)).otherwise(n(logged)).alias("total"), n(listed & ~logged).alias("missing"), F.when(has, n(logged & ~listed)).otherwise(F.lit(0)).alias("unknown"),
-        n(done).alias("inspected"), n(ticked & ~done).alias("claimed_not_read"), n(quoted & ~done).alias("required_uninspected"),
+        n(done).alias("inspected"), n(ticked & ~done).alias("claimed_not_read"), n(logged & ~ticked & noted).alias("declined"), n(listed & ~F.col("openable")).alias("not_openable"),
+        left(F.col("n_required")).alias("required_uninspected"), left(F.col("n_cited") - F.col("n_required")).alias("optional_uninspected"), F.bool_or(logged).alias("has_ledger"),
     )
-    return out.withColumn("complete", (F.col("missing") == 0) & (F.col("required_uninspected") == 0) & (F.col("claimed_not_read") == 0))
+    return out.withColumn("complete", F.col("has_ledger") & (F.col("required_uninspected") == 0) & (F.col("claimed_not_read") == 0))
+
+
+def reading_plan(roster: DataFrame, ledger: DataFrame, cited: DataFrame) -> DataFrame:
+    """One row per figure that is cited or listed (see ``figures_at_once``), by its
+    ``place`` in the document's order of labels, shorter ones first: whether it is
+    needed, required, read, and what reading it costs."""
+    every = figures_at_once(roster, ledger, cited).where("n_cited > 0 or listed")
+    place = F.row_number().over(W.partitionBy("doc").orderBy(F.length(F.col("label").cast("string")), "label"))
+    state = F.when(F.col("n_cited") == 0, "not needed").when(F.col("is_read"), "read").when(F.col("n_required") > 0, "required").otherwise("pending")
+    return every.select("doc", "label", place.alias("place"), "n_cited", state.alias("state"), "tokens")
+
+
+def reading_costs(plan: DataFrame) -> DataFrame:
+    """Tokens per document: of figures still to read, those required, those not needed."""
+    of = lambda *states: F.sum(F.when(F.col("state").isin(*states), F.col("tokens")).otherwise(0))
+    return plan.groupBy("doc").agg(of("pending", "required").alias("pending_tokens"), of("required").alias("required_tokens"), of("not needed").alias("not_needed_tokens"))
+
+
+def section_text(text: Column, name: Column) -> Column:
+    """A section's lines of more than three letters, blank lines between them, without
+    what names the section at its head and without page marks."""
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(True).alias("head"))
+
+    def step(acc: Column, line: Column) -> Column:
+        head = acc["head"] & ((line == "") | F.lower(line).contains(F.lower(name)))
+        keep = ~head & (F.length(line) > 3) & ~line.startswith("--- PAGE")
+        return F.struct(F.when(keep, F.concat(acc["kept"], F.array(line))).otherwise(acc["kept"]).alias("kept"), head.alias("head"))
+
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip)
+    return F.array_join(F.aggregate(lines, start, step, lambda acc: acc["kept"]), "\n\n")
+
+
+def media_captions(media: DataFrame, found: DataFrame) -> DataFrame:
+    """``media`` (doc, kind, number, ...) with the surest caption of its number, and
+    captions of tables that no medium has, as rows of status uncovered."""
+    sure = F.min(F.struct((-F.col("confidence")).alias("doubt"), "start", "caption"))
+    best = found.groupBy("doc", "kind", "number").agg(sure.alias("c")).select("doc", "kind", "number", F.col("c.caption").alias("caption"))
+    out = media.join(best, ["doc", "kind", "number"], "left").withColumn("status", F.when(F.col("caption").isNull(), "no caption").otherwise("captioned"))
+    bare = best.where("kind = 'table'").join(media.select("doc", "kind", "number").distinct(), ["doc", "kind", "number"], "left_anti")
+    return out.unionByName(bare.withColumn("status", F.lit("uncovered")), allowMissingColumns=True)
+
+
+def conversion_quality(media: DataFrame, found: DataFrame, sections: DataFrame, sure: float = 0.8, least: int = 100) -> DataFrame:
+    """Per document: media, those with captions, table captions without a medium, sure
+    captions, sections, and those of more than ``least`` letters (start, end)."""
+    m = media_captions(media, found).groupBy("doc").agg(F.count_if(F.col("status") != "uncovered").alias("n_media"), F.count_if(F.col("status") == "captioned").alias("n_captioned"), F.count_if(F.col("status") == "uncovered").alias("n_uncovered"))
+    c = found.groupBy("doc").agg(F.count_if(F.col("confidence") > sure).alias("n_sure"))
+    s = sections.groupBy("doc").agg(F.count(F.lit(1)).alias("n_sections"), F.count_if(F.col("end") - F.col("start") > least).alias("n_with_content"))
+    out = m.join(c, "doc", "full").join(s, "doc", "full")
+    return out.fillna(0, [x for x in out.columns if x != "doc"])
 
 
 def nearest_captions(images: DataFrame, captions_: DataFrame, slack: float = 5.0, reach: float = 220.0, least_px: int = 50) -> DataFrame:

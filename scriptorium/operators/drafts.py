@@ -76,8 +76,14 @@ def queue_items(annotations: DataFrame, states: DataFrame, sections: tuple[str,
     return out.withColumn("disposition", F.when(F.col("reason") == "", "enter").otherwise("parked"))
 
 
-def queue_counts(items: DataFrame) -> DataFrame:
-    return items.groupBy("draft").agg(F.count_if(F.col("disposition") == "enter").alias("n_enter"), F.count_if(F.col("disposition") == "parked").alias("n_parked"))
+def queue_counts(items: DataFrame, genes: DataFrame | None = None) -> DataFrame:
+    """Per draft: annotations to enter and parked; with ``genes`` (draft, name,
+    problem) also genes to enter and held."""
+    out = items.groupBy("draft").agg(F.count_if(F.col("disposition") == "enter").alias("n_enter"), F.count_if(F.col("disposition") == "parked").alias("n_parked"))
+    if genes is None:
+        return out
+    by = genes.groupBy("draft").agg(F.count_if(F.col("problem").isNull()).alias("n_genes_enter"), F.count_if(F.col("problem").isNotNull()).alias("n_genes_held"))
+    return out.join(by, "draft", "full").fillna(0, ["n_enter", "n_parked", "n_genes_enter", "n_genes_held"])
 
 
 def unused_genotypes(genotypes: DataFrame, references: DataFrame) -> DataFrame:
@@ -122,3 +128,33 @@ def section_numbers(rows: DataFrame, order: str) -> DataFrame:
     """(draft, type, n): sections that have rows, numbered without gaps in their fixed order."""
     present = rows.groupBy("draft", "type").agg(F.min(order).alias("_at"))
     return present.select("draft", "type", F.row_number().over(W.partitionBy("draft").orderBy("_at", "type")).alias("n"))
+
+
+def genotype_roles(genotypes: DataFrame, metagenotypes: DataFrame) -> DataFrame:
+    """``genotypes`` (draft, name, ...) with role: host or pathogen as metagenotypes
+    (draft, pathogen_genotype, host_genotype) use it, host first; null if none does."""
+    sides = F.array(F.struct(F.col("host_genotype").alias("name"), F.lit("host").alias("role")), F.struct(F.col("pathogen_genotype").alias("name"), F.lit("pathogen").alias("role")))
+    used = metagenotypes.select("draft", F.explode(sides).alias("s")).select("draft", "s.name", "s.role").groupBy("draft", "name").agg(F.min("role").alias("role"))
+    return genotypes.drop("role").join(used, ["draft", "name"], "left")
+
+
+def annotation_references(annotations: DataFrame) -> DataFrame:
+    """(draft, name): what annotations (draft, feature, extensions) point at, features
+    and the values of controls, several of which may stand between semicolons."""
+    controls = F.filter(F.coalesce("extensions", F.array().cast("array<struct<relation:string,value:string>>")), lambda e: text_or_empty(e.relation) == "compared_to_control")
+    named = F.flatten(F.transform(controls, lambda e: F.split(text_or_empty(e.value), ";")))
+    every = F.transform(F.concat(F.array("feature"), named), text_or_empty)
+    return annotations.select("draft", F.explode(every).alias("name")).where("name <> ''").distinct()
+
+
+def genotype_usage(genotypes: DataFrame, metagenotypes: DataFrame, annotations: DataFrame) -> DataFrame:
+    """``genotypes`` (draft, name, role: as declared) with usage: ok; unused (neither
+    a metagenotype, an annotation nor a control names it); no metagenotype (a
+    pathogen that only annotations name).  A host is one by use or declaration."""
+    side = lambda c, flag: metagenotypes.select("draft", text_or_empty(F.col(c)).alias("name")).distinct().withColumn(flag, F.lit(True))
+    out = genotypes.where(text_or_empty(F.col("name")) != "").join(side("host_genotype", "_host"), ["draft", "name"], "left").join(side("pathogen_genotype", "_path"), ["draft", "name"], "left")
+    out = out.join(annotation_references(annotations).withColumn("_named", F.lit(True)), ["draft", "name"], "left")
+    host, path, named = (F.coalesce(c, F.lit(False)) for c in ("_host", "_path", "_named"))
+    is_host = host | F.lower(text_or_empty(F.col("role"))).contains("host")
+    usage = F.when(~host & ~path & ~named, "unused").when(is_host & ~host & ~named, "unused").when(~is_host & ~path, "no metagenotype").otherwise("ok")
+    return out.withColumn("usage", usage).drop("_host", "_path", "_named")

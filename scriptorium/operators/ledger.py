@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from scriptorium.functions.text import normal_phrase, text_or_empty
 
@@ -57,7 +57,7 @@ def gap_rank(events: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("papers", "variants", "contexts")})
 
 
-def gap_order(ranked: DataFrame) -> list[Column]:
+def gap_order() -> list[Column]:
     return [F.col("filed").isNotNull(), F.desc("n_papers"), F.desc("seen"), F.col("norm"), F.col("ontology")]
 
 
@@ -65,3 +65,12 @@ def synonym_rank(events: DataFrame) -> DataFrame:
     """Terms that were there but missed, by the number of wordings that missed them."""
     missed = events.where("outcome = 'synonym' and matched_term is not null and matched_term <> ''")
     return missed.groupBy("ontology", "matched_term").agg(F.countDistinct("phrase").alias("n_missed"), F.countDistinct("pmid").alias("n_papers"))
+
+
+def ranked(found: DataFrame, order: list[Column], first: int) -> DataFrame:
+    """The first rows of a ranking, with their place."""
+    return found.orderBy(*order).limit(first).withColumn("place", F.row_number().over(W.orderBy(*order)))
+
+
+def synonym_order() -> list[Column]:
+    return [F.desc("n_missed"), F.col("matched_term"), F.col("ontology")]

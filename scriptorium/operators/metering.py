@@ -57,3 +57,12 @@ def latest_by_key(rows: DataFrame, keys: list[str], order: list[Column]) -> Data
 
 def cost_by_model(costs: DataFrame) -> DataFrame:
     return costs.groupBy("model").agg(F.count(F.lit(1)).alias("runs"), F.sum("cost").alias("cost"))
+
+
+def history(rows: DataFrame) -> DataFrame:
+    """Stored costs (n_articles, overhead_total, direct_tokens, computed_at, pmid, ...)
+    with the share of the overhead, derived on reading and rounded once, half to
+    even, the total, and the place by age, newest first, of each article."""
+    share = F.bround(F.coalesce("overhead_total", F.lit(0)) / F.greatest(F.coalesce("n_articles", F.lit(1)), F.lit(1)), 0).cast("long")
+    place = F.row_number().over(W.partitionBy("pmid").orderBy(F.desc("computed_at"), "session"))
+    return rows.withColumn("overhead_share", share).withColumn("total_tokens", F.coalesce("direct_tokens", F.lit(0)) + F.col("overhead_share")).withColumn("place", place)

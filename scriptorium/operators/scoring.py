@@ -54,3 +54,9 @@ def item_accuracy(ratings: DataFrame) -> DataFrame:
 def group_scores(papers: DataFrame) -> DataFrame:
     """Means of papers' scores, each paper counting once."""
     return papers.groupBy("group").agg(F.count(F.lit(1)).alias("n_papers"), F.avg("accuracy").alias("accuracy"), F.avg("completeness").alias("completeness"))
+
+
+def sheet_totals(ratings: DataFrame) -> DataFrame:
+    """Per group: papers, tokens (each paper's once) and the models, in order."""
+    papers = ratings.groupBy("paper", "group").agg(F.max("tokens").alias("tokens"), F.max("model").alias("model"))
+    return papers.groupBy("group").agg(F.count(F.lit(1)).alias("n_papers"), F.sum("tokens").alias("tokens"), F.array_sort(F.collect_set("model")).alias("models"))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from scriptorium.functions.text import text_or_empty
+from scriptorium.operators.validation import figures_available, source_route
 
 # Statuses by order of work, and those that count as complete.
 STATUSES = ("queued", "in_progress", "curated", "reviewed", "published")
@@ -111,3 +114,122 @@ def record_completion(articles: DataFrame, done: DataFrame) -> tuple[DataFrame,
     changed = met.where("not created").select("article_id", F.lit("curated").alias("status"), F.lit(0).alias("seq"))
     after = set_status(articles, changed).unionByName(fresh, allowMissingColumns=True)
     return after, met
+
+
+# Relations of the tracking store, the values that some columns allow, what is unique, and the order of statuses on lists.
+RELATIONS = {
+    "species": "id long, name string, type string, taxonomy_id string, common_name string, notes string",
+    "articles": "id long, pmid string, doi string, title string, journal string, pub_year int, authors string, status string, curator string, priority string, obsidian_note_path string, source_route string, source_file string, figures_available int, figures_inspected int, figures_total int",
+    "proteins": "id long, gene_id string, uniprot_id string, species_id long, name string, gene_name string, function_summary string, protein_type string",
+    "curation_sessions": "id long, session_date date, curator string, article_id long, session_duration_hours double, proteins_curated int, interactions_added int, experiments_annotated int, notes string",
+    "protein_article_mentions": "id long, protein_id long, article_id long, mention_context string, experimental_evidence string, curated int",
+}
+ALLOWED = {
+    "species": {"type": ("host", "pathogen")},
+    "articles": {"status": STATUSES, "priority": ("low", "medium", "high")},
+    "proteins": {"protein_type": ("effector", "resistance", "virulence", "other")},
+    "protein_article_mentions": {"experimental_evidence": ("complementation", "knockout", "overexpression", "biochemical", "other")},
+}
+UNIQUE = {"articles": (("pmid",),), "protein_article_mentions": (("protein_id", "article_id"),)}
+LISTED = ("in_progress", "queued", "curated", "reviewed", "published")
+
+
+def relation_errors(name: str, rows: DataFrame) -> DataFrame:
+    """(relation, problem, n) of a relation's rows: values that a column does not
+    allow, and further rows of a key that is unique; nulls are allowed."""
+    found = None
+    for column, values in ALLOWED.get(name, {}).items():
+        part = rows.agg(F.count_if(~F.col(column).isin(*values)).alias("n")).select(F.lit(f"{column} not allowed").alias("problem"), "n")
+        found = part if found is None else found.unionByName(part)
+    for keys in UNIQUE.get(name, ()):
+        by = rows.dropna(subset=list(keys)).groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("m"))
+        part = by.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n")).select(F.lit(f"{', '.join(keys)} repeated").alias("problem"), "n")
+        found = part if found is None else found.unionByName(part)
+    return found.select(F.lit(name).alias("relation"), "problem", "n")
+
+
+def inserted(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The table after inserts, each row with its disposition: there, inserted, or
+    rejected: of a key that the table has, or that an earlier row (seq) has taken."""
+    held = table.select(*keys).dropna().distinct().withColumn("_held", F.lit(True))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    n = F.row_number().over(W.partitionBy(*keys).orderBy("seq"))
+    new = rows.join(held, keys, "left").withColumn("_n", n)
+    new = new.withColumn("disposition", F.when(known & (F.col("_held").isNotNull() | (F.col("_n") > 1)), "rejected").otherwise("inserted")).drop("_held", "_n", "seq")
+    return table.withColumn("disposition", F.lit("there")).unionByName(new, allowMissingColumns=True)
+
+
+def attach_provenance(articles: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Articles with what conversion reports say of their source, and the reports with
+    the article that each was attached to; one that finds none creates none.
+
+    ``reports``: seq, pmid, note_path, title, route, source_file, inspected (whether
+    figures were), figures_read, figures_total; an article's last report counts.
+    """
+    met = match_article(reports, articles, ["pmid", "note_path", "title"])
+    last = met.where("article_id is not null").groupBy("article_id").agg(F.max_by(F.struct("route", "source_file", "inspected", "figures_read", "figures_total"), "seq").alias("r"))
+    route = source_route(F.col("r.route"), F.lit(""))
+    there = F.col("r").isNotNull()
+    new = {
+        "source_route": route, "source_file": F.nullif(text_or_empty(F.col("r.source_file")), F.lit("")), "figures_available": F.when(route.isNotNull(), figures_available(F.col("r.route"), F.col("r.inspected")).cast("int")),
+        "figures_inspected": F.col("r.figures_read"), "figures_total": F.col("r.figures_total"),
+    }
+    out = articles.join(last, "article_id", "left")
+    out = out.withColumns({c: F.when(there, v).otherwise(F.col(c) if c in articles.columns else F.lit(None)) for c, v in new.items()}).drop("r")
+    return out, met.withColumn("status", F.when(F.col("article_id").isNull(), "no article").otherwise("attached"))
+
+
+def list_order(status: str = "status") -> Column:
+    """The place of a status on lists, unknown ones last."""
+    at = F.array_position(F.array(*map(F.lit, LISTED)), F.col(status))
+    return F.when(at > 0, at).otherwise(len(LISTED) + 1).cast("int")
+
+
+def first_rows(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of a total order, with their place."""
+    top = rows.orderBy(*order).limit(n)
+    return top.withColumn("place", F.row_number().over(W.orderBy(*order)))
+
+
+def article_listing(articles: DataFrame, mentions: DataFrame, proteins: DataFrame) -> DataFrame:
+    """Articles with their mentions counted and the proteins' names listed, by
+    their sort keys: status as on lists, priority as text and year, both falling."""
+    named = mentions.select("article_id", "protein_id").join(proteins.select("protein_id", "gene_name"), "protein_id", "left")
+    by = named.groupBy("article_id").agg(F.count(F.lit(1)).alias("n_mentions"), F.array_join(F.array_sort(F.collect_list("gene_name")), ", ").alias("proteins"))
+    return articles.join(by, "article_id", "left").fillna(0, ["n_mentions"]).withColumn("status_place", list_order())
+
+
+def listing_order() -> list[Column]:
+    return [F.col("status_place"), F.desc("priority"), F.desc("pub_year"), F.col("article_id")]
+
+
+def mention_details(mentions: DataFrame, proteins: DataFrame, articles: DataFrame) -> DataFrame:
+    """Mentions with their protein's name and their article's title, and what is missing."""
+    out = mentions.join(proteins.select("protein_id", "gene_name"), "protein_id", "left").join(articles.select("article_id", "title"), "article_id", "left")
+    return out.withColumn("missing", F.concat_ws(", ", F.when(F.col("gene_name").isNull(), "protein"), F.when(F.col("title").isNull(), "article")))
+
+
+def period_totals(sessions: DataFrame, as_of: dt.date, periods: dict[str, int]) -> DataFrame:
+    """(period, n_sessions, and sums) over the last days of each period, today being
+    ``as_of`` and 0 days; a period without sessions has zeros."""
+    day = F.to_date("session_date")
+    names = F.array(*[F.struct(F.lit(k).alias("period"), F.lit(n).alias("days")) for k, n in periods.items()])
+    held = F.filter(names, lambda p: day >= F.date_sub(F.lit(as_of), p.days))
+    sums = sessions.where(day.isNotNull()).select(F.explode(held).alias("p"), "proteins", "interactions", "hours").groupBy("p.period").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("proteins").alias("proteins"), F.sum("interactions").alias("interactions"), F.sum("hours").alias("hours"))
+    every = sessions.sparkSession.range(1).select(F.explode(names).alias("p")).select("p.period")
+    return every.join(sums, "period", "left").fillna(0)
+
+
+def status_totals(articles: DataFrame) -> DataFrame:
+    return articles.groupBy("status").agg(F.count(F.lit(1)).alias("n")).withColumn("place", list_order())
+
+
+def data_gaps(articles: DataFrame, proteins: DataFrame) -> DataFrame:
+    """(kind, id): proteins without an accession, queued articles without a curator,
+    and articles that want attention, queued or in progress."""
+    gap = lambda df, kind, id_: df.select(F.lit(kind).alias("kind"), F.col(id_).alias("id"))
+    bare = proteins.where(text_or_empty(F.col("uniprot_id")) == "")
+    waiting = articles.where("status = 'queued' and curator is null")
+    return gap(bare, "no accession", "protein_id").unionByName(gap(waiting, "no curator", "article_id")).unionByName(gap(articles.where("status in ('queued', 'in_progress')"), "attention", "article_id"))

@@ -84,7 +84,7 @@ def resolve_proteins(queries: DataFrame, proteins: DataFrame) -> DataFrame:
 def identifier_kind(c: Column) -> Column:
     """pmid, pmcid, doi or error."""
     s = strip(c)
-    return F.when(s.rlike("^[0-9]+$"), "pmid").when(s.rlike("(?i)^PMC[0-9]+$"), "pmcid").when(s.rlike(r"^10\.[0-9]{4,9}/\S+$"), "doi").otherwise("error")
+    return F.when(s.rlike("^[0-9]+$"), "pmid").when(s.rlike("(?i)^PMC[0-9]+$"), "pmcid").when(s.rlike(r"^10\.[0-9]{4,9}/\S+$") | F.lower(s).startswith("doi:"), "doi").otherwise("error")
 
 
 def route_for(open_access: Column, pmcid: Column, has_pdf: Column) -> Column:
@@ -156,12 +156,12 @@ def check_codes(values: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def near_codes(values: DataFrame, codes: DataFrame, least: int = 5, first: int = 3) -> DataFrame:
-    """Up to three codes of a value's type of which either holds the other; the
-    shorter has ``least`` letters at least.  The code list is a vocabulary: each
+    """Up to three codes of a value's type of which either holds the other; what is
+    held has ``least`` letters at least.  The code list is a vocabulary: each
     type's codes stand in one array, and values meet it by type."""
     lists = codes.groupBy("type").agg(F.array_sort(F.collect_set("code")).alias("codes"))
     v = F.lower("value")
-    close = lambda c: (F.length(c) >= least) & (F.length(v) >= least) & (F.lower(c).contains(v) | v.contains(F.lower(c)))
+    close = lambda c: ((F.length(v) >= least) & F.lower(c).contains(v)) | ((F.length(c) >= least) & v.contains(F.lower(c)))
     return values.join(lists, "type", "left").withColumn("suggestions", F.slice(F.coalesce(F.filter("codes", close), F.array().cast("array<string>")), 1, first)).drop("codes")
 
 
@@ -176,3 +176,85 @@ def one_vocabulary(values: DataFrame, codes: DataFrame, unverified: Column | Non
     near = F.filter("codes", lambda c: F.lower(c).contains(F.lower("value")))
     warning = F.when(F.lit(False) if unverified is None else unverified, "defaults only: unverified")
     return out.withColumns({"valid": valid, "did_you_mean": F.when(~valid & (F.size(near) > 0), near), "warning": warning}).drop("codes")
+
+
+# Kinds of ranges that are not checked for their form, and forms of the others.
+UNCHECKED_KINDS = ("free_text", "gene_id", "protein_id", "metagenotype_id", "taxon_id", "unknown")
+TERM_FORMS = {"phipo_term": r"^PHIPO:[0-9]{7}$", "bto_term": r"^BTO:[0-9]{7}$", "phipo_ext_term": r"^PHIPO_EXT:[0-9]{7}$", "fypo_ext_term": r"^FYPO_EXT:[0-9]{7}$"}
+QUANTITY = r"^[0-9]+(\.[0-9]+)?\s*%?$"
+
+
+def extension_check(pairs: DataFrame, relations: DataFrame) -> DataFrame:
+    """``pairs`` (relation, value) with attested (the relation is in ``relations``:
+    relation, range_id), kind, and status: ok, unknown relation, or wrong type.
+    Where a range takes severities a quantity will do."""
+    known = relations.groupBy(strip(F.col("relation")).alias("_key")).agg(F.min("range_id").alias("range_id"))
+    out = pairs.withColumn("_key", strip(F.col("relation"))).join(known.withColumn("attested", F.lit(True)), "_key", "left").drop("_key")
+    out = out.withColumn("attested", F.coalesce("attested", F.lit(False))).withColumn("kind", F.when(F.col("attested"), range_kind(F.col("range_id"))))
+    value, fits = strip(F.coalesce("value", F.lit(""))), F.lit(False)
+    for kind, form in TERM_FORMS.items():
+        fits = fits | ((F.col("kind") == kind) & value.rlike(form))
+    fits = fits | ((F.col("kind") == "fypo_ext_term") & value.rlike(QUANTITY)) | F.col("kind").isin(*UNCHECKED_KINDS)
+    return out.withColumn("status", F.when(~F.col("attested"), "unknown relation").when(fits, "ok").otherwise("wrong type"))
+
+
+#: Results of a check by which an annotation is parked; one that could not be made never parks.
+PARKING = ("obsolete", "not_found", "format_invalid", "unknown_prefix")
+
+
+def with_bad_terms(annotations: DataFrame, index: DataFrame, indexed: tuple[str, ...]) -> DataFrame:
+    """``annotations`` (term_id, ...) with bad_term: what is wrong with the id, null
+    if nothing or there is none.  Each distinct id is checked once."""
+    ids = annotations.select(strip(F.col("term_id")).alias("input_id")).where("input_id <> ''").distinct()
+    checked = validate_ids(ids, index, indexed).where(F.col("existence").isin(*PARKING)).select(F.col("input_id").alias("_id"), F.col("existence").alias("bad_term"))
+    return annotations.withColumn("_id", strip(F.col("term_id"))).join(checked, "_id", "left").drop("_id")
+
+
+def defining_terms(asked: DataFrame, hits: DataFrame) -> DataFrame:
+    """``asked`` (term_id) with the label of one of ``hits`` (term_id, label, defining,
+    place): the first by place that defines the term, else the first; status says
+    which, or not_found.  Ids agree whatever their case."""
+    order = F.struct((~F.coalesce("defining", F.lit(False))).alias("late"), "place", "label")
+    best = hits.groupBy(F.upper("term_id").alias("_key")).agg(F.min(order).alias("h"))
+    out = asked.withColumn("_key", F.upper("term_id")).join(best, "_key", "left")
+    status = F.when(F.col("h").isNull(), "not_found").when(F.col("h.late"), "first").otherwise("defining")
+    return out.select(*asked.columns, F.col("h.label").alias("label"), status.alias("status"))
+
+
+def identifier_query(c: Column) -> Column:
+    """The search term for an identifier of any kind; null for none."""
+    s, kind = strip(c), identifier_kind(c)
+    return F.when(kind == "pmid", F.concat(F.lit("EXT_ID:"), s)).when(kind == "pmcid", F.concat(F.lit("PMCID:"), F.upper(s))).when(kind == "doi", F.concat(F.lit("DOI:"), F.regexp_replace(s, "(?i)^doi:", "")))
+
+
+def record_ref(source: Column, id_: Column) -> Column:
+    """The composite key of a publication record; MED where no source is named."""
+    return F.concat(F.coalesce(F.nullif(source, F.lit("")), F.lit("MED")), F.lit(":"), F.coalesce(id_.cast("string"), F.lit("")))
+
+
+def publication_records(asked: DataFrame, records: DataFrame, others: int = 4) -> DataFrame:
+    """``asked`` (identifier) with the first record by place that has it, how many do,
+    up to ``others`` further ones, and status: found, ambiguous, not_found, error
+    (not an identifier).  ``records``: source, id, pmid, pmcid, doi, place."""
+    key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("key"))
+    keys = F.array(key("pmid", F.col("pmid")), key("pmcid", F.upper("pmcid")), key("doi", F.col("doi")))
+    held = records.select("place", record_ref(F.col("source"), F.col("id")).alias("ref"), F.explode(keys).alias("k")).where("k.key is not null and k.key <> ''").select("k.kind", "k.key", "place", "ref")
+    held = held.withColumn("_n", F.row_number().over(W.partitionBy("kind", "key").orderBy("place", "ref")))
+    # the first few are gathered; the rest are only counted
+    by = held.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n_hits"), F.min_by("ref", "_n").alias("ref"), F.array_sort(F.collect_list(F.when((F.col("_n") > 1) & (F.col("_n") <= others + 1), F.struct("_n", "ref")))).alias("o"))
+    out = asked.withColumns({"kind": identifier_kind(F.col("identifier")), "key": F.substring_index(identifier_query(F.col("identifier")), ":", -1)})
+    out = out.withColumn("query", identifier_query(F.col("identifier"))).join(by, ["kind", "key"], "left").drop("key")
+    out = out.withColumns({"n_hits": F.coalesce("n_hits", F.lit(0)), "other_hits": F.coalesce(F.transform("o", lambda x: x.ref), F.array().cast("array<string>"))}).drop("o")
+    return out.withColumn("status", F.when(F.col("kind") == "error", "error").when(F.col("n_hits") == 0, "not_found").when(F.col("n_hits") > 1, "ambiguous").otherwise("found"))
+
+
+def payload_kind(content: Column) -> Column:
+    """archive, error (an error message in XML), empty or other, by the first bytes."""
+    head = F.decode(F.substring(content, 1, 400), "ISO-8859-1")
+    error = F.substring(head, 1, 200).rlike(r"^\s*<\?xml") & head.contains("<errorBean>")
+    return F.when(F.coalesce(F.octet_length(content), F.lit(0)) == 0, "empty").when(error, "error").when(head.startswith("PK"), "archive").otherwise("other")
+
+
+def bad_codes(values: DataFrame, codes: DataFrame) -> DataFrame:
+    """Values (type, value) that their type's list does not have: how often, and near codes."""
+    return near_codes(check_codes(values, codes).where("status = 'bad'").drop("status"), codes)

@@ -281,7 +281,7 @@ def ledger_checks(spark, d):
 # ---- streams ---
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = table(spark, d, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -290,33 +290,33 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {EVENTS} SELECT ontology, norm, count(*) AS seen, count(DISTINCT pmid) AS n_papers FROM e WHERE value <= 30 GROUP BY ontology, norm")
 def stream_gap_rank(spark, d):
     k = F.get_json_object("props", "$.k")
-    events = _events(spark, d).where("value <= 30").select(F.col("event_type").alias("ontology"), F.concat(F.lit(" Phrase  "), k).alias("phrase"), F.lit("gap").alias("outcome"), F.col("user_id").cast("string").alias("pmid"))
+    events = event_stream(spark, d).where("value <= 30").select(F.col("event_type").alias("ontology"), F.concat(F.lit(" Phrase  "), k).alias("phrase"), F.lit("gap").alias("outcome"), F.col("user_id").cast("string").alias("pmid"))
     return jobs.gap_totals(jobs.run_to_table(jobs.gap_counts(events), "complete"))
 
 
 @query("""WITH w AS (SELECT time_bucket(INTERVAL '1 day', ts) AS start, user_id AS session, count(*) AS n, round(sum(value), 4) AS tokens FROM events GROUP BY 1, 2)
 SELECT start, session, n, tokens FROM w WHERE start + INTERVAL '1 day' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'""")
 def stream_tokens_tumbling(spark, d):
-    turns = _events(spark, d).select("ts", F.col("user_id").alias("session"), F.col("value").alias("tokens"))
+    turns = event_stream(spark, d).select("ts", F.col("user_id").alias("session"), F.col("value").alias("tokens"))
     out = jobs.run_to_table(jobs.tokens_by_window(turns, "1 day"), "append")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "session", "n", F.round("tokens", 4).alias("tokens"))
 
 
 @query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_upsert(spark, d):
-    rows = _events(spark, d).select("user_id", "event_id")
+    rows = event_stream(spark, d).select("user_id", "event_id")
     return jobs.run_upserts(rows, ["user_id"], "event_id")
 
 
 @query("SELECT DISTINCT user_id FROM events")
 def stream_new_only(spark, d):
-    rows = _events(spark, d).select("ts", "user_id")
+    rows = event_stream(spark, d).select("ts", "user_id")
     return jobs.run_to_table(jobs.first_seen(rows, "user_id", late="60 days"), "append").select("user_id")
 
 
 @query("SELECT CASE WHEN e.event_id % 3 = 0 THEN 'unknown_prefix' WHEN p_partkey IS NULL THEN 'not_found' WHEN p_size > 45 THEN 'obsolete' ELSE 'exists' END AS existence, count(*) AS n FROM events e LEFT JOIN part ON e.event_id = p_partkey GROUP BY 1")
 def stream_validate(spark, d):
-    ids = _events(spark, d).select(F.concat(F.when(F.col("event_id") % 3 == 0, "ZZ:").otherwise("go:"), F.lpad(F.col("event_id").cast("string"), 7, "0")).alias("input_id"))
+    ids = event_stream(spark, d).select(F.concat(F.when(F.col("event_id") % 3 == 0, "ZZ:").otherwise("go:"), F.lpad(F.col("event_id").cast("string"), 7, "0")).alias("input_id"))
     out = jobs.run_to_table(jobs.validated(ids, part_index(spark, d), ("GO", "BTO")), "append")
     return out.groupBy("existence").agg(F.count(F.lit(1)).alias("n"))
 
@@ -604,13 +604,14 @@ def section_bounds(spark, d):
 
 @query("""WITH x AS (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS label FROM lineitem), f AS (SELECT doc, label, label <> 7 AS listed, label <> 1 AS logged, label % 2 = 0 AS ticked, label % 4 = 0 AS done, label = 5 AS cited FROM x),
 c AS (SELECT doc, max(CASE WHEN listed THEN 1 ELSE 0 END) AS has, sum(CASE WHEN listed THEN 1 ELSE 0 END)::BIGINT AS n, sum(CASE WHEN logged THEN 1 ELSE 0 END)::BIGINT AS m, sum(CASE WHEN listed AND NOT logged THEN 1 ELSE 0 END)::BIGINT AS missing,
-  sum(CASE WHEN logged AND NOT listed THEN 1 ELSE 0 END)::BIGINT AS unknown, sum(CASE WHEN logged AND done THEN 1 ELSE 0 END)::BIGINT AS inspected, sum(CASE WHEN logged AND ticked AND NOT done THEN 1 ELSE 0 END)::BIGINT AS claimed, sum(CASE WHEN cited THEN 1 ELSE 0 END)::BIGINT AS req FROM f GROUP BY doc)
-SELECT doc, CASE WHEN has = 1 THEN n ELSE m END AS total, missing, CASE WHEN has = 1 THEN unknown ELSE 0 END AS unknown, inspected, claimed AS claimed_not_read, req AS required_uninspected, missing = 0 AND req = 0 AND claimed = 0 AS complete FROM c""")
+  sum(CASE WHEN logged AND NOT listed THEN 1 ELSE 0 END)::BIGINT AS unknown, sum(CASE WHEN logged AND done THEN 1 ELSE 0 END)::BIGINT AS inspected, sum(CASE WHEN logged AND ticked AND NOT done THEN 1 ELSE 0 END)::BIGINT AS claimed, sum(CASE WHEN cited THEN 1 ELSE 0 END)::BIGINT AS req, sum(CASE WHEN label = 3 THEN 1 ELSE 0 END)::BIGINT AS declined, sum(CASE WHEN label IN (2, 3) THEN 1 ELSE 0 END)::BIGINT AS opt FROM f GROUP BY doc)
+SELECT doc, CASE WHEN has = 1 THEN n ELSE m END AS total, missing, CASE WHEN has = 1 THEN unknown ELSE 0 END AS unknown, inspected, claimed AS claimed_not_read, req AS required_uninspected, CASE WHEN has = 1 AND m > 0 THEN declined ELSE declined END AS declined, opt AS optional_uninspected, m > 0 AND req = 0 AND claimed = 0 AS complete FROM c""")
 def figure_audit(spark, d):
     n = F.col("label")
     every = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("label")).distinct()
-    log = every.where("label <> 1").withColumns({"inspected": n % 2 == 0, "read": F.when(n % 4 == 0, "seen").otherwise(" ")})
-    return documents.figure_audit(every.where("label <> 7"), log, every.where("label = 5"))
+    log = every.where("label <> 1").withColumns({"inspected": n % 2 == 0, "read": F.when(n % 4 == 0, "seen").otherwise(" "), "note": F.when(n == 3, "not needed")})
+    roster = every.where("label <> 7").withColumns({"openable": n != 4, "tokens": n * 100})
+    return documents.figure_audit(roster, log, every.where("label in (2, 3, 4, 5)").withColumn("required", n == 5)).drop("not_openable", "has_ledger")
 
 
 @query("""WITH r AS (SELECT p_brand AS doc, p_partkey AS seq, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS n, p_name AS base FROM part)
@@ -619,11 +620,26 @@ def unique_names(spark, d):
     return documents.unique_names(table(spark, d, "part").select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("base"))).select("doc", "seq", "name")
 
 
-@query()
+def captioned(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which the beginnings of lines are captions of figures and tables."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(F.substring(x, 1, 400), "[^A-Za-z., ]", ""))), lambda x: x.rlike("^[A-Za-z]"))
+    said = F.transform(lines, lambda x, i: F.concat(F.when(i % 3 == 0, "Table ").when(i % 3 == 1, "Figure ").otherwise("Fig. "), (i + 1).cast("string"), F.lit(". "), x))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.array_join(said, "\n\n").alias("text"))
+
+
+CAPTIONS = r"""ln AS (SELECT doc_id AS doc, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(substr(x, 1, 400), '[^A-Za-z., ]', '', 'g'), ' ')), lambda x: regexp_matches(x, '^[A-Za-z]')) AS l FROM documents),
+cu AS (SELECT doc, unnest(l) AS line, unnest(range(len(l))) AS i FROM ln),
+cl AS (SELECT doc, i, trim(regexp_replace(line, ' +', ' ', 'g'), ' ') AS c FROM cu),
+cap AS (SELECT doc, CASE WHEN i % 3 = 0 THEN 'table' ELSE 'figure' END AS kind, CAST(i + 1 AS VARCHAR) AS number, length(c) AS length,
+  round(greatest(0, least(1, (CASE WHEN length(c) > 10 THEN 0.5 ELSE 0 END) + 0.3 + (CASE WHEN length(c) BETWEEN 20 AND 300 THEN 0.2 ELSE 0 END) - (CASE WHEN length(c) < 20 OR length(c) > 500 THEN 0.2 ELSE 0 END) + (CASE WHEN c LIKE '%.' THEN 0.1 ELSE 0 END)
+   + (CASE WHEN regexp_matches(lower(c), 'showing|demonstrating|illustrating|depicting|represents|indicates|analysis|comparison|effect') THEN 0.2 ELSE 0 END))), 2) AS confidence
+  FROM cl WHERE length(c) > CASE WHEN i % 3 = 0 THEN 5 ELSE 10 END)"""
+
+
+@query(f"WITH {CAPTIONS} SELECT doc, kind, number, length, CAST(confidence AS DOUBLE) AS confidence FROM cap")
 def captions(spark, d):
     """Captions of documents whose lines are taken for captions of numbered figures."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.concat(F.lit("Figure 1. "), F.regexp_replace("text", "\n", "\n\nFigure 2. ")).alias("text"))
-    return documents.best_captions(documents.captions(docs)).drop("end")
+    return documents.best_captions(documents.captions(captioned(spark, d))).select("doc", "kind", "number", F.length("caption").cast("long").alias("length"), "confidence")
 
 
 @query("""SELECT n_nationkey AS species, count(s_suppkey) AS n, count(s_suppkey) > 0 AS covered FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey""")
