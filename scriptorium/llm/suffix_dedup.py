@@ -18,12 +18,12 @@ the group of its minimizer, and a group holds short contexts only.
    run-length index is built of those that can be matched, the others are
    streamed through it for their matching statistics, and windows whose match is
    long enough and starts in an earlier document are marked.
-4. Groups of very many contexts are dealt again by the bytes next to the
+4. Groups that outgrow their share are dealt again by the bytes next to the
    minimizer: a context is cut where the minimizer's place within the window
    passes a multiple of ``STEP``, all windows of a piece have ``length - STEP + 1``
    bytes in common, and these name its group.  Equal pieces are counted once,
    map-side, then go through an index as well, and what it finds returns to all
-   documents that have the piece by an equi-join.
+   documents that have the piece by an equi-join on its 64-bit hash.
 5. Marked stretches meet their documents and are cut out.
 
 Copies of a whole text are known by its digest: they lose everything, and a
@@ -46,10 +46,11 @@ from scriptorium.llm.run_index import RunIndex
 LENGTH, GRAM = 50, 20
 #: Minimizers a task gathers before it hands them on, and the number of groups
 #: shares per shuffle partition.
-FLUSH, SHARES = 500_000, 8
-#: Distinct contexts above which a group is dealt again, and places of the
-#: minimizer that a piece of a context spans.
-HOT, STEP = 2_000, 4
+FLUSH, SHARES = 500_000, 4
+#: Distinct contexts above which a group is dealt again, if they are more than this
+#: part of all minimizers of its share, and places of the minimizer that a piece of
+#: a context spans.
+HOT, HOT_PART, STEP = 1_000, 0.25, 8
 
 
 def minimizers(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -154,10 +155,11 @@ FOUND = "doc_id long, group_id long, at long, n long, p long, kind int"
 COVERED, OPEN, WIDE = 0, 1, 2
 
 
-def settle(share: int, ids: list[bytes], blocks: list[bytes], hot: int = HOT) -> tuple[np.ndarray, ...]:
+def settle(share: int, ids: list[bytes], blocks: list[bytes], hot: int = HOT, part: float = HOT_PART) -> tuple[np.ndarray, ...]:
     """Of the minimizers of one share: those whose context an earlier document
     has (COVERED), and those whose windows have to be compared (OPEN, or WIDE
-    where a group has more than ``hot`` contexts), by the columns of FOUND."""
+    where a group has more than ``hot`` contexts, and more than ``part`` of the
+    share's minimizers), by the columns of FOUND."""
     cols: dict[str, list] = {k: [] for k, _ in PLANES}
     for known, block in zip(ids, blocks):
         docs = np.frombuffer(known, "<i8")
@@ -177,7 +179,7 @@ def settle(share: int, ids: list[bytes], blocks: list[bytes], hot: int = HOT) ->
     kinds = np.add.reduceat(new_c.astype(np.int64), head)[group]
     covered = doc > doc[np.flatnonzero(new_c)][np.cumsum(new_c) - 1]
     open_ = ~covered & (low < high) & (kinds > 1)
-    kind = np.where(covered, COVERED, np.where(kinds > hot, WIDE, OPEN))
+    kind = np.where(covered, COVERED, np.where(kinds > max(hot, part * len(x)), WIDE, OPEN))
     keep = covered | open_
     # the high bits of a group's hash and its share tell groups apart
     name = (mix_name(x[keep], share)).view(np.int64)
@@ -259,15 +261,15 @@ def compare(ctx: pd.DataFrame, length: int) -> pd.DataFrame:
 
 
 def compare_pieces(ctx: pd.DataFrame, length: int) -> pd.DataFrame:
-    """For distinct pieces (group_id, context, low and high doc_id of those that
-    have it): the windows (i) that documents from ``least`` on have."""
+    """For distinct pieces (piece, group_id, context, low and high doc_id of those
+    that have it): the windows (i) that documents from ``least`` on have."""
     by = ctx.groupby("group_id")
     low, high = by["low"].transform("min"), by["high"].transform("max")
     source, query = ctx[ctx["low"] < high], ctx[ctx["high"] > low]
     number, position, least = matches(source["context"].tolist(), source["low"].to_numpy(np.int64), query["context"].tolist(), length)
     keep = least < query["high"].to_numpy(np.int64)[number]
     number = number[keep]
-    return pd.DataFrame({"group_id": query["group_id"].to_numpy(np.int64)[number], "context": query["context"].to_numpy(object)[number], "i": position[keep], "least": least[keep]})
+    return pd.DataFrame({"piece": query["piece"].to_numpy(np.int64)[number], "i": position[keep], "least": least[keep]})
 
 
 def marked_stretches(docs: DataFrame, length: int, gram: int, scratch: Scratch) -> DataFrame:
@@ -277,10 +279,10 @@ def marked_stretches(docs: DataFrame, length: int, gram: int, scratch: Scratch)
         raise ValueError(f"length must be above {gram} and below {gram + LONGEST}")
     shares = SHARES * partitions(docs.sparkSession)
     packed = packed_minimizers(docs, shares, length, gram)
-    hot = HOT
+    hot, part = HOT, HOT_PART
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        cols = settle(key[0].as_py(), group.column("ids").to_pylist(), group.column("block").to_pylist(), hot)
+        cols = settle(key[0].as_py(), group.column("ids").to_pylist(), group.column("block").to_pylist(), hot, part)
         return pa.Table.from_arrays([pa.array(v) for v in cols], names=[c.split()[0] for c in FOUND.split(", ")])
 
     found = packed.groupBy("share").applyInArrow(run, FOUND)
@@ -310,12 +312,13 @@ def marked_stretches(docs: DataFrame, length: int, gram: int, scratch: Scratch)
     share = F.pmod(F.xxhash64("group_id"), F.lit(shares))
     near = ctx.where(F.col("kind") == OPEN).withColumn("share", share).groupBy("share").applyInPandas(lambda p: compare(p, length), "doc_id long, start long, end long")
     wide = ctx.where(F.col("kind") == WIDE).select("group_id", "doc_id", "at", "context")
+    known = F.xxhash64("group_id", "context")
     kinds = wide.groupBy("group_id", "context").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    hits = kinds.withColumn("share", share).groupBy("share").applyInPandas(lambda p: compare_pieces(p, length), "group_id long, context binary, i long, least long")
+    hits = kinds.withColumns({"share": share, "piece": known}).groupBy("share").applyInPandas(lambda p: compare_pieces(p, length), "piece long, i long, least long")
     # a table of its own: Spark may then split a piece that very many documents have
     hits = scratch.put(hits, "hits")
     start = F.col("at") + F.col("i")
-    again = wide.join(hits, ["group_id", "context"]).where("least < doc_id").select("doc_id", start.alias("start"), (start + length).alias("end"))
+    again = wide.select("doc_id", "at", known.alias("piece")).join(hits, "piece").where("least < doc_id").select("doc_id", start.alias("start"), (start + length).alias("end"))
 
     whole = found.select("doc_id", F.explode("found").alias("f")).where(F.col("f.kind") == COVERED)
     whole = whole.select("doc_id", F.col("f.at").alias("start"), (F.col("f.at") + F.col("f.n") - 1 + length).alias("end"))

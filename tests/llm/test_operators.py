@@ -206,6 +206,7 @@ def brute_suffix(rows, length=50):
 @pytest.mark.parametrize("length, hot", [(50, 500), (50, 2), (300, 500), (300, 2), (600, 500), (600, 2)])
 def test_suffix_dedup(docs, rows, monkeypatch, length, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)  # with 2, most groups are dealt again
+    monkeypatch.setattr(suffix_dedup, "HOT_PART", 0.25 if hot > 2 else 0)
     want = brute_suffix(rows, length)
     got = suffix_dedup.without_repeats(docs, length).collect()
     assert len(got) == len(rows)
