@@ -73,7 +73,11 @@ class Scratch:
             files.delete(where, True)
             files.cancelDeleteOnExit(where)
         self.tables = [(t, p) for t, p in self.tables if not any(t is g for g in gone)]
-        # Spark deletes shuffle files once the plans that wrote them are collected
+        self.tidy()
+
+    def tidy(self) -> None:
+        """Have the shuffle files of finished jobs deleted: Spark does so once the plans
+        that wrote them are collected."""
         self.spark.sparkContext._jvm.System.gc()
 
     def __enter__(self) -> Scratch:
