@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that has a query's shuffle files deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text hashed at once in a Python worker; bounds its memory.
 CHUNK_BYTES = 1 << 18
 
@@ -44,8 +46,8 @@ class Scratch:
     """The tables that an operator writes on its way.
 
     ``put`` writes a DataFrame as Parquet to the shared folder and reads it
-    again: lineage is cut, and losing an executor loses nothing.  ``drop`` deletes
-    tables that nothing reads any more.  At the end of the ``with`` block all are
+    again: lineage is cut, losing an executor loses nothing, and the shuffle files
+    of the write are deleted once the table stands.  ``drop`` deletes tables that nothing reads any more.  At the end of the ``with`` block all are
     deleted but those that were kept, which go when the session ends.
     """
 
@@ -59,7 +61,12 @@ class Scratch:
 
     def put(self, df: DataFrame, label: str, keep: bool = False) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{self.spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         where, files = self._path(path)
         files.deleteOnExit(where)
         table = self.spark.read.schema(df.schema).parquet(path)
@@ -73,12 +80,6 @@ class Scratch:
             files.delete(where, True)
             files.cancelDeleteOnExit(where)
         self.tables = [(t, p) for t, p in self.tables if not any(t is g for g in gone)]
-        self.tidy()
-
-    def tidy(self) -> None:
-        """Have the shuffle files of finished jobs deleted: Spark does so once the plans
-        that wrote them are collected."""
-        self.spark.sparkContext._jvm.System.gc()
 
     def __enter__(self) -> Scratch:
         return self

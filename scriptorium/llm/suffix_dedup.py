@@ -289,7 +289,6 @@ def marked_stretches(docs: DataFrame, length: int, gram: int, scratch: Scratch)
     place = F.struct("group_id", "at", "n", "p", "kind")
     # at most one entry for each minimizer of a document: bounded by its length
     found = scratch.put(found.groupBy("doc_id").agg(F.collect_list(place).alias("found")), "found")
-    scratch.tidy()
 
     open_ = found.select("doc_id", F.filter("found", lambda f: f.kind != COVERED).alias("found")).where(F.size("found") > 0)
     first = docs.select("doc_id", "text").join(open_, "doc_id")
@@ -310,7 +309,6 @@ def marked_stretches(docs: DataFrame, length: int, gram: int, scratch: Scratch)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["group_id", "doc_id", "at", "kind", "context"])
 
     ctx = scratch.put(map_batches(first, contexts, "group_id long, doc_id long, at long, kind int, context binary"), "contexts")
-    scratch.tidy()
     share = F.pmod(F.xxhash64("group_id"), F.lit(shares))
     near = ctx.where(F.col("kind") == OPEN).withColumn("share", share).groupBy("share").applyInPandas(lambda p: compare(p, length), "doc_id long, start long, end long")
     wide = ctx.where(F.col("kind") == WIDE).select("group_id", "doc_id", "at", "context")
