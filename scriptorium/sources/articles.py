@@ -47,18 +47,43 @@ def _caption(e: ET.Element) -> str:
     return " ".join(filter(None, (inline(x) for c in _kids(e, "caption") for x in c)))
 
 
+def _first(e: ET.Element | None, *names: str) -> str:
+    """The text of the first child of that name."""
+    return inline(next(iter(_kids(e, *names)), None))
+
+
+def contributors(meta: ET.Element) -> list[dict]:
+    """Authors in order; other roles are left out, a contributor without one is an author."""
+    out = []
+    for c in _all(meta, "contrib"):
+        if c.get("contrib-type", "author") != "author":
+            continue
+        n = next(iter(_all(c, "name")), None)
+        name = " ".join(filter(None, (_first(n, k) for k in ("given-names", "surname")))) or _first(c, "string-name")
+        if name:
+            orcid = next((inline(x) for x in _kids(c, "contrib-id") if x.get("contrib-id-type") == "orcid"), None)
+            corresponding = any(x.get("ref-type") == "corresp" for x in _kids(c, "xref"))
+            out.append({"name": name, "orcid": orcid, "corresponding": corresponding})
+    return out
+
+
 def metadata(root: ET.Element) -> Iterator[tuple]:
     meta = next(iter(_all(root, "article-meta")), root)
     ids = {x.get("pub-id-type"): (x.text or "").strip() for x in _kids(meta, "article-id")}
-    authors = []
-    for c in _all(meta, "contrib"):
-        n = next(iter(_all(c, "name")), None)
-        if n is not None:
-            authors.append(" ".join(filter(None, (inline(x) for k in ("given-names", "surname") for x in _kids(n, k)))))
-    years = sorted(y.text.strip() for d in _kids(meta, "pub-date") for y in _kids(d, "year") if y.text)
+    people = contributors(meta)
+    years = [y for y in (_first(d, "year") for d in _kids(meta, "pub-date")) if y]
     title = next(iter(_all(meta, "article-title")), None)
     journal = next(iter(_all(root, "journal-title")), None)
-    yield ids.get("pmid"), ids.get("pmc") or ids.get("pmcid"), ids.get("doi"), inline(title), inline(journal), years[0] if years else None, authors, [inline(k) for k in _all(meta, "kwd")], inline(next(iter(_all(meta, "abstract")), None))
+    permit = next((x for p in _kids(meta, "permissions") for x in _kids(p, "license")), None)
+    yield (
+        *(ids.get("pmid"), ids.get("pmc") or ids.get("pmcid"), ids.get("doi")),
+        *(inline(title), inline(journal), years[0] if years else None),
+        *([c["name"] for c in people], [inline(k) for k in _all(meta, "kwd")]),
+        inline(next(iter(_all(meta, "abstract")), None)),
+        people,
+        *(_first(meta, k) or None for k in ("volume", "issue", "fpage", "lpage", "elocation-id")),
+        _first(permit, "license-p") or None,
+    )
 
 
 def sections(root: ET.Element) -> Iterator[tuple]:
@@ -103,7 +128,7 @@ def references(root: ET.Element) -> Iterator[tuple]:
 
 
 SHAPES: dict[str, tuple[Callable[[ET.Element], Iterator[tuple]], str]] = {
-    "metadata": (metadata, "pmid string, pmcid string, doi string, title string, journal string, year string, authors array<string>, keywords array<string>, abstract string"),
+    "metadata": (metadata, "pmid string, pmcid string, doi string, title string, journal string, year string, authors array<string>, keywords array<string>, abstract string, contributors array<struct<name:string,orcid:string,corresponding:boolean>>, volume string, issue string, first_page string, last_page string, elocation string, license string"),
     "sections": (sections, "ord int, depth int, title string, blocks array<string>"),
     "display_objects": (display_objects, "object_id string, kind string, label string, caption string, graphics array<string>, rows array<array<string>>"),
     "references": (references, "ref_id string, label string, citation string, pmid string"),

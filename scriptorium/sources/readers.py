@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scriptorium.functions.text import strip, without_tags
@@ -68,6 +72,43 @@ def read_extension_config(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(at(0).alias("domain"), at(1).alias("subset_relation"), at(2).alias("relation"), at(3).alias("range_id"), at(4).alias("display"), at(5).alias("help"), at(6).alias("cardinality"), at(7).alias("role"), at(8).alias("types"), at(9).alias("feature_type"))
 
 
+def read_vocabularies(spark: SparkSession, path: str) -> DataFrame:
+    """(path, vocab, ord, value): the names that configuration files list below their
+    top-level keys, given as plain text or as mappings with a ``name``.
+
+    A key whose list holds no name has one row with a null value, so that
+    ``catalog.overridden`` replaces by it too; keys of other kinds are left out.
+    YAML needs the yaml package, JSON nothing.
+    """
+
+    def names(entries: list) -> list[str]:
+        found = [x.get("name") if isinstance(x, dict) else x for x in entries]
+        return [x for x in found if isinstance(x, str) and x]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for file, said in zip(part["path"], part["value"]):
+                for key, entries in (_parsed(said) or {}).items():
+                    if isinstance(entries, list):
+                        rows += [(file, str(key), k, x) for k, x in enumerate(names(entries) or [None])]
+            yield pd.DataFrame(rows, columns=["path", "vocab", "ord", "value"])
+
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return raw.mapInPandas(run, "path string, vocab string, ord int, value string")
+
+
+def _parsed(said: str) -> dict | None:
+    """A configuration file's mapping; None where it holds something else."""
+    if said.lstrip().startswith("{"):
+        found = json.loads(said)
+    else:
+        import yaml
+
+        found = yaml.safe_load(said)
+    return found if isinstance(found, dict) else None
+
+
 def read_release(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text under their current names; a head repeated among the rows goes."""
     df = spark.read.csv(path, header=True, multiLine=True, escape='"')
