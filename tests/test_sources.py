@@ -59,7 +59,7 @@ def test_drafts_and_turns(spark, tmp_path):
     (d / "b.md").write_text("no block")
     (d / "c.md").write_text("```json\n{broken\n```")
     got = {r.path[-4:]: (r.status, r.draft and r.draft.triage) for r in readers.read_drafts(spark, str(d)).collect()}
-    assert got == {"a.md": ("ok", "in_scope"), "b.md": ("skipped", None), "c.md": ("error", None)} or got["c.md"][0] == "error"
+    assert (got["a.md"], got["b.md"], got["c.md"][0]) == (("ok", "in_scope"), ("skipped", None), "error")
     t = tmp_path / "t.jsonl"
     t.write_text('{"message": {"model": "m", "usage": {"input_tokens": 5}, "content": [{"type": "text", "text": "PMID 7"}]}}\nnot json\n{"message": {"content": "x"}}\n')
     (r,) = readers.read_turns(spark, str(t)).collect()
