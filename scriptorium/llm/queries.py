@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.llm import conversation_repair, fill_middle, media, mixing, near_dup, packing, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from scriptorium.llm import conversation_repair, fill_middle, media, mixing, near_dup, packing, quality_rules, site_style, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 from scriptorium.llm.common import read
 
 #: Where tokenizer files lie; a parameter of the operators.
@@ -62,6 +62,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.compression_bands(read(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = site_style.main_text(read(spark, sf_dir, "pages"))
+    counts = [F.col(c) for c in ("n_blocks", "n_by_markup", "n_by_tree")]
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), *counts)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_conversations(read(spark, sf_dir, "conversations"))
 
@@ -72,5 +78,5 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_token_counts, op4_suffix_dedup, op5_substring_dedup, op6_near_duplicates, op7_toxicity, op8_packing, op9_media_columns, op10_quality_rules, op12_conversation_repair, op13_fill_middle, page_media)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_token_counts, op4_suffix_dedup, op5_substring_dedup, op6_near_duplicates, op7_toxicity, op8_packing, op9_media_columns, op10_quality_rules, op11_html_extraction, op12_conversation_repair, op13_fill_middle, page_media)}
 ORACLES = {"op1_url_filter": url_filter.ORACLE, "op13_fill_middle": fill_middle.ORACLE}
