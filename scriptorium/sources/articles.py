@@ -1,16 +1,20 @@
 """Article XML as tables: metadata, sections, display objects, references.
 
-Mixed content loses its order in a columnar XML reader, so each document is
-parsed whole by the standard library within the task that reads it.
+Archives hold many articles in a file.  They are read as records that end with the
+article's end tag, so a large file is as many tasks as it has splits.  Mixed content
+loses its order in a columnar XML reader, so each article is parsed whole by the
+standard library within the task that reads it.  What is no XML is a row with the
+status ``broken``.
 """
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MARKS = {"italic": "*", "i": "*", "bold": "**", "b": "**", "sup": "^", "sub": "~"}
 DEEPEST = 6
@@ -135,21 +139,71 @@ SHAPES: dict[str, tuple[Callable[[ET.Element], Iterator[tuple]], str]] = {
 }
 
 
+END = "</article>"
+_PREFIX = re.compile(r"[<\s/]([A-Za-z_][\w.-]*):[A-Za-z_]")
+_DECLARED = re.compile(r"xmlns:([A-Za-z_][\w.-]*)\s*=")
+
+
+def parse_article(xml: str | None) -> tuple[ET.Element | None, str | None]:
+    """(root, error).  Prefixes that an archive's wrapper declared are declared anew."""
+    said = xml or ""
+    try:
+        return ET.fromstring(said), None
+    except ET.ParseError as broken:
+        if "unbound prefix" not in str(broken):
+            return None, str(broken)
+    missing = set(_PREFIX.findall(said)) - set(_DECLARED.findall(said)) - {"xml"}
+    spaces = "".join(f' xmlns:{p}="{p}"' for p in sorted(missing))
+    try:
+        return ET.fromstring(re.sub(r"<([A-Za-z_][\w.:-]*)", lambda m: m[0] + spaces, said, count=1)), None
+    except ET.ParseError as broken:
+        return None, str(broken)
+
+
+def read_articles(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, xml, status, error): every article of XML files, archives of many
+    or files of one, with the split in which its text ends.
+
+    An article runs from its start tag to the next end tag; one that the file cuts
+    off, or whose text is no XML, is ``broken``, and so is what stands between two
+    articles if it holds a tag that neither a wrapper nor a declaration explains.
+    """
+    raw = spark.read.option("lineSep", END).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    from_tag = F.regexp_extract("value", r"(?s)<article[\s>/].*\z", 0)
+    rest = F.regexp_replace("value", r"(?s)<[?!].*?>|</?[A-Za-z_][^<>]*>|\s+|\x{FEFF}", "")
+    # a file's last record has no article, but the end of a wrapper
+    there = raw.withColumn("from_tag", from_tag).where((F.col("from_tag") != "") | (rest != ""))
+    whole = there.select("file", "block", F.when(F.col("from_tag") != "", F.concat("from_tag", F.lit(END))).otherwise(F.col("value")).alias("xml"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            errors = [parse_article(x)[1] for x in part["xml"]]
+            yield part.assign(status=["ok" if e is None else "broken" for e in errors], error=errors)
+
+    return whole.mapInPandas(run, "file string, block long, xml string, status string, error string")
+
+
 def article_table(articles: DataFrame, what: str) -> DataFrame:
-    """Rows of one of SHAPES for each article (doc, xml); what is not XML has none."""
+    """(doc, status, ...): rows of one of SHAPES for each article (doc, xml).  What is
+    no XML has one row, with the status ``broken``; an article that has nothing of the
+    kind has one with ``none``; all others are ``ok``."""
     walk, columns = SHAPES[what]
     kind = dict(articles.dtypes)["doc"]
-    names = ["doc", *(c.split()[0] for c in columns.split(", "))]
+    names = ["doc", "status", *(c.split()[0] for c in columns.split(", "))]
+    blank = (None,) * (len(names) - 2)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for doc, xml in zip(part["doc"], part["xml"]):
-                try:
-                    root = ET.fromstring(xml or "")
-                except ET.ParseError:
+                root, error = parse_article(xml)
+                if error is not None:
+                    rows.append((doc, "broken", *blank))
                     continue
-                rows += [(doc, *r) for r in walk(root)]
-            yield pd.DataFrame(rows, columns=names)
+                before = len(rows)
+                rows += [(doc, "ok", *r) for r in walk(root)]
+                if len(rows) == before:
+                    rows.append((doc, "none", *blank))
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    return articles.select("doc", "xml").mapInPandas(run, f"doc {kind}, {columns}")
+    return articles.select("doc", "xml").mapInPandas(run, f"doc {kind}, status string, {columns}")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scriptorium.functions.text import strip, without_tags
+from scriptorium.sources.quoted import read_quoted_csv
 
 GAP_EVENT = "ontology string, phrase string, outcome string, pmid string, context string, matched_term string, matched_via string, filed string, recorded_at string, seq long"
 USAGE = "struct<input_tokens:long,output_tokens:long,cache_creation_input_tokens:long,cache_read_input_tokens:long>"
@@ -109,15 +110,11 @@ def _parsed(said: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
-def read_release(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text under their current names; a head repeated among the rows goes."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    have = {c.lstrip("﻿").strip(): c for c in df.columns}
-    cols = []
-    for name, aliases in RELEASE_ALIASES.items():
-        there = [F.col(f"`{have[a]}`") for a in aliases if a in have]
-        cols.append((F.coalesce(*there) if there else F.lit(None).cast("string")).alias(name))
-    return df.select(*cols).where("record_id is null or record_id <> 'Record ID'")
+def read_release(spark: SparkSession, path: str, **options: int) -> DataFrame:
+    """All columns as text under their current names, cells with line breaks whole,
+    files in as many tasks as they have splits; a head repeated among the rows goes."""
+    df = read_quoted_csv(spark, path, RELEASE_ALIASES, **options)
+    return df.where("record_id is null or trim(record_id) <> 'Record ID'")
 
 
 def read_gap_ledger(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:

@@ -110,12 +110,44 @@ def test_vocabularies_yaml(spark, tmp_path):
     assert [(r.vocab, r.value) for r in got] == [("kinds", "a"), ("kinds", "b")]
 
 
+def ok(df):
+    return df.where("status = 'ok'").drop("status")
+
+
 def test_articles(spark):
-    df = spark.createDataFrame([(1, XML), (2, "broken <"), (3, None)], "doc long, xml string")
-    (m,) = articles.article_table(df, "metadata").collect()
+    df = spark.createDataFrame([(1, XML), (2, "broken <"), (3, None), (4, "<article/>")], "doc long, xml string")
+    (m,) = ok(articles.article_table(df.where("doc < 4"), "metadata")).collect()
     assert (m.pmid, m.title, m.journal, m.year, m.authors) == ("12", "Growth of *Abx9* spores", "J", "2021", ["A Doe", "The Group"])
     assert [tuple(c) for c in m.contributors] == [("A Doe", "0-1", True), ("The Group", None, False)]
     assert (m.volume, m.issue, m.first_page, m.last_page, m.elocation, m.license) == ("7", None, "11", "19", None, "Free to **use**")
-    assert [(s.ord, s.depth, s.title, s.blocks) for s in articles.article_table(df, "sections").collect()] == [(1, 1, "", ["Loose"]), (2, 1, "One", ["a^2^ b"]), (3, 2, "Deep", ["c"])]
-    assert [(o.object_id, o.kind, o.caption, o.graphics, o.rows) for o in articles.article_table(df, "display_objects").collect()] == [("f1", "figure", "Cap", ["x.jpg"], []), ("t1", "table", "", [], [["1", "2"]])]
-    assert [(r.ref_id, r.citation, r.pmid) for r in articles.article_table(df, "references").collect()] == [("r1", "Doe **3**99", "99"), ("r2", "2", None)]
+    every = articles.article_table(df, "sections")
+    assert [(s.ord, s.depth, s.title, s.blocks) for s in ok(every).collect()] == [(1, 1, "", ["Loose"]), (2, 1, "One", ["a^2^ b"]), (3, 2, "Deep", ["c"])]
+    assert {r.doc: r.status for r in every.collect()} == {1: "ok", 2: "broken", 3: "broken", 4: "none"}
+    assert [(o.object_id, o.kind, o.caption, o.graphics, o.rows) for o in ok(articles.article_table(df, "display_objects")).collect()] == [("f1", "figure", "Cap", ["x.jpg"], []), ("t1", "table", "", [], [["1", "2"]])]
+    assert [(r.ref_id, r.citation, r.pmid) for r in ok(articles.article_table(df, "references")).collect()] == [("r1", "Doe **3**99", "99"), ("r2", "2", None)]
+
+
+def test_archive_of_articles(spark, tmp_path):
+    """Thousands of articles in one file, read by several tasks; broken ones return."""
+    one = XML.replace("\n", "")
+    body = "".join(one.replace(">12<", f">{k}<") if k % 50 else f"<article><front>{k}</article>" for k in range(3000))
+    wrapped = f'<?xml version="1.0"?><!DOCTYPE x SYSTEM "y.dtd"><set xmlns:q="r">{body}<article><q:p>prefix of the wrapper</q:p></article></set>\n'
+    (tmp_path / "all.xml").write_text(wrapped)
+    (tmp_path / "cut.xml").write_text("<article><body><p>cut off</p>")
+    (tmp_path / "single.xml").write_text('<?xml version="1.0"?>\n<!DOCTYPE article PUBLIC "a" "b">\n' + XML)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        got = articles.read_articles(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    name = lambda r: r.file.rpartition("/")[2]
+    assert len({r.block for r in got if name(r) == "all.xml"}) > 10
+    count = {}
+    for r in got:
+        count[name(r), r.status] = count.get((name(r), r.status), 0) + 1
+    assert count == {("all.xml", "ok"): 2941, ("all.xml", "broken"): 60, ("cut.xml", "broken"): 1, ("single.xml", "ok"): 1}
+    assert all((r.error is None) == (r.status == "ok") for r in got)
+    again = articles.article_table(spark.createDataFrame([(i, r.xml) for i, r in enumerate(got)], "doc long, xml string"), "metadata")
+    found = {r.pmid for r in again.where("status = 'ok'").collect()}
+    assert found == {str(k) for k in range(3000) if k % 50} | {"12", None}
