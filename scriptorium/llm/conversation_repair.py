@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -67,28 +68,33 @@ def merged(a: Cell, b: Cell) -> Cell:
 
 #: What insertions alone can do.
 INSERTED = _closure()
-_ROWS: dict[tuple[str, bool, bool], Cell] = {}
+#: What decides a row's cell: its role's initial ('' for other roles), and whether it is truncated; None if it can only be deleted.
+Kind = tuple[str, bool] | None
 
 
-def row_cell(initial: str, dead: bool, truncated: bool) -> Cell:
-    """The cell of one row: kept, relabelled or deleted, with insertions around
-    it.  ``dead`` rows (blank or duplicate) can only be deleted."""
-    key = (initial if initial in MOVES else "", dead, truncated)
-    if key not in _ROWS:
-        cell: Cell = {(p, p): (DELETE, "D") for p in range(4)}
+def kind_of(initial: str, dead: bool, truncated: bool) -> Kind:
+    return None if dead else (initial if initial in MOVES else "", truncated)
+
+
+@cache
+def row_cell(kind: Kind) -> Cell:
+    """The cell of one row: kept, relabelled or deleted, with insertions around it."""
+    cell: Cell = {(p, p): (DELETE, "D") for p in range(4)}
+    if kind is not None:
+        initial, truncated = kind
         more = TRUNCATED if truncated else 0
-        if not dead:
-            for role in "ua":
-                cell = merged(cell, {k: (RELABEL + more, "R") for k in MOVES[role].items()})
-            cell = merged(cell, {k: (more, "K") for k in MOVES.get(initial, {}).items()})
-        _ROWS[key] = join_cells(join_cells(INSERTED, cell), INSERTED)
-    return _ROWS[key]
+        for role in "ua":
+            cell = merged(cell, {k: (RELABEL + more, "R") for k in MOVES[role].items()})
+        cell = merged(cell, {k: (more, "K") for k in MOVES.get(initial, {}).items()})
+    return join_cells(join_cells(INSERTED, cell), INSERTED)
 
 
-def parse(rows: list[Cell]) -> Cell:
-    """The cell of a short span, every split tried, by length."""
+@lru_cache(1 << 16)
+def parse(rows: tuple[Kind, ...]) -> Cell:
+    """The cell of a short span, every split tried, by length.  Spans of the same
+    kinds of rows have the same cell, so a task parses each pattern once."""
     n = len(rows)
-    spans = {(i, i + 1): c for i, c in enumerate(rows)}
+    spans = {(i, i + 1): row_cell(k) for i, k in enumerate(rows)}
     for length in range(2, n + 1):
         for i in range(n - length + 1):
             j, cell = i + length, {}
@@ -104,16 +110,16 @@ class Spans:
 
     def __init__(self):
         self.done: list[tuple[int, Cell]] = []
-        self.open: list[Cell] = []
+        self.open: list[Kind] = []
 
-    def add(self, cell: Cell) -> None:
-        self.open.append(cell)
+    def add(self, kind: Kind) -> None:
+        self.open.append(kind)
         if len(self.open) == SPAN:
             self.close()
 
     def close(self) -> None:
         if self.open:
-            self.push(len(self.open), parse(self.open))
+            self.push(len(self.open), parse(tuple(self.open)))
             self.open = []
 
     def push(self, size: int, cell: Cell) -> None:
@@ -193,7 +199,7 @@ class _Piece:
                 self.turns += 1
             self.low = turn if self.low is None else self.low
             self.high = turn
-        self.spans.add(row_cell(initial, dead, truncated))
+        self.spans.add(kind_of(initial, dead, truncated))
 
     def row(self, part: int) -> tuple:
         cell = self.spans.cell()

@@ -126,7 +126,7 @@ def test_long_conversation_over_many_tasks(spark):
         this = (r.turn, r.role, r.text)
         dead = r.blank or r.again == 2 or (r.again == 1 and this == before)
         before, new = this, {}
-        for (p, q), (cost, audit) in repair.row_cell(r.role[:1], dead, r.truncated).items():
+        for (p, q), (cost, audit) in repair.row_cell(repair.kind_of(r.role[:1], dead, r.truncated)).items():
             if p in reached:
                 whole = (reached[p][0] + cost, reached[p][1] + audit)
                 new[q] = min(new.get(q, whole), whole)
