@@ -65,7 +65,12 @@ def queue_items(annotations: DataFrame, states: DataFrame, sections: tuple[str,
     and reason.  ``states``: (draft, feature_type, name, problem) of all levels.
     A type that no section takes is parked as well."""
     s = states.select("draft", "feature_type", F.col("name").alias("feature"), F.coalesce("problem", F.lit("ok")).alias("state"))
-    out = annotations.join(s, ["draft", "feature_type", "feature"], "left")
+    return with_reasons(annotations.join(s, ["draft", "feature_type", "feature"], "left"), sections)
+
+
+def with_reasons(out: DataFrame, sections: tuple[str, ...] | None = None) -> DataFrame:
+    """Annotations with ``state`` (their subject's: a problem, ok, or null if it is
+    not there) to disposition and reason."""
     problem = F.when(F.col("feature_type").isin("gene", "genotype", "metagenotype") & F.col("state").isNull(), "absent").otherwise(F.nullif("state", F.lit("ok")))
     cols = {c: F.col(c) for c in ("hold", "hold_reason", "term_id", "term_name", "type", "note", "bad_term")}
     reason = park_reason(F.col("feature"), problem, F.col("feature_type"), cols)
@@ -76,6 +81,49 @@ def queue_items(annotations: DataFrame, states: DataFrame, sections: tuple[str,
     return out.withColumn("disposition", F.when(F.col("reason") == "", "enter").otherwise("parked"))
 
 
+def _state_of(name: Column, states: Column) -> Column:
+    """The state of the parts of one name: undefined beats held, null if there is none."""
+    mine = F.filter(states, lambda s: s["name"] == name)
+    has = lambda state: F.exists(mine, lambda s: s["state"] == state)
+    return F.when(F.size(mine) == 0, F.lit(None)).when(has(UNDEFINED), UNDEFINED).when(has(HELD), HELD).otherwise("ok")
+
+
+def _child_states(parts: Column, parents: Column, refs) -> Column:
+    """(name, state) of parts, by the states of what they refer to."""
+
+    def state(part: Column) -> Column:
+        found = F.transform(F.filter(refs(part), lambda r: r.isNotNull()), lambda r: F.coalesce(_state_of(r, parents), F.lit("absent")))
+        has = lambda *states: F.exists(found, lambda s: s.isin(*states))
+        return F.when(has("absent"), UNDEFINED).when(has(HELD, UNDEFINED), HELD).otherwise("ok")
+
+    return F.transform(parts, lambda p: F.struct(p["name"].alias("name"), state(p).alias("state")))
+
+
+def folded_annotations(incoming: DataFrame) -> DataFrame:
+    """Annotations of drafts (draft, canto), each with its subject's ``state``: the
+    cascade from genes to metagenotypes as nested arrays, one level after the other,
+    without a join.  All other columns of ``incoming`` are left out."""
+
+    genes = F.transform(F.col("canto.genes"), lambda g: F.struct(g["name"].alias("name"), F.when(text_or_empty(g["uniprot"]) == "", HELD).otherwise("ok").alias("state")))
+    steps = (
+        ("_gene", F.coalesce(genes, F.array().cast("array<struct<name:string,state:string>>"))),
+        ("_allele", _child_states(F.col("canto.alleles"), F.col("_gene"), lambda a: F.array(a["gene"]))),
+        ("_genotype", _child_states(F.col("canto.genotypes"), F.coalesce("_allele", F.array().cast("array<struct<name:string,state:string>>")), lambda g: F.coalesce(g["alleles"], F.array().cast("array<string>")))),
+        ("_metagenotype", _child_states(F.col("canto.metagenotypes"), F.coalesce("_genotype", F.array().cast("array<struct<name:string,state:string>>")), lambda m: F.array(m["pathogen_genotype"], m["host_genotype"]))),
+    )
+    rows = incoming.select("draft", "canto")
+    for name, column in steps:
+        rows = rows.withColumn(name, column)
+    none = F.array().cast("array<struct<name:string,state:string>>")
+    a = rows.select("draft", F.posexplode("canto.annotations").alias("ord", "a"), "_gene", "_genotype", "_metagenotype")
+    feature = F.col("a.feature")
+    state = F.when(F.col("a.feature_type") == "gene", _state_of(feature, F.col("_gene")))
+    for kind in ("genotype", "metagenotype"):
+        state = state.when(F.col("a.feature_type") == kind, _state_of(feature, F.coalesce(f"_{kind}", none)))
+    out = [F.col(f"a.{c}").alias(c) for c in ("feature_type", "feature", "hold_reason", "term_id", "term_name", "note", "evidence")]
+    return a.select("draft", "ord", *out, F.col("a.hold").cast("string").alias("hold"), F.col("a.annotation_type").alias("type"), state.alias("state"))
+
+
 def queue_counts(items: DataFrame, genes: DataFrame | None = None) -> DataFrame:
     """Per draft: annotations to enter and parked; with ``genes`` (draft, name,
     problem) also genes to enter and held."""

@@ -23,38 +23,44 @@ def checked_events(events: DataFrame, ontologies: tuple[str, ...]) -> DataFrame:
     return events.withColumn("rejected", reason)
 
 
-def _in_order(c: str, when: Column | None = None) -> Column:
-    """Distinct values in ledger order.  A collected list holds one entry for each
-    event of a phrase, so it is built of distinct values first."""
-    value = F.struct("seq", F.col(c).alias("v"))
-    kept = F.collect_list(F.when(F.col(c).isNotNull() if when is None else when, value))
-    return F.array_distinct(F.transform(F.array_sort(kept), lambda s: s.v))
+#: What is kept of a gap's events: the events themselves, and the distinct values of four columns.
+KINDS = {"seen": None, "paper": "pmid", "variant": "phrase", "context": "context", "filed": "filed"}
+GAP = ["ontology", "norm"]
 
 
-def _first_seen(events: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """One row for each distinct value: the place where it came first."""
-    return events.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.min("seq").alias("seq"))
+def gap_facts(events: DataFrame) -> DataFrame:
+    """(ontology, norm, kind, value, seq): a row for each thing that a gap event says."""
+    gaps = events.where("outcome = 'gap'").withColumn("norm", normal_phrase(F.col("phrase")))
+    said = F.array(*[F.struct(F.lit(k).alias("kind"), (F.col(c) if c else F.lit(None)).cast("string").alias("value")) for k, c in KINDS.items()])
+    each = gaps.select(*GAP, "seq", F.explode(said).alias("s")).select(*GAP, "s.kind", "s.value", "seq")
+    return each.where("kind = 'seen' or value is not null")
+
+
+def gap_pairs(facts: DataFrame) -> DataFrame:
+    """(ontology, norm, kind, value, n, first, last): how often, and from where to
+    where in the ledger, a gap said a value.  A phrase that a third of all events
+    repeat is as many rows as it has distinct papers, wordings and contexts."""
+    return facts.groupBy(*GAP, "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
+def gaps_of(pairs: DataFrame) -> DataFrame:
+    """One row per gap from its pairs, lists in ledger order."""
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c) if isinstance(c, str) else c)
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(of(kind, F.struct("first", "value")))), lambda x: x.value)
+    out = pairs.groupBy(*GAP).agg(
+        F.sum(of("seen", "n")).alias("seen"), F.max_by("value", of("variant", "last")).alias("phrase"), F.max_by("value", of("filed", "last")).alias("filed"),
+        listed("paper").alias("papers"), listed("variant").alias("variants"), listed("context").alias("contexts"),
+    )
+    return out.withColumns({f"n_{c}": F.size(c).cast("long") for c in ("papers", "variants", "contexts")})
 
 
 def gap_rank(events: DataFrame) -> DataFrame:
     """Genuine gaps by how many papers needed the term; unfiled ones first.
 
     ``events``: seq, ontology, phrase, outcome, pmid, context, filed.  Wordings
-    and papers are made distinct before they are gathered, so a phrase that a
-    third of all events repeat gathers only what differs.
+    and papers are made distinct before they are gathered.
     """
-    gaps = events.where("outcome = 'gap'").withColumn("norm", normal_phrase(F.col("phrase")))
-    keys = ["ontology", "norm"]
-    whole = gaps.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("seen"), F.max_by("phrase", "seq").alias("phrase"), F.max_by("filed", F.when(F.col("filed").isNotNull(), F.col("seq"))).alias("filed"),
-        F.countDistinct("pmid").alias("n_papers"), F.countDistinct("phrase").alias("n_variants"), F.countDistinct("context").alias("n_contexts"),
-    )
-    lists = None
-    for column, out in (("pmid", "papers"), ("phrase", "variants"), ("context", "contexts")):
-        part = _first_seen(gaps, keys, column).groupBy(*keys).agg(_in_order(column).alias(out))
-        lists = part if lists is None else lists.join(part, keys, "full")
-    out = whole.join(lists, keys, "left")
-    return out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("papers", "variants", "contexts")})
+    return gaps_of(gap_pairs(gap_facts(events)))
 
 
 def gap_order() -> list[Column]:

@@ -245,11 +245,12 @@ def pub_route(spark, d):
 # ---- ledger --------------------------------------------------------------
 
 
-def event_ledger(spark: SparkSession, d: str) -> DataFrame:
+def event_ledger(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     outcome = F.when(F.col("value") > 30, "synonym").otherwise("gap")
     phrase = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Phrase  "), k)).otherwise(F.concat(F.lit(" phrase "), k))
-    return table(spark, d, "events").select(
+    events = table(spark, d, "events") if events is None else events
+    return events.select(
         F.col("event_id").alias("seq"), F.col("event_type").alias("ontology"), phrase.alias("phrase"), outcome.alias("outcome"), F.col("user_id").cast("string").alias("pmid"),
         F.lit(None).cast("string").alias("context"), F.when(outcome == "synonym", F.concat(F.lit("T"), F.col("user_id").cast("string"))).alias("matched_term"),
         F.when((F.col("value") > 20) & (F.col("value") <= 30), F.col("event_id").cast("string")).alias("filed"),
@@ -287,11 +288,21 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query(f"WITH {EVENTS} SELECT ontology, norm, count(*) AS seen, count(DISTINCT pmid) AS n_papers FROM e WHERE value <= 30 GROUP BY ontology, norm")
+@query(f"""WITH {EVENTS}, f AS (SELECT ontology, norm, pmid, min(seq) AS f FROM e WHERE value <= 30 GROUP BY ALL),
+p AS (SELECT ontology, norm, string_agg(pmid, ',' ORDER BY f, pmid) AS papers FROM f GROUP BY ontology, norm)
+SELECT e.ontology, e.norm, count(*) AS seen, count(DISTINCT pmid) AS n_papers, count(DISTINCT phrase) AS n_variants, arg_max(phrase, seq) AS phrase,
+max(CASE WHEN filed IS NOT NULL THEN seq END) AS filed, 0 AS n_contexts, any_value(papers) AS papers FROM e JOIN p ON e.ontology = p.ontology AND e.norm = p.norm WHERE value <= 30 GROUP BY e.ontology, e.norm""")
 def stream_gap_rank(spark, d):
-    k = F.get_json_object("props", "$.k")
-    events = event_stream(spark, d).where("value <= 30").select(F.col("event_type").alias("ontology"), F.concat(F.lit(" Phrase  "), k).alias("phrase"), F.lit("gap").alias("outcome"), F.col("user_id").cast("string").alias("pmid"))
-    return jobs.gap_totals(jobs.run_to_table(jobs.gap_counts(events), "complete"))
+    """The ledger as a stream, ranked as ``gap_rank`` does."""
+    found = jobs.run_ranking(event_ledger(spark, d, event_stream(spark, d))).ranking()
+    return found.select("ontology", "norm", "seen", "n_papers", "n_variants", "phrase", F.col("filed").cast("long").alias("filed"), "n_contexts", F.array_join("papers", ",").alias("papers"))
+
+
+@query(f"""WITH {EVENTS}, g AS (SELECT ontology, norm, count(*) AS seen, count(DISTINCT pmid) AS n_papers, max(CASE WHEN filed IS NOT NULL THEN seq END) AS filed FROM e WHERE value <= 30 GROUP BY ontology, norm)
+SELECT ontology, norm, seen, n_papers FROM g ORDER BY filed IS NOT NULL, n_papers DESC, seen DESC, norm, ontology LIMIT 15""")
+def stream_gap_heads(spark, d):
+    """The head of that ranking, as the stream keeps it."""
+    return jobs.run_ranking(event_ledger(spark, d, event_stream(spark, d)), top=15).top().select("ontology", "norm", "seen", "n_papers")
 
 
 @query("""WITH w AS (SELECT time_bucket(INTERVAL '1 day', ts) AS start, user_id AS session, count(*) AS n, round(sum(value), 4) AS tokens FROM events GROUP BY 1, 2)
@@ -308,10 +319,11 @@ def stream_upsert(spark, d):
     return jobs.run_upserts(rows, ["user_id"], "event_id")
 
 
-@query("SELECT DISTINCT user_id FROM events")
+@query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_new_only(spark, d):
-    rows = event_stream(spark, d).select("ts", "user_id")
-    return jobs.run_to_table(jobs.first_seen(rows, "user_id", late="60 days"), "append").select("user_id")
+    rows = event_stream(spark, d).select("user_id", "event_id")
+    with jobs.rocksdb(spark):
+        return jobs.run_to_table(jobs.first_seen(rows, "user_id", "event_id"), "append")
 
 
 @query("SELECT CASE WHEN e.event_id % 3 = 0 THEN 'unknown_prefix' WHEN p_partkey IS NULL THEN 'not_found' WHEN p_size > 45 THEN 'obsolete' ELSE 'exists' END AS existence, count(*) AS n FROM events e LEFT JOIN part ON e.event_id = p_partkey GROUP BY 1")

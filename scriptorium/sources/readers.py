@@ -14,15 +14,17 @@ from scriptorium.sources.quoted import read_quoted_csv
 GAP_EVENT = "ontology string, phrase string, outcome string, pmid string, context string, matched_term string, matched_via string, filed string, recorded_at string, seq long"
 USAGE = "struct<input_tokens:long,output_tokens:long,cache_creation_input_tokens:long,cache_read_input_tokens:long>"
 TURN = f"message struct<model:string,usage:{USAGE},content:string>"
+CANTO = (
+    "genes array<struct<name:string,uniprot:string,organism:string,locus:string,note:string>>,"
+    "alleles array<struct<name:string,gene:string,type:string,expression:string>>,"
+    "genotypes array<struct<name:string,organism:string,alleles:array<string>,role:string,strain:string,background:string,paper_label:string>>,"
+    "metagenotypes array<struct<name:string,pathogen_genotype:string,host_genotype:string,role:string>>,"
+    "annotations array<struct<feature_type:string,feature:string,annotation_type:string,term_id:string,term_name:string,evidence:string,conditions:string,figure:string,note:string,"
+    "hold:boolean,hold_reason:string,needs_figure:boolean,extensions:array<struct<relation:string,value:string>>>>"
+)
 DRAFT = (
     "meta struct<date:string,pmid:string,paper:string,system:string,draft_by:string,model:string>, triage string, auto_check map<string,string>, "
-    "flags array<struct<category:string,detail:string>>, canto struct<"
-    "genes:array<struct<name:string,uniprot:string,organism:string,locus:string,note:string>>,"
-    "alleles:array<struct<name:string,gene:string,type:string,expression:string>>,"
-    "genotypes:array<struct<name:string,organism:string,alleles:array<string>,role:string,strain:string,background:string,paper_label:string>>,"
-    "metagenotypes:array<struct<name:string,pathogen_genotype:string,host_genotype:string,role:string>>,"
-    "annotations:array<struct<feature_type:string,feature:string,annotation_type:string,term_id:string,term_name:string,evidence:string,conditions:string,figure:string,note:string,"
-    "hold:boolean,hold_reason:string,needs_figure:boolean,extensions:array<struct<relation:string,value:string>>>>>, "
+    f"flags array<struct<category:string,detail:string>>, canto struct<{CANTO}>, "
     "figure_inspection struct<media_dir:string,figures:array<struct<label:string,file:string,inspected:boolean,read:string,note:string,supports:array<string>>>>"
 )
 #: Names that a release's columns had over time, the current one first.

@@ -4,23 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
-from scriptorium.functions.text import normal_phrase
-from scriptorium.operators import tracking, validation
-
-
-def gap_counts(events: DataFrame) -> DataFrame:
-    """Running counts of each gap in each paper; state grows with distinct pairs."""
-    gaps = events.where("outcome = 'gap'").withColumn("norm", normal_phrase(F.col("phrase")))
-    return gaps.groupBy("ontology", "norm", "pmid").agg(F.count(F.lit(1)).alias("seen"))
-
-
-def gap_totals(counts: DataFrame) -> DataFrame:
-    """What ``gap_counts`` wrote, by gap, with its number of papers."""
-    return counts.groupBy("ontology", "norm").agg(F.sum("seen").alias("seen"), F.countDistinct("pmid").alias("n_papers"))
+from scriptorium.operators import drafts, validation
+from scriptorium.streaming.keyed import KeyedTable
+from scriptorium.streaming.ranking import GapRanking
 
 
 def tokens_by_window(turns: DataFrame, length: str = "5 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -34,29 +27,71 @@ def tokens_by_session(turns: DataFrame, gap: str = "30 minutes", late: str = "10
     return turns.withWatermark("ts", late).groupBy(w.alias("w"), "session").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "session", "tokens", "n")
 
 
-def upsert_each(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: keyed upserts into a Parquet table of numbered versions.
-    A batch that is replayed writes its own version again."""
+def validated(ids: DataFrame, index: DataFrame, indexed: tuple[str, ...]) -> DataFrame:
+    """Incoming ids against a static index: a stream-static left join."""
+    return validation.validate_ids(ids, index, indexed)
+
 
-    def put(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        table = batch.limit(0)
-        if epoch:
-            table = spark.read.schema(batch.schema).parquet(f"{path}/v{epoch - 1}")
-        tracking.upsert(table, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v{epoch}")
-        if epoch > 1:  # a replay needs the version before it, and no older one
-            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{epoch - 2}")
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+def parked(incoming: DataFrame, index: DataFrame, indexed: tuple[str, ...], sections: tuple[str, ...] | None = None) -> DataFrame:
+    """``incoming`` drafts (draft, canto) to their annotations, each with disposition
+    and reason as ``drafts.queue_items`` gives them, batch or stream.
 
-    return put
+    A stream cannot chain the joins of that cascade, so it is folded within the
+    draft's own row; ids of terms meet the static index in one left join."""
+    rows = drafts.folded_annotations(incoming)
+    checked = validated(rows.withColumn("input_id", validation.strip(F.coalesce("term_id", F.lit("")))), index, indexed)
+    bad = F.when((F.col("input_id") != "") & F.col("existence").isin(*validation.PARKING), F.col("existence"))
+    return drafts.with_reasons(checked.withColumn("bad_term", bad).drop("input_id", "prefix", "format_valid", "existence", "label", "ok"), sections)
 
 
-def validated(drafts: DataFrame, index: DataFrame, indexed: tuple[str, ...]) -> DataFrame:
-    """Incoming ids against a static index: a stream-static left join."""
-    return validation.validate_ids(drafts, index, indexed)
+class _FirstSeen(StatefulProcessor):
+    """Remembers that a key came, for ``keep_ms`` or for ever; its first row passes."""
+
+    def __init__(self, schema: StructType, order: str, keep_ms: int | None):
+        self.names, self.at, self.keep_ms = schema.names, schema.names.index(order), keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", StructType().add("known", "boolean"), self.keep_ms)
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[Row]:
+        # a batch's rows stream by; only the first by order is held
+        first = min(rows, key=lambda r: (r[self.at] is not None, r[self.at]), default=None)
+        if first is not None and not self.known.exists():
+            self.known.update((True,))
+            yield Row(**{c: first[c] for c in self.names})
 
+    def close(self) -> None:
+        pass
 
-def first_seen(rows: DataFrame, key: str, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
+
+#: The state store that processors with state of their own need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def first_seen(rows: DataFrame, key: str, order: str, keep_ms: int | None = None) -> DataFrame:
+    """The first row of each key, whenever it comes again: a state for each key, in
+    the checkpoint, that no watermark ends.  ``keep_ms`` is the time, by the clock,
+    after which a key that was taken in counts as new; None keeps it for ever.
+    Start the query within ``rocksdb``."""
+    mode = "none" if keep_ms is None else "processingTime"
+    return rows.groupBy(key).transformWithState(_FirstSeen(rows.schema, order, keep_ms), rows.schema, "append", mode)
+
+
+def first_seen_lately(rows: DataFrame, key: str, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """As ``first_seen``, with keys forgotten once the watermark passes: bounded
+    state, for keys that come again soon or never."""
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
@@ -83,17 +118,18 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def run_upserts(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Run a stream of keyed changes, and read the table's last version."""
+def run_upserts(stream: DataFrame, keys: list[str], order: str, **layout: int) -> DataFrame:
+    """Run a stream of keyed changes into a ``KeyedTable``, and read it."""
     spark, folder = stream.sparkSession, work_folder(stream.sparkSession)
-    last: list[int] = []
-    put = upsert_each(f"{folder}/table", keys, order)
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        put(batch, epoch)
-        last.append(epoch)
-
-    stream.writeStream.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
-    if not last:  # nothing came
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/table/v{last[-1]}")
+    table = KeyedTable(spark, f"{folder}/table", stream.schema, keys, order, **layout)
+    stream.writeStream.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).foreachBatch(table.put).start().awaitTermination()
+    return table.read()
+
+
+def run_ranking(events: DataFrame, top: int = 50) -> GapRanking:
+    """Run a ledger's stream into a ``GapRanking``."""
+    spark, folder = events.sparkSession, work_folder(events.sparkSession)
+    ranking = GapRanking(spark, f"{folder}/ranking", top)
+    writer = ranking.counted(events).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/log")
+    writer.trigger(availableNow=True).foreachBatch(ranking.each).start().awaitTermination()
+    return ranking
