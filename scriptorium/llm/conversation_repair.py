@@ -21,7 +21,6 @@ import hashlib
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -233,36 +232,43 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _whole(group: pd.DataFrame) -> pd.DataFrame:
+def _whole(conv: int | None, pieces: list[dict]) -> tuple:
     """The pieces of one conversation, at most one for each task, combined."""
-    spans, last, high, turns, illegal = Spans(), None, None, 0, 0
-    group = group.sort_values("part")
-    for x in group.itertuples():
-        spans.push(1, {(k // 4, k % 4): (int(c), a) for k, c, a in zip(x.pairs, x.costs, x.audits)})
-        if isinstance(x.first, str):
-            illegal += x.illegal + (last is not None and last + x.first not in _LEGAL)
-            last = x.last
-        if not pd.isna(x.low):
-            turns += x.turns - (x.low == high)
-            high = x.high
-    low = group["low"].min()
-    gaps = 0 if pd.isna(low) else int(high) - int(low) + 1 - int(turns)
+    spans, last, low, high, turns, illegal = Spans(), None, None, None, 0, 0
+    for x in pieces:
+        spans.push(1, {(k // 4, k % 4): (c, a) for k, c, a in zip(x["pairs"], x["costs"], x["audits"])})
+        if x["first"] is not None:
+            illegal += x["illegal"] + (last is not None and last + x["first"] not in _LEGAL)
+            last = x["last"]
+        if x["low"] is not None:
+            turns += x["turns"] - (x["low"] == high)
+            low, high = x["low"] if low is None else low, x["high"]
     cell = spans.cell()
     cost, audit = min(cell[0, q] for q in ENDS if (0, q) in cell)
-    total = group[["blank", "duplicate", "truncated"]].sum()
-    conv = group["conv_id"].iloc[0]
-    return pd.DataFrame({"conv_id": pd.array([None if pd.isna(conv) else int(conv)], "Int64"), "gaps": [gaps], **{c: [int(v)] for c, v in total.items()}, "illegal": [int(illegal)], "cost": [cost], "audit": [audit]})
+    gaps = 0 if low is None else high - low + 1 - turns
+    return conv, gaps, *(sum(x[c] for x in pieces) for c in ("blank", "duplicate", "truncated")), illegal, cost, audit
 
 
 EDITS = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
 
 
+def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in EDITS.split(", ")]
+    kinds = [pa.int64()] * 7 + [pa.string()]
+    for b in batches:
+        pieces = b.column("pieces")
+        cols = list(zip(*(_whole(conv, pieces[i].as_py()) for i, conv in enumerate(b.column("conv_id").to_pylist())))) or [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+
 def cheapest_edits(rows: DataFrame) -> DataFrame:
     """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit) for the
     rows of ``with_faults``, one row per conversation."""
     keys = [F.col(c) for c in ORDER[:3]] + [F.substring("text", 1, 64)]
     dealt = rows.repartitionByRange(partitions(rows.sparkSession), *keys).sortWithinPartitions(*ORDER)
-    return dealt.mapInArrow(_pieces, PIECE).groupBy("conv_id").applyInPandas(_whole, EDITS)
+    pieces = dealt.mapInArrow(_pieces, PIECE)
+    rest = [c for c in pieces.columns if c != "conv_id"]  # part comes first
+    return pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("pieces")).mapInArrow(_wholes, EDITS)
 
 
 def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
