@@ -42,8 +42,9 @@ def weighed(phrases: DataFrame, weights: DataFrame) -> DataFrame:
 
     A text that reaches a third of the mass has one of the heaviest tokens, up to
     where the rest holds less than a third.  A text that holds the whole phrase has
-    all tokens within it, and shares the first or the last one if there are no
-    others; so these and the heaviest inner one are looked up besides.
+    the tokens between its first and last one whole, so the heaviest of these is
+    looked up besides; of a phrase of two tokens, the end of one and the start of
+    the next stand side by side in the text, and that boundary is looked up.
     """
     rarest = weights.agg(F.coalesce(F.max("idf"), F.lit(1.0)).alias("rarest"))
     said = F.regexp_extract_all(F.col("q"), F.lit("[a-z0-9]+"), 0)
@@ -57,31 +58,58 @@ def weighed(phrases: DataFrame, weights: DataFrame) -> DataFrame:
     heavy = F.aggregate("parts", start, step, lambda acc: acc["keys"])
     inner = F.slice("said", 2, F.greatest(F.size("said") - 2, F.lit(0)))
     best = F.slice(F.filter(F.transform("parts", lambda x: x.token), lambda t: F.array_contains(inner, t)), 1, 1)
-    keys = F.array_distinct(F.concat(heavy, best, F.array(F.element_at("said", 1), F.element_at("said", -1))))
+    first, last = F.element_at("said", 1), F.element_at("said", -1)
+    seam = F.concat(F.right(first, F.lit(SEAM)), F.lit(" "), F.left(last, F.lit(SEAM)))
+    keys = F.array_distinct(F.concat(heavy, best, F.when(F.size("said") == 2, F.array(seam)).otherwise(F.array().cast("array<string>"))))
     return whole.withColumn("key", F.explode(keys)).drop("said")
 
 
+#: Letters on each side of a boundary between tokens that are looked up.
+SEAM = 3
+
+
+def seams(said: Column) -> Column:
+    """Ends and starts of up to ``SEAM`` letters, of all lengths, where two of the
+    tokens ``said`` meet.  No token holds the space between them."""
+    pairs = F.zip_with(F.slice(said, 1, F.greatest(F.size(said) - 1, F.lit(0))), F.slice(said, 2, F.greatest(F.size(said) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def seam(i: int, j: int) -> Column:
+        return F.transform(pairs, lambda p: F.concat(F.right(p.a, F.lit(i)), F.lit(" "), F.left(p.b, F.lit(j))))
+
+    lengths = range(1, SEAM + 1)
+    return F.array_distinct(F.concat(*[seam(i, j) for i in lengths for j in lengths]))
+
+
+def candidates(weighed_phrases: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of a phrase and a distinct text that can match at all, each once: an
+    equi-join on the tokens and boundaries that no match can do without."""
+    t = texts.select(F.lower(strip(F.col("text"))).alias("text")).distinct()
+    said = F.regexp_extract_all("text", F.lit("[a-z0-9]+"), 0)
+    keyed = t.withColumns({"has": tokens(F.col("text")), "key": F.explode(F.concat(F.array_distinct(said), seams(said)))})
+    return weighed_phrases.join(keyed, "key").drop("key").dropDuplicates(["phrase_id", "text"])
+
+
 def scores(phrases: DataFrame, texts: DataFrame, weights: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """(phrase_id, text, exact, score) of all pairs of a phrase and a distinct text,
     lower-cased, that reach ``least`` (a third of 60, or more).
 
     100 for an equal text; 60 times the covered share of the phrase's mass; at
-    least 60 and the number of shared tokens if the phrase lies within the text.
+    least 60 and the number of shared tokens if the phrase lies within the text and
+    shares one.
     A phrase whose tokens all have no mass scores 0, even if equal.  Tokens that
     no term has weigh as much as the rarest.
     """
     if least < LEAST_SCORE:
         raise ValueError("candidates are complete from a third of the greatest coverage on")
     q = weighed(phrases, weights)
-    t = texts.select(F.lower(strip(F.col("text"))).alias("text")).distinct().withColumn("has", tokens(F.col("text")))
-    met = q.join(t.withColumn("key", F.explode("has")), "key").drop("key").dropDuplicates(["phrase_id", "text"])
+    met = candidates(q, texts)
     shared = F.filter("parts", lambda x: F.array_contains("has", x.token))
     sum_ = F.aggregate(shared, F.lit(0.0), lambda acc, x: acc + x.w)
     covered = 60.0 * sum_ / F.col("mass")
     exact = F.col("text") == F.col("q")
     score = F.when(exact, 100.0).when(F.instr(F.col("text"), F.col("q")) > 0, F.greatest(covered, 60.0 + F.size(shared))).otherwise(covered)
     # summed in floating point: compared with a hair of slack
-    return met.select("phrase_id", "text", exact.alias("exact"), score.alias("score")).where(F.col("score") >= least - 1e-9)
+    return met.where(F.size(shared) > 0).select("phrase_id", "text", exact.alias("exact"), score.alias("score")).where(F.col("score") >= least - 1e-9)
 
 
 def match_terms(phrases: DataFrame, terms: DataFrame, rows: int = 5, least: float = LEAST_SCORE) -> DataFrame:

@@ -2,20 +2,58 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import StructType
 
 BUCKETS = ("inp", "out", "cache_write", "cache_read")
 
 
-def attribute(turns: DataFrame, keys: DataFrame) -> DataFrame:
+#: Bytes of a session's text that one task searches at a time.
+SHARE_BYTES = 32 << 20
+
+
+def attribute(turns: DataFrame, keys: DataFrame, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """``turns`` (session, turn, blob, ...) with n_owners and owner: the article of
     the session one of whose keys (session, article, key) the turn's text holds,
-    if it is the only one.  The comparison is within a session, joined by it."""
-    k = keys.where("key is not null and key <> ''").select("session", "article", F.lower("key").alias("key"))
-    met = turns.select("session", "turn", "blob").join(k, "session").where(F.contains(F.col("blob"), F.col("key")))
-    owners = met.groupBy("session", "turn").agg(F.countDistinct("article").alias("n_owners"), F.min("article").alias("owner"))
-    out = turns.join(owners, ["session", "turn"], "left").withColumn("n_owners", F.coalesce("n_owners", F.lit(0)))
-    return out.withColumn("owner", F.when(F.col("n_owners") == 1, F.col("owner")))
+    if it is the only one.
+
+    All keys of a session are sought at once, by one automaton over the text, so
+    the work is that of reading it.  A long session is dealt out in shares of about
+    ``share_bytes``, each with the session's keys.
+    """
+    k = keys.where("key is not null and key <> ''").select("session", "article", F.lower("key").alias("key")).distinct()
+    size = F.coalesce(F.octet_length("blob"), F.lit(0)) + 64
+    shares = turns.groupBy("session").agg((F.floor(F.sum(size) / share_bytes) + 1).cast("int").alias("_shares"))
+    t = turns.join(shares.withColumnRenamed("session", "_s"), F.col("session").eqNullSafe(F.col("_s")), "left").drop("_s")
+    t = t.withColumn("_share", F.pmod(F.xxhash64("turn"), F.col("_shares")).cast("int")).drop("_shares")
+    k = k.join(shares, "session").select(F.col("session").alias("_session"), "article", "key", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_of"))
+    article = keys.schema["article"].dataType
+    schema = StructType(list(turns.schema.fields)).add("n_owners", "long").add("owner", article)
+
+    def search(part: pa.Table, sought: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        part = part.drop_columns(["_share"])
+        owners: dict[str, set] = {}
+        for article, key in zip(sought["article"].to_pylist(), sought["key"].to_pylist()):
+            owners.setdefault(key, set()).add(article)
+        counts, mine = [0] * part.num_rows, [None] * part.num_rows
+        if owners:
+            machine = ahocorasick.Automaton()
+            for key, of in owners.items():
+                machine.add_word(key, of)
+            machine.make_automaton()
+            for i, blob in enumerate(part["blob"]):
+                found = set().union(*(of for _, of in machine.iter(blob.as_py() or ""))) - {None}
+                counts[i] = len(found)
+                if len(found) == 1:
+                    mine[i] = found.pop()
+        kind = sought.schema.field("article").type
+        return part.append_column("n_owners", pa.array(counts, pa.int64())).append_column("owner", pa.array(mine, kind))
+
+    # Arrow keeps whole numbers whole where a pandas frame with nulls would not
+    return t.groupBy("session", "_share").cogroup(k.groupBy("_session", "_of")).applyInArrow(search, schema)
 
 
 def direct_and_shared(attributed: DataFrame, articles: DataFrame) -> DataFrame:

@@ -155,27 +155,64 @@ def check_codes(values: DataFrame, codes: DataFrame) -> DataFrame:
     return out.select("type", "value", "n", status.alias("status"))
 
 
-def near_codes(values: DataFrame, codes: DataFrame, least: int = 5, first: int = 3) -> DataFrame:
-    """Up to three codes of a value's type of which either holds the other; what is
-    held has ``least`` letters at least.  The code list is a vocabulary: each
-    type's codes stand in one array, and values meet it by type."""
-    lists = codes.groupBy("type").agg(F.array_sort(F.collect_set("code")).alias("codes"))
-    v = F.lower("value")
-    close = lambda c: ((F.length(v) >= least) & F.lower(c).contains(v)) | ((F.length(c) >= least) & v.contains(F.lower(c)))
-    return values.join(lists, "type", "left").withColumn("suggestions", F.slice(F.coalesce(F.filter("codes", close), F.array().cast("array<string>")), 1, first)).drop("codes")
+#: Letters of the pieces by which codes are looked up.
+GRAM = 3
+
+
+def grams(c: Column, n: int | Column = GRAM) -> Column:
+    """Distinct pieces of ``n`` letters, or the whole of a shorter text."""
+    n = F.least(F.lit(n) if isinstance(n, int) else n, F.length(c))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(c, i, n)))
+
 
+def _holders(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """Pairs (type, needle, straw) of a type of which the straw holds the needle.
 
+    Straws are indexed by their grams; a needle meets those that have its rarest
+    one, and each pair is then compared in full.  ``needles``: type, needle;
+    ``hay``: type, straw; both distinct and lower-cased, no needle empty.
+    """
+    # a needle shorter than a gram is looked up by all of itself
+    short = F.array_distinct(F.concat(grams(F.col("straw")), grams(F.col("straw"), 1), grams(F.col("straw"), 2)))
+    index = hay.withColumn("gram", F.explode(short))
+    often = index.groupBy("type", "gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = needles.withColumn("gram", F.explode(grams(F.col("needle")))).join(often, ["type", "gram"], "left")
+    # a gram that no straw has excludes the needle; as the rarest it meets nothing
+    rare = asked.groupBy("type", "needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return rare.join(index, ["type", "gram"]).where(F.contains("straw", F.col("needle"))).select("type", "needle", "straw")
+
+
+def near_codes(values: DataFrame, codes: DataFrame, least: int = 5, first: int = 3) -> DataFrame:
+    """Up to three codes of a value's type of which either holds the other; what is
+    held has ``least`` letters at least."""
+    v = values.where("value is not null").select("type", F.lower("value").alias("v")).distinct()
+    c = codes.where("code is not null").select("type", F.lower("code").alias("c")).distinct()
+    long = lambda df, name: df.where(F.length(name) >= least).withColumnRenamed(name, "needle")
+    in_code = _holders(long(v, "v"), c.withColumnRenamed("c", "straw")).select("type", F.col("needle").alias("v"), F.col("straw").alias("c"))
+    in_value = _holders(long(c, "c"), v.withColumnRenamed("v", "straw")).select("type", F.col("straw").alias("v"), F.col("needle").alias("c"))
+    spelled = codes.select("type", F.lower("code").alias("c"), "code").distinct()
+    found = in_code.unionByName(in_value).distinct().join(spelled, ["type", "c"])
+    top = found.withColumn("_n", F.row_number().over(W.partitionBy("type", "v").orderBy("code"))).where(F.col("_n") <= first)
+    lists = top.groupBy("type", F.col("v").alias("_v")).agg(F.array_sort(F.collect_list("code")).alias("suggestions"))
+    out = values.withColumn("_v", F.lower("value")).join(lists, ["type", "_v"], "left").drop("_v")
+    return out.withColumn("suggestions", F.coalesce("suggestions", F.array().cast("array<string>")))
 
 
 def one_vocabulary(values: DataFrame, codes: DataFrame, unverified: Column | None = None) -> DataFrame:
     """``values`` (type, value) with valid, did_you_mean (codes of the type that hold
     the value, whatever the case) and warning, where the list is not the site's own."""
-    lists = codes.groupBy("type").agg(F.array_sort(F.collect_set("code")).alias("codes"))
-    out = values.join(lists, "type", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
-    valid = F.array_contains("codes", F.col("value"))
-    near = F.filter("codes", lambda c: F.lower(c).contains(F.lower("value")))
+    known = codes.select("type", F.col("code").alias("value"), F.lit(True).alias("valid")).distinct()
+    out = values.join(known, ["type", "value"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    asked = values.where("value <> ''").select("type", F.lower("value").alias("needle")).distinct()
+    spelled = codes.where("code is not null").select("type", F.lower("code").alias("straw"), "code").distinct()
+    near = _holders(asked, spelled.select("type", "straw").distinct()).join(spelled, ["type", "straw"]).groupBy("type", F.col("needle").alias("_v")).agg(F.array_sort(F.collect_set("code")).alias("near"))
+    # the empty text lies within every code
+    every = spelled.groupBy("type").agg(F.array_sort(F.collect_set("code")).alias("near")).withColumn("_v", F.lit(""))
+    blank = every.join(values.where("value = ''").select("type").distinct(), "type")
+    out = out.withColumn("_v", F.lower("value")).join(near.unionByName(blank, allowMissingColumns=True), ["type", "_v"], "left").drop("_v")
     warning = F.when(F.lit(False) if unverified is None else unverified, "defaults only: unverified")
-    return out.withColumns({"valid": valid, "did_you_mean": F.when(~valid & (F.size(near) > 0), near), "warning": warning}).drop("codes")
+    return out.withColumns({"did_you_mean": F.when(~F.col("valid"), F.col("near")), "warning": warning}).drop("near")
 
 
 # Kinds of ranges that are not checked for their form, and forms of the others.
