@@ -131,20 +131,35 @@ ALLOWED = {
     "protein_article_mentions": {"experimental_evidence": ("complementation", "knockout", "overexpression", "biochemical", "other")},
 }
 UNIQUE = {"articles": (("pmid",),), "protein_article_mentions": (("protein_id", "article_id"),)}
+REQUIRED = {"species": ("name", "type"), "articles": ("title",), "curation_sessions": ("session_date", "curator")}
+REFERS = {
+    "proteins": {"species_id": "species"},
+    "curation_sessions": {"article_id": "articles"},
+    "protein_article_mentions": {"protein_id": "proteins", "article_id": "articles"},
+}
 LISTED = ("in_progress", "queued", "curated", "reviewed", "published")
 
 
-def relation_errors(name: str, rows: DataFrame) -> DataFrame:
-    """(relation, problem, n) of a relation's rows: values that a column does not
-    allow, and further rows of a key that is unique; nulls are allowed."""
-    found = None
-    for column, values in ALLOWED.get(name, {}).items():
-        part = rows.agg(F.count_if(~F.col(column).isin(*values)).alias("n")).select(F.lit(f"{column} not allowed").alias("problem"), "n")
-        found = part if found is None else found.unionByName(part)
+def relation_errors(name: str, rows: DataFrame, others: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(relation, problem, n) of a relation's rows: a row for each of its rules, with
+    how many rows break it.  Columns that must say something, values that a column
+    does not allow, further rows of a key that is unique, and, where the relation
+    referred to is among ``others`` (with its id), references that lead nowhere.
+    Nulls are allowed but where something must be said."""
+    rules = {f"{c} missing": F.col(c).isNull() for c in REQUIRED.get(name, ())}
+    rules |= {f"{c} not allowed": ~F.col(c).isin(*values) for c, values in ALLOWED.get(name, {}).items()}
+    found = rows.sparkSession.createDataFrame([], "problem string, n long")
+    if rules:  # one pass over the rows
+        counted = rows.agg(*[F.count_if(rule).alias(problem) for problem, rule in rules.items()])
+        found = found.unionByName(counted.unpivot([], list(rules), "problem", "n"))
     for keys in UNIQUE.get(name, ()):
         by = rows.dropna(subset=list(keys)).groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("m"))
-        part = by.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n")).select(F.lit(f"{', '.join(keys)} repeated").alias("problem"), "n")
-        found = part if found is None else found.unionByName(part)
+        found = found.unionByName(by.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n")).select(F.lit(f"{', '.join(keys)} repeated").alias("problem"), "n"))
+    for column, other in REFERS.get(name, {}).items():
+        if others and other in others:
+            there = others[other].select(F.col("id").alias(column)).distinct()
+            lost = rows.select(column).dropna().join(there, column, "left_anti")
+            found = found.unionByName(lost.agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"{column} leads nowhere").alias("problem"), "n"))
     return found.select(F.lit(name).alias("relation"), "problem", "n")
 
 

@@ -333,11 +333,39 @@ def mention_details(spark, d):
     return tracking.mention_details(mentions, named_suppliers(spark, d).where("protein_id % 9 <> 0"), tracked(spark, d).where("article_id % 8 <> 0"))
 
 
-@query(f"""WITH {ART}, keys AS (SELECT o_custkey AS k, count(*) - 1 AS m FROM orders GROUP BY o_custkey)
-SELECT 'articles' AS relation, 'status not allowed' AS problem, sum((status = 'lost')::INT)::BIGINT AS n FROM art UNION ALL SELECT 'articles', 'priority not allowed', 0 UNION ALL SELECT 'articles', 'pmid repeated', sum(m)::BIGINT FROM keys""")
+@query(f"""WITH {ART}, keys AS (SELECT o_custkey AS k, count(*) - 1 AS m FROM orders GROUP BY o_custkey), pairs AS (SELECT count(*) - 1 AS m FROM lineitem GROUP BY l_suppkey, l_orderkey),
+s AS (SELECT l_shipdate AS day, l_linenumber, CASE WHEN l_suppkey % 9 <> 0 THEN l_suppkey END AS curator, l_orderkey + (CASE WHEN l_partkey % 50 = 0 THEN 1000000000 ELSE 0 END) AS article FROM lineitem)
+SELECT 'articles' AS relation, 'status not allowed' AS problem, sum((status = 'lost')::INT)::BIGINT AS n FROM art UNION ALL SELECT 'articles', 'priority not allowed', 0 UNION ALL SELECT 'articles', 'title missing', 0
+UNION ALL SELECT 'articles', 'pmid repeated', sum(m)::BIGINT FROM keys
+UNION ALL SELECT 'species', 'name missing', 0 UNION ALL SELECT 'species', 'type missing', sum((n_regionkey = 3)::INT)::BIGINT FROM nation UNION ALL SELECT 'species', 'type not allowed', sum((n_regionkey = 2)::INT)::BIGINT FROM nation
+UNION ALL SELECT 'proteins', 'protein_type not allowed', sum((s_suppkey % 5 = 4)::INT)::BIGINT FROM supplier UNION ALL SELECT 'proteins', 'species_id leads nowhere', sum((s_suppkey % 7 = 0)::INT)::BIGINT FROM supplier
+UNION ALL SELECT 'curation_sessions', 'session_date missing', sum((l_linenumber = 7)::INT)::BIGINT FROM s UNION ALL SELECT 'curation_sessions', 'curator missing', sum((curator IS NULL)::INT)::BIGINT FROM s
+UNION ALL SELECT 'curation_sessions', 'article_id leads nowhere', sum((article NOT IN (SELECT o_orderkey FROM orders))::INT)::BIGINT FROM s
+UNION ALL SELECT 'protein_article_mentions', 'experimental_evidence not allowed', sum((l_returnflag = 'R')::INT)::BIGINT FROM lineitem UNION ALL SELECT 'protein_article_mentions', 'protein_id, article_id repeated', sum(m)::BIGINT FROM pairs
+UNION ALL SELECT 'protein_article_mentions', 'protein_id leads nowhere', sum((l_suppkey NOT IN (SELECT s_suppkey FROM supplier))::INT)::BIGINT FROM lineitem
+UNION ALL SELECT 'protein_article_mentions', 'article_id leads nowhere', sum((l_orderkey NOT IN (SELECT o_orderkey FROM orders))::INT)::BIGINT FROM lineitem""")
 def relation_checks(spark, d):
-    rows = tracked(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("article_id"), F.col("o_custkey").cast("string").alias("pmid")), "article_id")
-    return tracking.relation_errors("articles", rows)
+    """All five relations of the tracking store."""
+    line, k = table(spark, d, "lineitem"), F.col("s_suppkey")
+    pmid = table(spark, d, "orders").select(F.col("o_orderkey").alias("article_id"), F.col("o_custkey").cast("string").alias("pmid"))
+    kind = F.when(F.col("n_regionkey") == 2, "vector").when(F.col("n_regionkey") == 3, None).when(F.col("n_regionkey") == 1, "pathogen").otherwise("host")
+    protein_type = F.coalesce(F.try_element_at(F.array(*map(F.lit, ("effector", "resistance", "virulence", "other"))), (k % 5 + 1).cast("int")), F.lit("enzyme"))
+    evidence = F.when(F.col("l_returnflag") == "R", "unclear").when(F.col("l_returnflag") == "A", "knockout").otherwise("other")
+    relations = {
+        "species": table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), kind.alias("type")),
+        "articles": tracked(spark, d).join(pmid, "article_id").withColumnRenamed("article_id", "id"),
+        "proteins": table(spark, d, "supplier").select(k.alias("id"), (F.col("s_nationkey") + F.when(k % 7 == 0, 1000).otherwise(0)).alias("species_id"), protein_type.alias("protein_type")),
+        "curation_sessions": line.select(
+            F.when(F.col("l_linenumber") != 7, F.col("l_shipdate")).alias("session_date"), F.when(F.col("l_suppkey") % 9 != 0, F.col("l_suppkey").cast("string")).alias("curator"),
+            (F.col("l_orderkey") + F.when(F.col("l_partkey") % 50 == 0, 1_000_000_000).otherwise(0)).alias("article_id"),
+        ),
+        "protein_article_mentions": line.select(F.col("l_suppkey").alias("protein_id"), F.col("l_orderkey").alias("article_id"), evidence.alias("experimental_evidence")),
+    }
+    out = None
+    for name, rows in relations.items():
+        part = tracking.relation_errors(name, rows, relations)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("""WITH t AS (SELECT c_custkey AS pmid FROM customer WHERE c_acctbal > 0), r AS (SELECT o_custkey AS pmid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)

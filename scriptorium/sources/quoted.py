@@ -27,6 +27,16 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): lines with their number in the file, from 0.  A split
+    counts its lines from its own start, and the counts of the splits before it are added."""
+    lines = _lines(spark, path).withColumn("at", F.monotonically_increasing_id())  # one after the other within a split
+    splits = lines.groupBy(*SPLIT).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("origin"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = splits.withColumn("before", before).drop("n")
+    return lines.join(placed, SPLIT).select("file", (F.col("at") - F.col("origin") + F.col("before")).alias("line"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+
+
 def _starts(lines: DataFrame, quote: str) -> DataFrame:
     """The splits that begin inside a quoted cell."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scriptorium.functions.text import strip, without_tags
-from scriptorium.sources.quoted import read_quoted_csv
+from scriptorium.sources.quoted import numbered_lines, read_quoted_csv
 
 GAP_EVENT = "ontology string, phrase string, outcome string, pmid string, context string, matched_term string, matched_via string, filed string, recorded_at string, seq long"
 USAGE = "struct<input_tokens:long,output_tokens:long,cache_creation_input_tokens:long,cache_read_input_tokens:long>"
@@ -129,27 +129,37 @@ def append_gaps(events: DataFrame, path: str) -> None:
 
 
 def read_turns(spark: SparkSession, path: str) -> DataFrame:
-    """Turns that report their usage, with their place (turn) within the session and
-    what they say (blob): text parts and tool inputs, or plain content, lower-cased.
-    Lines that cannot be read are skipped."""
-    raw = spark.read.schema(TURN).json(path, mode="PERMISSIVE")
+    """Turns that report their usage, with their place (turn: the line) within the
+    session and what they say (blob): text parts and tool inputs, or plain content,
+    lower-cased.  Lines that cannot be read are skipped."""
+    raw = numbered_lines(spark, path).select("file", "line", F.from_json("value", TURN).alias("t")).select("file", "line", "t.*")
     parts = F.from_json("message.content", "array<struct<type:string,text:string,input:string>>")
     said = F.concat_ws("\n", F.flatten(F.transform(parts, lambda p: F.array_compact(F.array(p.text, p.input)))))
     blob = F.lower(F.coalesce(F.when(F.col("message.content").startswith("["), said), "message.content", F.lit("")))
     u = lambda c: F.coalesce(F.col(f"message.usage.{c}"), F.lit(0))
     return raw.where("message.usage is not null").select(
         F.coalesce("message.model", F.lit("?")).alias("model"), u("input_tokens").alias("inp"), u("output_tokens").alias("out"), u("cache_creation_input_tokens").alias("cache_write"),
-        u("cache_read_input_tokens").alias("cache_read"), blob.alias("blob"), F.col("_metadata.file_path").alias("session"), F.monotonically_increasing_id().alias("turn"),
+        u("cache_read_input_tokens").alias("cache_read"), blob.alias("blob"), F.col("file").alias("session"), F.col("line").alias("turn"),
     )
 
 
 def read_drafts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, status, draft): the first JSON block of each Markdown file; status is
-    ok, skipped (no block) or error (not JSON)."""
+    """(path, status, draft, said): the first JSON block of each Markdown file, in the
+    declared shape and as it was said; status is ok, skipped (no block) or error (not JSON).
+
+    ``said`` is a VARIANT: fields that the shape does not know, and those of another
+    type than it declares, stay there to be asked for (``said_field``)."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", r"(?s)```json\s*(.*?)```", 1).alias("block"))
-    out = raw.withColumn("draft", F.when(F.col("block") != "", F.from_json("block", DRAFT)))
-    broken = F.try_parse_json("block").isNull()
-    return out.select("path", F.when(F.col("block") == "", "skipped").when(broken, "error").otherwise("ok").alias("status"), "draft")
+    said = raw.withColumn("said", F.try_parse_json("block"))
+    out = said.withColumn("draft", F.when(F.col("said").isNotNull(), F.from_json("block", DRAFT)))
+    status = F.when(F.col("block") == "", "skipped").when(F.col("said").isNull(), "error").otherwise("ok")
+    return out.select("path", status.alias("status"), "draft", F.when(F.col("block") != "", F.col("said")).alias("said"))
+
+
+def said_field(place: str, kind: str = "string") -> Column:
+    """A field of ``said``, whatever the declared shape makes of it; null if it is not
+    there or cannot be of that kind.  ``place``: a JSON path, as ``$.meta.pmid``."""
+    return F.try_variant_get("said", place, kind)
 
 
 def read_frontmatter(spark: SparkSession, path: str) -> DataFrame:
@@ -217,7 +227,8 @@ def read_proteins(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    """Cells as they are, quotes within them doubled."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_nested(df: DataFrame, keys: list[str], path: str) -> None:

@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from scriptorium.plans import records, streams  # noqa: F401 (these register further queries)
+from scriptorium.plans import records, roundtrips, streams  # noqa: F401 (these register further queries)
 from scriptorium.plans.queries import ORACLES, QUERIES
 
 SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")

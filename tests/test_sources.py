@@ -1,5 +1,7 @@
 """Readers over small files written here."""
 
+import json
+
 import pytest
 
 from scriptorium.operators import catalog
@@ -60,12 +62,32 @@ def test_drafts_and_turns(spark, tmp_path):
     (d / "c.md").write_text("```json\n{broken\n```")
     got = {r.path[-4:]: (r.status, r.draft and r.draft.triage) for r in readers.read_drafts(spark, str(d)).collect()}
     assert (got["a.md"], got["b.md"], got["c.md"][0]) == (("ok", "in_scope"), ("skipped", None), "error")
+    (d / "d.md").write_text('```json\n{"meta": {"pmid": 7, "draft_by": {"tool": "x"}}, "triage": ["a", "b"], "new_field": {"deep": [1, 2.5]}, "canto": {"genes": [{"name": "g", "odd": true}]}}\n```')
+    (r,) = readers.read_drafts(spark, str(d / "d.md")).select(
+        "status", "draft", *[readers.said_field(p, k).alias(n) for n, p, k in (("deep", "$.new_field.deep[1]", "double"), ("second", "$.triage[1]", "string"), ("odd", "$.canto.genes[0].odd", "boolean"), ("tool", "$.meta.draft_by.tool", "string"), ("pmid", "$.meta.pmid", "int"), ("none", "$.a.b", "string"))]
+    ).collect()
+    assert (r.status, r.draft.meta.pmid, r.draft.canto.genes[0].name) == ("ok", "7", "g")
+    assert (r.deep, r.second, r.odd, r.tool, r.pmid, r.none) == (2.5, "b", True, "x", 7, None)
     t = tmp_path / "t.jsonl"
     t.write_text('{"message": {"model": "m", "usage": {"input_tokens": 5}, "content": [{"type": "text", "text": "PMID 7"}]}}\nnot json\n{"message": {"content": "x"}}\n')
     (r,) = readers.read_turns(spark, str(t)).collect()
     assert (r.model, r.inp, r.out, r.cache_read) == ("m", 5, 0, 0) and "pmid 7" in r.blob
 
 
+def test_turns_are_in_the_order_of_lines(spark, tmp_path):
+    """Over many splits of two files."""
+    said = lambda n: json.dumps({"message": {"model": "m", "usage": {"input_tokens": n}, "content": f"turn {n} " + "x" * (n * 7 % 90)}}) if n % 9 else "broken {"
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(said(n) for n in range(300)) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = readers.read_turns(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.session[-7], r.turn, r.inp) for r in got) == [(f, n, n) for f in "ab" for n in range(300) if n % 9]
+
+
 def test_small_readers(spark, tmp_path):
     (tmp_path / "p.txt").write_text("# no\n  a phrase \n\nb\n")
     assert [r.phrase for r in readers.read_phrases(spark, str(tmp_path / "p.txt")).collect()] == ["a phrase", "b"]
