@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scriptorium.functions import identifiers, text
 from scriptorium.operators import catalog, documents, drafts, ledger, matching, metering, scoring, tracking, validation
@@ -632,20 +632,36 @@ def unique_names(spark, d):
     return documents.unique_names(table(spark, d, "part").select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("base"))).select("doc", "seq", "name")
 
 
+def said_lines() -> Column:
+    """The lines of a document that begin with a letter or a number, white space collapsed."""
+    one = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\t\\x0B\\x0C\\r\\x1C-\\x1F\\x85\\p{Z}]+", " ")
+    return F.filter(F.transform(F.split(one, "\n"), lambda x: F.trim(x)), lambda x: x.rlike("^[\\p{L}\\p{N}]"))
+
+
 def captioned(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of which the beginnings of lines are captions of figures and tables."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(F.substring(x, 1, 400), "[^A-Za-z., ]", ""))), lambda x: x.rlike("^[A-Za-z]"))
-    said = F.transform(lines, lambda x, i: F.concat(F.when(i % 3 == 0, "Table ").when(i % 3 == 1, "Figure ").otherwise("Fig. "), (i + 1).cast("string"), F.lit(". "), x))
+    """Documents whose lines, whole, are captions of figures and tables; some end in
+    what conversion leaves: a page number, a note."""
+    left = lambda i: F.when(i % 11 == 0, " 12").when(i % 7 == 0, ". (see text)").when(i % 5 == 0, " (Color online)").otherwise("")
+    said = F.transform(said_lines(), lambda x, i: F.concat(F.when(i % 3 == 0, "Table ").when(i % 3 == 1, "Figure ").otherwise("Fig. "), (i + 1).cast("string"), F.lit(". "), x, left(i)))
     return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.array_join(said, "\n\n").alias("text"))
 
 
-CAPTIONS = r"""ln AS (SELECT doc_id AS doc, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(substr(x, 1, 400), '[^A-Za-z., ]', '', 'g'), ' ')), lambda x: regexp_matches(x, '^[A-Za-z]')) AS l FROM documents),
-cu AS (SELECT doc, unnest(l) AS line, unnest(range(len(l))) AS i FROM ln),
-cl AS (SELECT doc, i, trim(regexp_replace(line, ' +', ' ', 'g'), ' ') AS c FROM cu),
-cap AS (SELECT doc, CASE WHEN i % 3 = 0 THEN 'table' ELSE 'figure' END AS kind, CAST(i + 1 AS VARCHAR) AS number, length(c) AS length,
+def caption_sql(source: str, out: str) -> str:
+    """What is left of captions ``c`` of a table, and how sure each is."""
+    return rf"""{out}1 AS (SELECT * EXCLUDE (c), trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '^[^\pL\pN_]+', ''), ' +\p{{Nd}}+ *$', ''), '\([Cc]olor online\)', '', 'g'), '[. ]*\([Ss]ee [Tt]ext\)', '', 'g'), ' +', ' ', 'g'), ' ') AS c FROM {source}),
+{out}2 AS (SELECT * EXCLUDE (c), CASE WHEN length(c) <= 800 THEN c WHEN len(regexp_split_to_array(c, '[.!?]+')) > 1 THEN array_to_string(regexp_split_to_array(c, '[.!?]+')[1:3], '. ') || '.' ELSE substr(c, 1, 800) || '...' END AS c FROM {out}1),
+{out} AS (SELECT *, length(c) AS length,
   round(greatest(0, least(1, (CASE WHEN length(c) > 10 THEN 0.5 ELSE 0 END) + 0.3 + (CASE WHEN length(c) BETWEEN 20 AND 300 THEN 0.2 ELSE 0 END) - (CASE WHEN length(c) < 20 OR length(c) > 500 THEN 0.2 ELSE 0 END) + (CASE WHEN c LIKE '%.' THEN 0.1 ELSE 0 END)
    + (CASE WHEN regexp_matches(lower(c), 'showing|demonstrating|illustrating|depicting|represents|indicates|analysis|comparison|effect') THEN 0.2 ELSE 0 END))), 2) AS confidence
-  FROM cl WHERE length(c) > CASE WHEN i % 3 = 0 THEN 5 ELSE 10 END)"""
+  FROM {out}2 WHERE length(c) > CASE WHEN kind = 'table' THEN 5 ELSE 10 END)"""
+
+
+SAID = r"""ln AS (SELECT doc_id AS doc, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '[\t\x0b\x0c\r\x1c-\x1f\x{85}\pZ]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: regexp_matches(x, '^[\pL\pN]')) AS l FROM documents),
+cu AS (SELECT doc, unnest(l) AS line, unnest(range(len(l))) AS i FROM ln)"""
+
+CAPTIONS = SAID + r""",
+cl AS (SELECT doc, i, CASE WHEN i % 3 = 0 THEN 'table' ELSE 'figure' END AS kind, CAST(i + 1 AS VARCHAR) AS number, line || CASE WHEN i % 11 = 0 THEN ' 12' WHEN i % 7 = 0 THEN '. (see text)' WHEN i % 5 = 0 THEN ' (Color online)' ELSE '' END AS c FROM cu),
+""" + caption_sql("cl", "cap")
 
 
 @query(f"WITH {CAPTIONS} SELECT doc, kind, number, length, CAST(confidence AS DOUBLE) AS confidence FROM cap")
@@ -654,6 +670,20 @@ def captions(spark, d):
     return documents.best_captions(documents.captions(captioned(spark, d))).select("doc", "kind", "number", F.length("caption").cast("long").alias("length"), "confidence")
 
 
+@query(f"""WITH {SAID}, cl AS (SELECT doc, i, unnest([0, 1]) AS k, 'figure' AS kind, line AS c0 FROM cu), cs AS (SELECT doc, i, k, kind, c0 || CASE WHEN k = 1 THEN ' again, showing' ELSE '' END AS c FROM cl), {caption_sql("cs", "cap")},
+w AS (SELECT *, list_distinct(regexp_split_to_array(lower(c), ' +')) AS w FROM cap),
+p AS (SELECT x.doc, x.i, x.k, EXISTS (SELECT 1 FROM w y WHERE y.doc = x.doc AND y.i = x.i AND y.k <> x.k AND (y.confidence > x.confidence OR (y.confidence = x.confidence AND y.k < x.k))
+  AND len(list_intersect(x.w, y.w)) > 0.8 * len(list_distinct(list_concat(x.w, y.w)))) AS gone, x.length, x.confidence FROM w x)
+SELECT doc, CAST(i + 1 AS VARCHAR) AS number, length, CAST(confidence AS DOUBLE) AS confidence FROM p WHERE NOT gone""")
+def repeated_captions(spark, d):
+    """Every caption comes twice, the second time with a word or two more; where the two
+    are alike the surer one stays."""
+    lines = said_lines()
+    each = lambda more: F.transform(lines, lambda x, i: F.concat(F.lit("Figure "), (i + 1).cast("string"), F.lit(". "), x, F.lit(more)))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.array_join(F.concat(each(""), each(" again, showing")), "\n\n").alias("text"))
+    return documents.best_captions(documents.captions(docs)).select("doc", "number", F.length("caption").cast("long").alias("length"), "confidence")
+
+
 @query("""SELECT n_nationkey AS species, count(s_suppkey) AS n, count(s_suppkey) > 0 AS covered FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey""")
 def type_coverage(spark, d):
     vocabulary, records = table(spark, d, "nation").select(F.col("n_nationkey").alias("species")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("species"))

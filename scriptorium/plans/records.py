@@ -207,16 +207,16 @@ def figure_costs(spark, d):
     return documents.reading_costs(documents.reading_plan(*figure_tables(spark, d)))
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
-k AS (SELECT doc_id, trim(line, ' ' || chr(9) || chr(13)) AS s, i FROM l), n AS (SELECT doc_id, count(CASE WHEN length(s) > 3 THEN 1 END) AS n, coalesce(sum(CASE WHEN length(s) > 3 THEN length(s) END), 0)::BIGINT AS m FROM k GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN n.n = 0 THEN 0 ELSE n.m + 2 * (n.n - 1) END AS n_letters FROM documents d JOIN n ON d.doc_id = n.doc_id WHERE d.text NOT SIMILAR TO '(?s).*[^ -~\n\t\r].*'""")
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+k AS (SELECT doc_id, regexp_replace(line, '^[\t\n\x0b\x0c\r \x{85}\pZ]+|[\t\n\x0b\x0c\r \x{85}\pZ]+$', '', 'g') AS s FROM l), n AS (SELECT doc_id, count(CASE WHEN length(s) > 3 THEN 1 END) AS n, coalesce(sum(CASE WHEN length(s) > 3 THEN length(s) END), 0)::BIGINT AS m FROM k GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN n.n = 0 THEN 0 ELSE n.m + 2 * (n.n - 1) END AS n_letters FROM documents d JOIN n ON d.doc_id = n.doc_id""")
 def section_cleaning(spark, d):
-    """Plain texts below a head that names them, with page marks between."""
+    """Whole texts below a head that names them, with page marks between."""
     whole = F.concat(F.lit("\n 2. METHODS and so on\n\n--- PAGE 1 ---\n"), "text", F.lit("\n--- PAGE 2 ---\nabc\n"))
-    docs = table(spark, d, "documents").where(r"not text rlike '(?s)[^ -~\\n\\t\\r]'")
-    return docs.select("doc_id", F.length(documents.section_text(whole, F.lit("Methods"))).cast("long").alias("n_letters"))
+    return table(spark, d, "documents").select("doc_id", F.length(documents.section_text(whole, F.lit("Methods"))).cast("long").alias("n_letters"))
 
-MEDIA = CAPTIONS + r""", md AS (SELECT doc, CASE WHEN i % 3 = 0 THEN 'table' ELSE 'figure' END AS kind, CAST(i + 1 AS VARCHAR) AS number FROM cl WHERE i % 2 = 0),
+
+MEDIA = CAPTIONS + r""", md AS (SELECT doc, kind, number FROM cl WHERE i % 2 = 0),
 mc AS (SELECT md.doc, md.kind, md.number, CASE WHEN cap.doc IS NULL THEN 'no caption' ELSE 'captioned' END AS status FROM md LEFT JOIN cap ON md.doc = cap.doc AND md.kind = cap.kind AND md.number = cap.number
   UNION ALL SELECT doc, kind, number, 'uncovered' FROM cap WHERE kind = 'table' AND NOT EXISTS (SELECT 1 FROM md WHERE md.doc = cap.doc AND md.kind = cap.kind AND md.number = cap.number))"""
 
