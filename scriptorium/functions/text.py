@@ -142,6 +142,11 @@ def stamp(tool: str, model: Column, date: Column, revision: Column | None = None
     return F.concat_ws(" · ", *said, F.concat(F.lit("date "), day))
 
 
+def thousands(c: Column) -> Column:
+    """A whole number with commas between thousands; null shows as a dash."""
+    return F.coalesce(F.format_number(c.cast("long"), 0), F.lit("–"))
+
+
 def truncated(c: Column, most: int) -> Column:
     """At most ``most`` letters, the last an ellipsis if some are missing."""
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 1), F.lit("…"))).otherwise(c)

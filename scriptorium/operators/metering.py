@@ -97,6 +97,12 @@ def cost_by_model(costs: DataFrame) -> DataFrame:
     return costs.groupBy("model").agg(F.count(F.lit(1)).alias("runs"), F.sum("cost").alias("cost"))
 
 
+def cost_rollup(costs: DataFrame) -> DataFrame:
+    """Runs and cost by model and article, by model, and over all: ``level`` 0, 1 and 3
+    tells them apart, since a model may be null itself."""
+    return costs.rollup("model", "article").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("runs"), F.sum("cost").alias("cost"))
+
+
 def history(rows: DataFrame) -> DataFrame:
     """Stored costs (n_articles, overhead_total, direct_tokens, computed_at, pmid, ...)
     with the share of the overhead, derived on reading and rounded once, half to

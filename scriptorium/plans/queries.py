@@ -164,6 +164,15 @@ def id_validate(spark, d):
     return validation.validate_ids(line_ids(spark, d), part_index(spark, d), ("GO", "BTO")).groupBy("prefix", "format_valid", "existence", "ok").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {ID_SQL}, st AS (SELECT CASE WHEN p = 'XX' THEN 'unknown_prefix' WHEN length(local) <> (CASE WHEN p = 'MOD' THEN 5 ELSE 7 END) THEN 'format_invalid' WHEN p = 'MOD' THEN 'format_checked_only' WHEN p = 'GO' THEN 'not_checked' ELSE 'error' END AS existence FROM ids)
+SELECT existence, existence = 'format_checked_only' AS ok, count(*) AS n FROM st GROUP BY existence""")
+def id_unchecked(spark, d):
+    """One index not asked for, the other one unreadable: neither says that an id is absent."""
+    index = part_index(spark, d).where("term_id not like 'BTO:%'")
+    found = validation.validate_ids(line_ids(spark, d), index, ("GO", "BTO"), skipped=("GO",), broken=("BTO",))
+    return found.groupBy("existence", "ok").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {VALIDATED} SELECT round(avg(CASE WHEN existence IN ('exists', 'format_checked_only') THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, count(*) AS n FROM st")
 def id_validate_rate(spark, d):
     v = validation.validate_ids(line_ids(spark, d), part_index(spark, d), ("GO", "BTO"))
@@ -500,10 +509,21 @@ def token_alloc(spark, d):
 @query(f"""WITH {METER} SELECT CASE WHEN session % 2 = 0 THEN 'm1' ELSE 'other' END AS model, count(*) AS runs,
 round(sum((round_even(overhead_inp * 0.5, 0) + direct_inp) * (CASE WHEN session % 2 = 0 THEN 3.0 ELSE 15.0 END) / 1e6), 6) AS cost FROM tot GROUP BY 1""")
 def cost_by_model(spark, d):
+    return metering.cost_by_model(model_costs(spark, d)).withColumn("cost", F.round("cost", 6))
+
+
+@query(f"""WITH {METER}, c AS (SELECT CASE WHEN session % 2 = 0 THEN 'm1' ELSE 'other' END AS model, article, (round_even(overhead_inp * 0.5, 0) + direct_inp) * (CASE WHEN session % 2 = 0 THEN 3.0 ELSE 15.0 END) / 1e6 AS cost FROM tot)
+SELECT model, article, GROUPING(model, article)::INT AS level, count(*) AS runs, round(sum(cost), 6) AS cost FROM c GROUP BY ROLLUP (model, article)""")
+def cost_rollup(spark, d):
+    return metering.cost_rollup(model_costs(spark, d)).withColumn("cost", F.round("cost", 6))
+
+
+def model_costs(spark: SparkSession, d: str) -> DataFrame:
+    """A priced row for each session and article."""
     turns, keys = attributed(spark, d)
     rows = metering.allocate(metering.direct_and_shared(turns, keys)).withColumn("model", F.when(F.col("session") % 2 == 0, "m1").otherwise("other"))
     prices = spark.range(2).select(F.when(F.col("id") == 0, "m1").otherwise("default").alias("model"), F.when(F.col("id") == 0, 3.0).otherwise(15.0).alias("inp"), *[F.lit(0.0).alias(b) for b in metering.BUCKETS[1:]])
-    return metering.cost_by_model(metering.priced(rows, prices)).withColumn("cost", F.round("cost", 6))
+    return metering.priced(rows, prices)
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders)

@@ -450,10 +450,10 @@ def stacked_sheets(spark, d):
     return scoring.long_scores(stack_scorecards([odd, even]), ["paper"]).withColumn("paper", F.col("paper").cast("long"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN '–' ELSE CAST(round_even(100 * (o_custkey % 129) / 128.0, 0)::INT AS VARCHAR) || '%' END AS share, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS n, CASE WHEN length(o_orderpriority) > 6 THEN substr(o_orderpriority, 1, 5) || '…' ELSE o_orderpriority END AS cut FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN '–' ELSE CAST(round_even(100 * (o_custkey % 129) / 128.0, 0)::INT AS VARCHAR) || '%' END AS share, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS n, CASE WHEN length(o_orderpriority) > 6 THEN substr(o_orderpriority, 1, 5) || '…' ELSE o_orderpriority END AS cut, CASE WHEN o_orderkey % 5 <> 0 THEN format('{:,}', o_orderkey * 997) ELSE '–' END AS shown FROM orders""")
 def number_cells(spark, d):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    return table(spark, d, "orders").select("o_orderkey", text.percent(F.when(c % 7 != 0, (c % 129) / 128.0)).alias("share"), text.lenient_int(F.when(k % 3 == 0, "n/a").otherwise(F.concat(F.lit(" "), c.cast("string")))).cast("long").alias("n"), text.truncated(F.col("o_orderpriority"), 6).alias("cut"))
+    return table(spark, d, "orders").select("o_orderkey", text.percent(F.when(c % 7 != 0, (c % 129) / 128.0)).alias("share"), text.lenient_int(F.when(k % 3 == 0, "n/a").otherwise(F.concat(F.lit(" "), c.cast("string")))).cast("long").alias("n"), text.truncated(F.col("o_orderpriority"), 6).alias("cut"), text.thousands(F.when(k % 5 != 0, k * 997)).alias("shown"))
 
 
 @query(f"""WITH {EVENTS}, g AS (SELECT ontology, norm, count(*) AS seen, count(DISTINCT pmid) AS n, bool_or(filed IS NOT NULL) AS f FROM e WHERE value <= 30 GROUP BY ontology, norm)
