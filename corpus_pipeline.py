@@ -19,8 +19,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_rules.keep_good(docs.select(*COLUMNS))
+    """Documents that the quality rules reject go; their bands are learned from labels."""
+    docs = docs.select(*COLUMNS)
+    return quality_rules.keep_good(docs, quality_rules.fit_bands(docs, read(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

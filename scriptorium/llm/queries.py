@@ -59,7 +59,8 @@ def page_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.compression_bands(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    return quality_rules.compression_bands(docs, quality_rules.fit_bands(docs, read(spark, sf_dir, "labels")))
 
 
 def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

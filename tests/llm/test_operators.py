@@ -624,3 +624,36 @@ def test_compression_bands():
     split = " ".join(noise[k : k + 8] for k in range(0, len(noise), 8))
     assert quality_rules.judge(split)[-1] == "incompressible"
     assert quality_rules.judge(prose(rng, 400))[-1] == ""
+
+
+def test_learned_bands_on_rows_not_learned_from(spark):
+    """Texts of 2 KB and more that pass the base rule: nine in ten of those labelled bad
+    are rejected, and at most one in fifty of those labelled good, at any length."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    bands = quality_rules.fit_bands(docs, labels)
+    assert bands == quality_rules.fit_bands(docs.repartition(7), labels)
+    judged = quality_rules.compression_bands(docs, bands).where("not base_failed").join(labels.where("crc32(cast(doc_id as string)) % 3 = 1"), "doc_id")
+    long = docs.select("doc_id", F.octet_length("text").alias("bytes"))
+    of = {r.quality: r for r in judged.join(long, "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"), F.count_if(F.col("bytes") >= 2048).alias("n_long"), F.count_if(F.col("kept") & (F.col("bytes") >= 2048)).alias("kept_long")).collect()}
+    print(of)
+    assert of[1].n > 900 and of[1].kept >= 0.98 * of[1].n and of[1].kept_long >= 0.98 * of[1].n_long
+    assert of[0].n_long >= 30 and of[0].kept_long <= 0.1 * of[0].n_long
+
+
+def test_bands_need_labels_and_chunks_reject(spark, docs, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, 0), (3, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    plain = quality_rules.fit_bands(docs, labels.limit(0))
+    assert plain == quality_rules.fit_bands(empty, labels) == quality_rules.fit_bands(docs, labels)
+    assert [quality_rules.band(n, plain.texts) for n in (0, 127, 128, 5000, 1 << 20)] == [quality_rules.band(n) for n in (0, 127, 128, 5000, 1 << 20)]
+    rng = random.Random(4)
+    good = prose(rng, 4000)
+    few = prose(rng, 40).split(" ")
+    shuffled = " ".join(rng.choice(few) for _ in range(4000))  # windows of three words seldom repeat, yet it compresses
+    half = good[: len(good) // 2] + " " + shuffled[: len(good)]
+    tight = quality_rules.Bands(((float("inf"), 0.05, 0.9),), (0.36, 0.7))
+    assert quality_rules.judge(good, bands=tight)[-1] == ""
+    assert quality_rules.judge(half, bands=tight)[-1] == "chunks"
+    assert quality_rules.judge("word " * 400_000)[-1] == "base"
+    n_words, *_, n_chunks, bad, reason = quality_rules.judge(" ".join(f"{k:x}{k * k:x}" for k in range(150_000)))
+    assert n_words == 150_000 and n_chunks > 250

@@ -20,6 +20,10 @@ def stages(spark, docs, folder):
         yield name, before, docs
 
 
+def no_labels(spark, folder):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
 def made(spark, folder):
     rng = random.Random(8)
     rows = rows_of(7)
@@ -29,6 +33,7 @@ def made(spark, folder):
     rows += [(700, rows[-1][1], "s1", "en", 1, 2, 0.5, "z", "q"), (None, prose(rng, 90), "s2", "en", 1, 2, 0.5, "z", "q")]
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "lang", "source", "length(text) n_chars")
     docs.write.parquet(f"{folder}/documents.parquet")
+    no_labels(spark, folder)
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
@@ -83,6 +88,7 @@ def test_stages(spark, tmp_path):
 def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
+    no_labels(spark, tmp_path)
     for _, _, after in stages(spark, docs, str(tmp_path)):
         assert after.count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
