@@ -13,6 +13,14 @@ def triage_rank(c: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(len(TRIAGE) - 1).cast("int")
 
 
+def triage_tally(drafts: DataFrame) -> DataFrame:
+    """Drafts (triage) by verdict with its place, the verdicts that none has too;
+    unknown verdicts count, last."""
+    every = drafts.sparkSession.createDataFrame([(v,) for v in TRIAGE], "triage string")
+    n = drafts.select(F.coalesce("triage", F.lit("unspecified")).alias("triage")).groupBy("triage").agg(F.count(F.lit(1)).alias("n"))
+    return every.join(n, "triage", "full").select("triage", triage_rank(F.col("triage")).alias("triage_rank"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def check_signal(checks: Column) -> Column:
     """ok or flagged values of a map of checks."""
     v = F.coalesce(F.map_values(checks), F.array().cast("array<string>"))

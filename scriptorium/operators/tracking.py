@@ -165,14 +165,14 @@ def relation_errors(name: str, rows: DataFrame, others: dict[str, DataFrame] | N
 
 def inserted(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """The table after inserts, each row with its disposition: there, inserted, or
-    rejected: of a key that the table has, or that an earlier row (seq) has taken."""
+    rejected: of a key that the table has, or that an earlier row (seq, which tells
+    rows apart) has taken."""
     held = table.select(*keys).dropna().distinct().withColumn("_held", F.lit(True))
-    known = F.lit(True)
-    for k in keys:
-        known = known & F.col(k).isNotNull()
-    n = F.row_number().over(W.partitionBy(*keys).orderBy("seq"))
-    new = rows.join(held, keys, "left").withColumn("_n", n)
-    new = new.withColumn("disposition", F.when(known & (F.col("_held").isNotNull() | (F.col("_n") > 1)), "rejected").otherwise("inserted")).drop("_held", "_n", "seq")
+    # the least seq of a key takes it; rows without a whole key are never compared
+    first = rows.dropna(subset=keys).groupBy(*keys).agg(F.min("seq").alias("_first"))
+    met = rows.join(held, keys, "left").join(first, keys, "left")
+    taken = F.col("_held").isNotNull() | (F.col("_first") < F.col("seq"))
+    new = met.withColumn("disposition", F.when(F.coalesce(taken, F.lit(False)), "rejected").otherwise("inserted")).drop("_held", "_first", "seq")
     return table.withColumn("disposition", F.lit("there")).unionByName(new, allowMissingColumns=True)
 
 

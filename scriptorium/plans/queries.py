@@ -99,6 +99,13 @@ def term_match_status(spark, d):
     return matching.match_status(phrases, matching.match_terms(phrases, part_terms(spark, d))).select("phrase", "n_offered", "n_withheld", "status")
 
 
+@query(f"WITH {MATCHES} SELECT phrase AS phrase_id, term_id, name, rank FROM kept WHERE disposition = 'withheld'")
+def term_withheld(spark, d):
+    """What matches and may not be offered, ranked apart."""
+    found = matching.match_terms(part_phrases(spark, d), part_terms(spark, d))
+    return found.where("disposition = 'withheld'").select("phrase_id", "term_id", "name", "rank")
+
+
 @query(f"""WITH {MATCHES}, r AS (SELECT phrase, sum(CASE WHEN name LIKE '% ring' THEN 0 ELSE 1 END)::BIGINT AS u, sum(CASE WHEN name LIKE '% ring' THEN 1 ELSE 0 END)::BIGINT AS m FROM kept GROUP BY phrase)
 SELECT p.phrase AS phrase_id, coalesce(u, 0) AS n_usable, coalesce(m, 0) AS n_mismatched, coalesce(u = 0 AND m > 0, false) AS all_mismatched FROM phrases p LEFT JOIN r ON p.phrase = r.phrase""")
 def context_review(spark, d):
@@ -153,15 +160,16 @@ def id_extract(spark, d):
 
 VALIDATED = ID_SQL + r""",
 st AS (
-  SELECT CASE WHEN p = 'XX' THEN NULL ELSE upper(p) END AS prefix, CASE WHEN p = 'XX' THEN false WHEN p = 'MOD' THEN length(local) = 5 ELSE length(local) = 7 END AS format_valid,
+  SELECT l_orderkey, l_linenumber, CASE WHEN p = 'XX' THEN NULL ELSE upper(p) END AS prefix, CASE WHEN p = 'XX' THEN false WHEN p = 'MOD' THEN length(local) = 5 ELSE length(local) = 7 END AS format_valid,
          CASE WHEN p = 'XX' THEN 'unknown_prefix' WHEN length(local) <> (CASE WHEN p = 'MOD' THEN 5 ELSE 7 END) THEN 'format_invalid'
-              WHEN p = 'MOD' THEN 'format_checked_only' WHEN p_partkey IS NULL THEN 'not_found' WHEN p_size > 45 THEN 'obsolete' ELSE 'exists' END AS existence
+              WHEN p = 'MOD' THEN 'format_checked_only' WHEN p_partkey IS NULL THEN 'not_found' WHEN p_size > 45 THEN 'obsolete' ELSE 'exists' END AS existence,
+         CASE WHEN p IN ('GO', 'bto') AND length(local) = 7 THEN p_name END AS label
   FROM ids LEFT JOIN part ON CAST(local AS BIGINT) = p_partkey)"""
 
 
-@query(f"WITH {VALIDATED} SELECT prefix, format_valid, existence, existence IN ('exists', 'format_checked_only') AS ok, count(*) AS n FROM st GROUP BY prefix, format_valid, existence")
+@query(f"WITH {VALIDATED} SELECT l_orderkey, l_linenumber, prefix, format_valid, existence, existence IN ('exists', 'format_checked_only') AS ok, label FROM st")
 def id_validate(spark, d):
-    return validation.validate_ids(line_ids(spark, d), part_index(spark, d), ("GO", "BTO")).groupBy("prefix", "format_valid", "existence", "ok").agg(F.count(F.lit(1)).alias("n"))
+    return validation.validate_ids(line_ids(spark, d), part_index(spark, d), ("GO", "BTO")).select("l_orderkey", "l_linenumber", "prefix", "format_valid", "existence", "ok", "label")
 
 
 @query(f"""WITH {ID_SQL}, st AS (SELECT CASE WHEN p = 'XX' THEN 'unknown_prefix' WHEN length(local) <> (CASE WHEN p = 'MOD' THEN 5 ELSE 7 END) THEN 'format_invalid' WHEN p = 'MOD' THEN 'format_checked_only' WHEN p = 'GO' THEN 'not_checked' ELSE 'error' END AS existence FROM ids)
@@ -241,14 +249,14 @@ def protein_resolve(spark, d):
     return validation.resolve_proteins(asked, proteins).select("name", "taxon", "n", "accession", "organism_filter_relaxed", "status")
 
 
-@query(r"""SELECT CASE WHEN page_id % 4 = 0 THEN 'pmid' WHEN page_id % 4 = 1 THEN 'pmcid' WHEN page_id % 4 = 2 THEN 'doi' ELSE 'error' END AS kind,
-CASE WHEN page_id % 4 = 1 AND page_id % 3 = 0 THEN 'jats' WHEN page_id % 5 = 0 THEN 'pdf' ELSE 'abstract' END AS route, count(*) AS n FROM pages GROUP BY 1, 2""")
+@query(r"""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'pmid' WHEN page_id % 4 = 1 THEN 'pmcid' WHEN page_id % 4 = 2 THEN 'doi' ELSE 'error' END AS kind,
+CASE WHEN page_id % 4 = 1 AND page_id % 3 = 0 THEN 'jats' WHEN page_id % 5 = 0 THEN 'pdf' ELSE 'abstract' END AS route FROM pages""")
 def pub_route(spark, d):
     n = F.col("page_id")
     given = F.when(n % 4 == 0, n.cast("string")).when(n % 4 == 1, F.concat(F.lit("pmc"), n.cast("string"))).when(n % 4 == 2, F.concat(F.lit("10.1234/x"), n.cast("string"))).otherwise("unknown")
     kind = validation.identifier_kind(given)
     route = validation.route_for(n % 3 == 0, F.when(kind == "pmcid", given), n % 5 == 0)
-    return table(spark, d, "pages").select(kind.alias("kind"), route.alias("route")).groupBy("kind", "route").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "pages").select("page_id", kind.alias("kind"), route.alias("route"))
 
 
 # ---- ledger --------------------------------------------------------------
@@ -335,11 +343,11 @@ def stream_new_only(spark, d):
         return jobs.run_to_table(jobs.first_seen(rows, "user_id", "event_id"), "append")
 
 
-@query("SELECT CASE WHEN e.event_id % 3 = 0 THEN 'unknown_prefix' WHEN p_partkey IS NULL THEN 'not_found' WHEN p_size > 45 THEN 'obsolete' ELSE 'exists' END AS existence, count(*) AS n FROM events e LEFT JOIN part ON e.event_id = p_partkey GROUP BY 1")
+@query("SELECT event_id, CASE WHEN e.event_id % 3 = 0 THEN 'unknown_prefix' WHEN p_partkey IS NULL THEN 'not_found' WHEN p_size > 45 THEN 'obsolete' ELSE 'exists' END AS existence, CASE WHEN e.event_id % 3 <> 0 THEN p_name END AS label FROM events e LEFT JOIN part ON e.event_id = p_partkey")
 def stream_validate(spark, d):
-    ids = event_stream(spark, d).select(F.concat(F.when(F.col("event_id") % 3 == 0, "ZZ:").otherwise("go:"), F.lpad(F.col("event_id").cast("string"), 7, "0")).alias("input_id"))
+    ids = event_stream(spark, d).select("event_id", F.concat(F.when(F.col("event_id") % 3 == 0, "ZZ:").otherwise("go:"), F.lpad(F.col("event_id").cast("string"), 7, "0")).alias("input_id"))
     out = jobs.run_to_table(jobs.validated(ids, part_index(spark, d), ("GO", "BTO")), "append")
-    return out.groupBy("existence").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("event_id", "existence", "label")
 
 
 # ---- scores --------------------------------------------------------------
@@ -468,11 +476,11 @@ def extension_rollup(spark, d):
     return validation.relation_rollup(rows).select("relation", "range_id", F.size("display").cast("long").alias("n_display"), F.size("types").cast("long").alias("n_types"))
 
 
-@query("""SELECT CASE p_size % 6 WHEN 0 THEN 'free_text' WHEN 1 THEN 'gene_id' WHEN 2 THEN 'phipo_ext_term' WHEN 3 THEN 'bto_term' WHEN 4 THEN 'taxon_id' ELSE 'unknown' END AS kind, count(*) AS n FROM part GROUP BY 1""")
+@query("""SELECT p_partkey AS id, CASE p_size % 6 WHEN 0 THEN 'free_text' WHEN 1 THEN 'gene_id' WHEN 2 THEN 'phipo_ext_term' WHEN 3 THEN 'bto_term' WHEN 4 THEN 'taxon_id' ELSE 'unknown' END AS kind FROM part""")
 def extension_kinds(spark, d):
     n = F.col("p_size") % 6
     cell = F.when(n == 0, "Text").when(n == 1, "GeneID|ProteinID").when(n == 2, "PHIPO_EXT:0000001|%").when(n == 3, " BTO:1|BTO:2").when(n == 4, "HostTaxonID").otherwise("other")
-    return table(spark, d, "part").select(validation.range_kind(cell).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), validation.range_kind(cell).alias("kind"))
 
 
 # ---- metering ------------------------------------------------------------
@@ -658,11 +666,16 @@ def said_lines() -> Column:
     return F.filter(F.transform(F.split(one, "\n"), lambda x: F.trim(x)), lambda x: x.rlike("^[\\p{L}\\p{N}]"))
 
 
+def caption_number(i: Column) -> Column:
+    """Every ninth is supplementary."""
+    return F.concat(F.when(i % 9 == 0, "S").otherwise(""), (i + 1).cast("string"))
+
+
 def captioned(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose lines, whole, are captions of figures and tables; some end in
     what conversion leaves: a page number, a note."""
     left = lambda i: F.when(i % 11 == 0, " 12").when(i % 7 == 0, ". (see text)").when(i % 5 == 0, " (Color online)").otherwise("")
-    said = F.transform(said_lines(), lambda x, i: F.concat(F.when(i % 3 == 0, "Table ").when(i % 3 == 1, "Figure ").otherwise("Fig. "), (i + 1).cast("string"), F.lit(". "), x, left(i)))
+    said = F.transform(said_lines(), lambda x, i: F.concat(F.when(i % 3 == 0, "Table ").when(i % 3 == 1, "Figure ").otherwise("Fig. "), caption_number(i), F.lit(". "), x, left(i)))
     return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.array_join(said, "\n\n").alias("text"))
 
 
@@ -671,7 +684,7 @@ def caption_sql(source: str, out: str) -> str:
     return rf"""{out}1 AS (SELECT * EXCLUDE (c), trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '^[^\pL\pN_]+', ''), ' +\p{{Nd}}+ *$', ''), '\([Cc]olor online\)', '', 'g'), '[. ]*\([Ss]ee [Tt]ext\)', '', 'g'), ' +', ' ', 'g'), ' ') AS c FROM {source}),
 {out}2 AS (SELECT * EXCLUDE (c), CASE WHEN length(c) <= 800 THEN c WHEN len(regexp_split_to_array(c, '[.!?]+')) > 1 THEN array_to_string(regexp_split_to_array(c, '[.!?]+')[1:3], '. ') || '.' ELSE substr(c, 1, 800) || '...' END AS c FROM {out}1),
 {out} AS (SELECT *, length(c) AS length,
-  round(greatest(0, least(1, (CASE WHEN length(c) > 10 THEN 0.5 ELSE 0 END) + 0.3 + (CASE WHEN length(c) BETWEEN 20 AND 300 THEN 0.2 ELSE 0 END) - (CASE WHEN length(c) < 20 OR length(c) > 500 THEN 0.2 ELSE 0 END) + (CASE WHEN c LIKE '%.' THEN 0.1 ELSE 0 END)
+  round(greatest(0, least(1, (CASE WHEN length(c) > 10 THEN 0.5 ELSE 0 END) + (CASE WHEN regexp_matches(number, '^[0-9]') THEN 0.3 ELSE 0 END) + (CASE WHEN length(c) BETWEEN 20 AND 300 THEN 0.2 ELSE 0 END) - (CASE WHEN length(c) < 20 OR length(c) > 500 THEN 0.2 ELSE 0 END) + (CASE WHEN c LIKE '%.' THEN 0.1 ELSE 0 END)
    + (CASE WHEN regexp_matches(lower(c), 'showing|demonstrating|illustrating|depicting|represents|indicates|analysis|comparison|effect') THEN 0.2 ELSE 0 END))), 2) AS confidence
   FROM {out}2 WHERE length(c) > CASE WHEN kind = 'table' THEN 5 ELSE 10 END)"""
 
@@ -680,7 +693,7 @@ SAID = r"""ln AS (SELECT doc_id AS doc, list_filter(list_transform(string_split(
 cu AS (SELECT doc, unnest(l) AS line, unnest(range(len(l))) AS i FROM ln)"""
 
 CAPTIONS = SAID + r""",
-cl AS (SELECT doc, i, CASE WHEN i % 3 = 0 THEN 'table' ELSE 'figure' END AS kind, CAST(i + 1 AS VARCHAR) AS number, line || CASE WHEN i % 11 = 0 THEN ' 12' WHEN i % 7 = 0 THEN '. (see text)' WHEN i % 5 = 0 THEN ' (Color online)' ELSE '' END AS c FROM cu),
+cl AS (SELECT doc, i, CASE WHEN i % 3 = 0 THEN 'table' ELSE 'figure' END AS kind, CASE WHEN i % 9 = 0 THEN 'S' ELSE '' END || (i + 1) AS number, line || CASE WHEN i % 11 = 0 THEN ' 12' WHEN i % 7 = 0 THEN '. (see text)' WHEN i % 5 = 0 THEN ' (Color online)' ELSE '' END AS c FROM cu),
 """ + caption_sql("cl", "cap")
 
 
@@ -690,12 +703,12 @@ def captions(spark, d):
     return documents.best_captions(documents.captions(captioned(spark, d))).select("doc", "kind", "number", F.length("caption").cast("long").alias("length"), "confidence")
 
 
-@query(f"""WITH {SAID}, cl AS (SELECT doc, i, unnest([0, 1]) AS k, 'figure' AS kind, line AS c0 FROM cu), cs AS (SELECT doc, i, k, kind, c0 || CASE WHEN k = 1 THEN ' again, showing' ELSE '' END AS c FROM cl), {caption_sql("cs", "cap")},
+@query(f"""WITH {SAID}, cl AS (SELECT doc, i, unnest([0, 1]) AS k, 'figure' AS kind, line AS c0 FROM cu), cs AS (SELECT doc, i, k, kind, CAST(i + 1 AS VARCHAR) AS number, c0 || CASE WHEN k = 1 THEN ' again, showing' ELSE '' END AS c FROM cl), {caption_sql("cs", "cap")},
 w AS (SELECT *, list_distinct(regexp_split_to_array(lower(c), ' +')) AS w FROM cap),
 p AS (SELECT x.doc, x.i, x.k, EXISTS (SELECT 1 FROM w y WHERE y.doc = x.doc AND y.i = x.i AND y.k <> x.k AND (y.confidence > x.confidence OR (y.confidence = x.confidence AND y.k < x.k))
   AND len(list_intersect(x.w, y.w)) > 0.8 * len(list_distinct(list_concat(x.w, y.w)))) AS gone, x.length, x.confidence FROM w x)
 SELECT doc, CAST(i + 1 AS VARCHAR) AS number, length, CAST(confidence AS DOUBLE) AS confidence FROM p WHERE NOT gone""")
-def repeated_captions(spark, d):
+def caption_dedupe(spark, d):
     """Every caption comes twice, the second time with a word or two more; where the two
     are alike the surer one stays."""
     lines = said_lines()
@@ -743,6 +756,13 @@ def batch_review(spark, d):
     return both.select(F.col("o_orderkey").alias("draft"), catalog.triage_rank(triage).alias("triage_rank"), signal.n_ok.cast("long").alias("n_ok"), signal.n_flagged.cast("long").alias("n_flagged"))
 
 
+@query("""WITH v AS (SELECT unnest(['needs_human_decision', 'scope_uncertain', 'partial', 'in_scope', 'out_of_scope', 'unspecified']) AS triage, unnest(range(6)) AS r), t AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'needs_human_decision' WHEN '2-HIGH' THEN 'partial' WHEN '5-LOW' THEN 'odd' ELSE 'unspecified' END AS triage, count(*) AS n FROM orders GROUP BY 1)
+SELECT coalesce(v.triage, t.triage) AS triage, coalesce(r, 5)::INT AS triage_rank, coalesce(n, 0) AS n FROM v FULL JOIN t ON v.triage = t.triage""")
+def triage_tally(spark, d):
+    verdict = F.when(F.col("o_orderpriority") == "1-URGENT", "needs_human_decision").when(F.col("o_orderpriority") == "2-HIGH", "partial").when(F.col("o_orderpriority") == "5-LOW", "odd")
+    return catalog.triage_tally(table(spark, d, "orders").select(verdict.alias("triage")))
+
+
 @query("SELECT l_returnflag AS category, l_orderkey AS draft, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_orderkey UNION ALL SELECT l_returnflag, NULL, count(*) FROM lineitem GROUP BY l_returnflag")
 def flag_rollup(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("category"), F.col("l_orderkey").alias("draft")).groupingSets([["category", "draft"], ["category"]], "category", "draft").agg(F.count(F.lit(1)).alias("n"))
@@ -776,16 +796,16 @@ t AS (SELECT *, coalesce(CASE given WHEN ' JATS' THEN 'jats-publisher' WHEN 'pdf
   CASE page_id % 7 WHEN 0 THEN 'pdf' WHEN 1 THEN 'jats-europepmc' WHEN 2 THEN 'jats-publisher' END) AS route FROM g)"""
 
 
-@query(f"""WITH {ROUTED} SELECT coalesce(CASE route WHEN 'pdf' THEN 'PDF' WHEN 'jats-publisher' THEN 'publisher JATS XML' WHEN 'jats-europepmc' THEN 'Europe PMC JATS XML' END, regexp_replace(file, '^.*/', '')) AS label,
+@query(f"""WITH {ROUTED} SELECT page_id, coalesce(CASE route WHEN 'pdf' THEN 'PDF' WHEN 'jats-publisher' THEN 'publisher JATS XML' WHEN 'jats-europepmc' THEN 'Europe PMC JATS XML' END, regexp_replace(file, '^.*/', '')) AS label,
 CASE WHEN route IS NULL AND file IS NULL THEN NULL WHEN seen THEN 'inspected' WHEN NOT seen THEN 'captions only' WHEN route IS NULL THEN 'not recorded' WHEN route = 'jats-publisher' THEN 'captions only' ELSE 'retrieved' END AS evidence,
-coalesce(seen, given IN ('pdf', 'europepmc')) AS figures, count(*) AS n FROM t GROUP BY 1, 2, 3""")
+coalesce(seen, given IN ('pdf', 'europepmc')) AS figures FROM t""")
 def source_notes(spark, d):
     n = F.col("page_id")
     given = F.when(n % 5 == 0, "").when(n % 5 == 1, " JATS").when(n % 5 == 2, "pdf").when(n % 5 == 3, "europepmc").otherwise("web")
     file = F.when(n % 7 == 0, "in/a.b.PDF").when(n % 7 == 1, "x.nxml").when(n % 7 == 2, "in/x.xml").when(n % 7 == 3, "in.pdf/notes")
     seen = F.when(n % 3 == 0, True).when(n % 3 == 1, False)
-    rows = table(spark, d, "pages").select(validation.source_note(given, file, seen).alias("s"), validation.figures_available(given, seen).alias("figures"))
-    return rows.groupBy("s.label", "s.evidence", "figures").agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, d, "pages").select("page_id", validation.source_note(given, file, seen).alias("s"), validation.figures_available(given, seen).alias("figures"))
+    return rows.select("page_id", "s.label", "s.evidence", "figures")
 
 
 @query("""WITH c AS (SELECT DISTINCT p_type AS type, p_brand AS code FROM part WHERE p_size < 25), v AS (SELECT DISTINCT p_type AS type, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE lower(substr(p_brand, 1, 7)) END AS value FROM part)
@@ -835,11 +855,11 @@ def line_genotypes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {GENOTYPES} SELECT CASE WHEN name = '' THEN NULL WHEN strain <> '' AND background <> '' THEN 'both strain and background' WHEN mutant AND strain <> '' THEN 'mutant with a strain'
-WHEN mutant AND background = '' THEN 'mutant without background' WHEN NOT mutant AND strain = '' THEN 'wild type without strain' END AS problem, count(*) AS n FROM k GROUP BY 1""")
+@query(f"""WITH {GENOTYPES} SELECT draft, seq, CASE WHEN name = '' THEN NULL WHEN strain <> '' AND background <> '' THEN 'both strain and background' WHEN mutant AND strain <> '' THEN 'mutant with a strain'
+WHEN mutant AND background = '' THEN 'mutant without background' WHEN NOT mutant AND strain = '' THEN 'wild type without strain' END AS problem FROM k""")
 def strain_lint(spark, d):
     problem = drafts.strain_problem(*map(F.col, ("name", "strain", "background", "alleles")))
-    return line_genotypes(spark, d).groupBy(problem.alias("problem")).agg(F.count(F.lit(1)).alias("n"))
+    return line_genotypes(spark, d).select("draft", "seq", problem.alias("problem"))
 
 
 @query(f"""WITH {GENOTYPES}, genes AS (SELECT o_orderkey AS draft, 'org0' AS organism FROM orders WHERE o_orderkey % 2 = 0),
@@ -902,10 +922,11 @@ def completed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return tracking.record_completion(known, done)
 
 
-@query(f"WITH {DONE} SELECT CASE WHEN id IN (SELECT id FROM m WHERE id IS NOT NULL) THEN 'curated' ELSE 'queued' END AS status, false AS added, count(*) AS n FROM art GROUP BY 1 UNION ALL SELECT 'curated', true, count(*) FROM m WHERE id IS NULL HAVING count(*) > 0")
+@query(f"WITH {DONE} SELECT id AS article_id, CASE WHEN id IN (SELECT id FROM m WHERE id IS NOT NULL) THEN 'curated' ELSE 'queued' END AS status, NULL AS note_path FROM art UNION ALL SELECT NULL, 'curated', 'n' || k FROM m WHERE id IS NULL")
 def record_completion(spark, d):
     after, _ = completed(spark, d)
-    return after.groupBy("status", (F.col("article_id") < 0).alias("added")).agg(F.count(F.lit(1)).alias("n"))
+    old = F.col("article_id") >= 0  # the others are new, with a hash for an id
+    return after.select(F.when(old, F.col("article_id")).alias("article_id"), "status", F.when(~old, F.col("note_path")).alias("note_path"))
 
 
 @query(f"WITH {DONE} SELECT k AS session, id AS article_id, id IS NULL AS created FROM m")
@@ -938,9 +959,9 @@ def completion_counts(spark, d):
     return documents.completion_counts(notes).drop("text")
 
 
-@query(r"""SELECT CASE WHEN page_id % 4 <> 0 AND page_id % 3 > 0 THEN 'jats-europepmc' WHEN page_id % 2 = 0 THEN 'jats-publisher' ELSE 'pdf' END AS route, count(*) AS n FROM pages GROUP BY 1""")
+@query(r"""SELECT page_id, CASE WHEN page_id % 4 <> 0 AND page_id % 3 > 0 THEN 'jats-europepmc' WHEN page_id % 2 = 0 THEN 'jats-publisher' ELSE 'pdf' END AS route FROM pages""")
 def reported_routes(spark, d):
     n = F.col("page_id")
     given = validation.source_route(F.lit(None).cast("string"), F.when(n % 2 == 0, "a/b.xml").otherwise("c.pdf"))
     pmcid = F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("PMC"), n.cast("string")))
-    return table(spark, d, "pages").groupBy(validation.reported_route(given, pmcid, F.nullif(n % 3, F.lit(0))).alias("route")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "pages").select("page_id", validation.reported_route(given, pmcid, F.nullif(n % 3, F.lit(0))).alias("route"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptorium.functions import identifiers, text
 from scriptorium.operators import catalog, documents, drafts, ledger, metering, scoring, tracking, validation
-from scriptorium.plans.queries import CAPTIONS, EVENTS, ID_SQL, MATCHES, METER, PARKED, QUERIES, attributed, captioned, draft_states, event_ledger, event_stream, line_ids, order_annotations, order_queue, part_index, query, table
+from scriptorium.plans.queries import CAPTIONS, EVENTS, ID_SQL, MATCHES, METER, PARKED, QUERIES, attributed, caption_number, captioned, draft_states, event_ledger, event_stream, line_ids, order_annotations, order_queue, part_index, query, table
 from scriptorium.sources.readers import stack_scorecards
 from scriptorium.streaming import jobs
 
@@ -225,7 +225,7 @@ def media_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = captioned(spark, d)
     lines = F.filter(F.split("text", "\n\n"), lambda x: x != "")
     every = docs.select("doc", F.posexplode(lines).alias("i", "line")).where("i % 2 = 0")
-    return every.select("doc", F.when(F.col("i") % 3 == 0, "table").otherwise("figure").alias("kind"), (F.col("i") + 1).cast("string").alias("number")), documents.best_captions(documents.captions(docs))
+    return every.select("doc", F.when(F.col("i") % 3 == 0, "table").otherwise("figure").alias("kind"), caption_number(F.col("i")).alias("number")), documents.best_captions(documents.captions(docs))
 
 
 @query(f"WITH {MEDIA} SELECT doc, kind, number, status FROM mc")

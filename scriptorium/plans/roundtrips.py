@@ -91,15 +91,36 @@ def release_csv(spark, d):
 
 
 @query("""SELECT 'X:' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS term_id, p_name AS name, p_type || ' "' || p_brand || '"' AS synonym, p_size > 45 AS obsolete, p_type = 'PROMO' AS grouping, 'X:0000001' AS parent FROM part WHERE p_partkey % 5 <> 0""")
-def obo_terms(spark, d):
+def ontology_terms(spark, d):
     """Parts as term stanzas, every fifth of another prefix, relations between."""
+    terms = readers.read_obo(spark, term_files(spark, d), "X")
+    return terms.select("term_id", "name", F.replace(F.col("synonyms")[0], F.lit('\\"'), F.lit('"')).alias("synonym"), "obsolete", F.array_contains("subsets", "Grouping_terms").alias("grouping"), F.col("is_a")[0].alias("parent"))
+
+
+@query("""SELECT 'X:' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS term_id, p_name AS name FROM part WHERE p_partkey % 5 <> 0 AND p_size <= 45 AND p_type <> 'PROMO'""")
+def ontology_annotatable(spark, d):
+    return readers.read_obo(spark, term_files(spark, d), "X", annotatable_only=True).select("term_id", "name")
+
+
+@query("SELECT 'releases/' || n_name AS release, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name HAVING n_nationkey % 3 <> 0")
+def ontology_releases(spark, d):
+    """A term file for each nation, its suppliers the terms; every third names no release."""
+    terms = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_join(F.transform(F.collect_list("s_suppkey"), lambda k: F.concat(F.lit("[Term]\nid: X:"), F.lpad(k.cast("string"), 7, "0"), F.lit("\n\n"))), "").alias("said"))
+    n = table(spark, d, "nation").join(terms, "n_nationkey", "left")
+    head = F.concat(F.lit("format-version: 1.2\n"), F.when(F.col("n_nationkey") % 3 == 0, "").otherwise(F.concat(F.lit("data-version: releases/"), "n_name", F.lit("\n"))), F.lit("\n"))
+    folder = as_text(n, F.concat(head, F.coalesce("said", F.lit(""))), "n_nationkey")
+    nation = lambda c: F.regexp_extract(c, "n_nationkey=([0-9]+)", 1)
+    found = spark.read.option("lineSep", "\n[").text(folder).where("value like 'Term]%'").groupBy(nation(F.col("_metadata.file_path")).alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    return readers.obo_release(spark, folder).withColumn("of", nation(F.col("file"))).join(found, "of", "left").select("release", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def term_files(spark: SparkSession, d: str) -> str:
     n = F.lpad(F.col("p_partkey").cast("string"), 7, "0")
     stanza = F.concat(
         F.lit("[Term]\nid: "), F.when(F.col("p_partkey") % 5 == 0, "Y:").otherwise("X:"), n, F.lit("\nname: "), "p_name", F.lit('\nsynonym: "'), "p_type", F.lit(' \\"'), "p_brand", F.lit('\\"" EXACT []\nis_a: X:0000001 ! all\n'),
         F.when(F.col("p_size") > 45, "is_obsolete: true\n").otherwise(""), F.when(F.col("p_type") == "PROMO", "subset: Grouping_terms\n").otherwise(""), F.lit("\n[Typedef]\nid: X:part_of\n"),
     )
-    terms = readers.read_obo(spark, as_text(table(spark, d, "part"), stanza), "X")
-    return terms.select("term_id", "name", F.replace(F.col("synonyms")[0], F.lit('\\"'), F.lit('"')).alias("synonym"), "obsolete", F.array_contains("subsets", "Grouping_terms").alias("grouping"), F.col("is_a")[0].alias("parent"))
+    return as_text(table(spark, d, "part"), stanza)
 
 
 @query("""SELECT p_brand || ' x' AS relation, 'PHIPO:' || p_partkey AS range_id, p_name AS display, CASE WHEN p_size % 2 = 0 THEN 'r' END AS role FROM part WHERE p_size % 6 <> 0""")

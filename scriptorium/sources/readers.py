@@ -57,8 +57,10 @@ def read_obo(spark: SparkSession, path: str, prefix: str, annotatable_only: bool
 
 
 def obo_release(spark: SparkSession, path: str) -> DataFrame:
-    found = spark.read.option("lineSep", "\n[").text(path).select(F.regexp_extract("value", r"(?m)^data-version:\s*(.+?)\s*$", 1).alias("release"))
-    return found.where("release <> ''").limit(1)
+    """(file, release): the data version that the head of each file names; a file
+    without one has no row.  Only the record before the first stanza is looked at."""
+    raw = spark.read.option("lineSep", "\n[").text(path).where("_metadata.file_block_start = 0 and not startswith(value, 'Term]')")
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", r"(?m)^data-version:\s*(.+?)\s*$", 1).alias("release")).where("release <> ''")
 
 
 def read_phrases(spark: SparkSession, path: str, comments: bool = True) -> DataFrame:
