@@ -8,30 +8,34 @@ the labelled texts.  A forward and a backward recurrence run over a window, an
 attention layer weighs their states, and a logistic unit scores the mean.  A
 text's score is that of its highest window.
 
-The network is fitted on the driver from a bounded sample of labelled rows (at
-most SAMPLE of either class, one row per id, of texts above TRAIN_WORDS words so
-many from evenly spaced stretches), and broadcast; its size does not depend on
-the data.  Since a label holds for a whole text, each text takes part by those of
-its windows that look worst, and for clean ones by some others too.
+The network is fitted on the driver and broadcast; its size does not depend on the
+data.  It learns from a bounded sample of labelled rows, at most SAMPLE of either
+class, one row per id.  Their whole texts stay in executors, which count in how many
+texts of each class a feature stands, choose the windows to learn from, and score
+all windows to set the threshold; what reaches the driver is those counts, a few
+windows of each text, and one number for each.  Since a label holds for a whole
+text, each text takes part by those of its windows that look worst, and for clean
+ones by some others too.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scriptorium.llm.common import RollingHash, map_batches, slices, texts_of
+from scriptorium.llm.common import RollingHash, Scratch, map_batches, slices, texts_of
 
 WINDOW, STRIDE = 48, 24
 BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 1 << 15, 6, 6, 8, 8
 GRAMS = (3, 4, 5)
 #: Labelled rows of each class that are used at most, least passes over them and steps, and windows at once.
 SAMPLE, EPOCHS, STEPS, BATCH, RATE = 1000, 5, 80, 256, 0.02
-#: Words of a labelled text that are learned from at most, and words of a stretch.
-TRAIN_WORDS, STRETCH = 8_000, 400
+#: Bytes of a window above which it is not learned from: words of such length are no words.
+WINDOW_BYTES = 1 << 14
 THRESHOLD = 0.7
 #: Words a worker remembers, and windows that it scores at once.
 CACHE_WORDS, AT_ONCE = 150_000, 4096
@@ -165,44 +169,50 @@ class Network:
         return g
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 5) -> Network | None:
-    """A network for labelled texts; none if either class is missing."""
-    y = np.array(labels, np.float32)
-    if not len(y) or y.min() == y.max():
-        return None
+def presence(words: list[bytes]) -> dict[str, np.ndarray]:
+    """The buckets of a text's words and n-grams, each once."""
+    kinds = list(dict.fromkeys(words))
+    if not kinds:
+        return {"word": np.zeros(0, np.int64), "char": np.zeros(0, np.int64)}
+    bucket, grams, _ = word_features(kinds)
+    return {"word": np.unique(bucket), "char": np.unique(grams)}
+
+
+def odds_of(seen: dict[str, np.ndarray], n: np.ndarray) -> dict[str, np.ndarray]:
+    """Log-odds of buckets from in how many texts of each class (2, BUCKETS) they are."""
+    n = np.asarray(n, float)[:, None]
+    odds = {k: np.log((v[1] + 0.5) / (n[1] + 1)) - np.log((v[0] + 0.5) / (n[0] + 1)) for k, v in seen.items()}
+    return {k: (np.where(seen[k].sum(0) >= 5, v, 0).clip(-3, 6) / 3).astype(np.float32) for k, v in odds.items()}
+
+
+def learned_windows(words: list[bytes], odds: dict[str, np.ndarray], label: int, seed: int) -> list[list[bytes]]:
+    """The windows of a labelled text to learn from: the one that looks worst, of a
+    clean text the three worst and one at random."""
+    spans = windows_of(len(words))
+    if not spans:
+        return []
+    number: dict[bytes, int] = {}
+    ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+    bucket, grams, first = word_features(list(number))
+    look = (odds["word"][bucket] + np.maximum.reduceat(odds["char"][grams], first))[ids]
+    size = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
+    spans = [(a, b) for a, b in spans if size[b] - size[a] <= WINDOW_BYTES]
+    order = sorted(range(len(spans)), key=lambda k: -look[slice(*spans[k])].max())
+    chosen = order[:1] if label else order[:3] + [seed % len(spans)] * bool(spans)
+    return [words[slice(*spans[k])] for k in dict.fromkeys(chosen)]
+
+
+def train(windows: list[list[bytes]], labels: list[int], odds: dict[str, np.ndarray], seed: int = 5) -> Network:
+    """A network for labelled windows, its last bias not yet set."""
     net, rng = Network(seed), np.random.default_rng(seed)
+    net.word_odds, net.char_odds = odds["word"], odds["char"]
     number: dict[bytes, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
-    if not number:
-        return None
-    feats = word_features(list(number))
-    bucket, grams, first = feats
+    index = np.full((len(windows), WINDOW), -1, np.int64)
+    for row, words in zip(index, windows):
+        row[: len(words)] = [number.setdefault(w, len(number)) for w in words]
+    target = np.array(labels, np.float32)
+    bucket, grams, first = word_features(list(number))
     ends = np.append(first[1:], len(grams))
-    # log-odds of words and n-grams: in how many texts of each class they are
-    seen = {k: np.zeros((2, BUCKETS)) for k in ("word", "char")}
-    for ids, label in zip(docs, labels):
-        kinds = np.unique(ids)
-        seen["word"][label, np.unique(bucket[kinds])] += 1
-        if len(kinds):
-            seen["char"][label, np.unique(np.concatenate([grams[first[k] : ends[k]] for k in kinds]))] += 1
-    n = np.array([(y == 0).sum(), (y == 1).sum()])[:, None]
-    odds = {k: np.log((v[1] + 0.5) / (n[1] + 1)) - np.log((v[0] + 0.5) / (n[0] + 1)) for k, v in seen.items()}
-    odds = {k: np.where(seen[k].sum(0) >= 5, v, 0).clip(-3, 6) / 3 for k, v in odds.items()}
-    net.word_odds, net.char_odds = odds["word"].astype(np.float32), odds["char"].astype(np.float32)
-    look = net.word_odds[bucket] + np.maximum.reduceat(net.char_odds[grams], first)
-
-    rows, target = [], []
-    for ids, label in zip(docs, labels):
-        spans = windows_of(len(ids))
-        order = sorted(range(len(spans)), key=lambda k: -look[ids[slice(*spans[k])]].max())
-        chosen = order[:1] if label else order[:3] + [int(rng.integers(len(spans)))] * bool(spans)
-        for k in dict.fromkeys(chosen):
-            row = np.full(WINDOW, -1, np.int64)
-            a, b = spans[k]
-            row[: b - a] = ids[a:b]
-            rows.append(row)
-            target.append(label)
-    index, target = np.stack(rows), np.array(target, np.float32)
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
@@ -225,32 +235,12 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Network | None:
                 square[k] += 0.01 * (v * v - square[k])
                 # embeddings move less, or they would learn single texts by heart
                 net.p[k] -= rate * (0.5 if k in ("word", "char") else 1) * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)
-    calibrate(net, feats, docs, y)
     return net
 
 
-def calibrate(net: Network, feats, docs: list[np.ndarray], y: np.ndarray) -> None:
-    """Shift the last bias so that THRESHOLD parts the texts it was fitted on:
-    a text is as bad as its worst window, so long texts score higher."""
-    gates = [np.concatenate([np.zeros((1, 3 * HIDDEN), np.float32), g]) for g in net.gates(net.inputs(feats))]
-    worst = np.full(len(docs), -20.0)
-    rows, owner = np.zeros((AT_ONCE, WINDOW), np.int64), np.zeros(AT_ONCE, np.int64)
-
-    def score(n: int) -> None:
-        index = np.ascontiguousarray(rows[:n].T)
-        np.maximum.at(worst, owner[:n], net.forward(gates[0][index], gates[1][index], index > 0)[0])
-
-    n = 0
-    for k, ids in enumerate(docs):
-        for a, b in windows_of(len(ids)):
-            rows[n], owner[n] = 0, k
-            rows[n, : b - a] = ids[a:b] + 1
-            n += 1
-            if n == AT_ONCE:
-                score(n)
-                n = 0
-    if n:
-        score(n)
+def set_bias(net: Network, worst: np.ndarray, y: np.ndarray) -> None:
+    """Shift the last bias so that THRESHOLD parts the texts it was fitted on, by the
+    scores of their worst windows: a text is as bad as that, so long texts score higher."""
     order = np.argsort(worst, kind="stable")
     # errors if the cut lies before each text; a clean text taken for toxic weighs double
     errors = np.concatenate([[0], np.cumsum(y[order] == 1)]) + 2 * ((y == 0).sum() - np.concatenate([[0], np.cumsum(y[order] == 0)]))
@@ -260,22 +250,102 @@ def calibrate(net: Network, feats, docs: list[np.ndarray], y: np.ndarray) -> Non
     net.p["b"][0] += np.log(THRESHOLD / (1 - THRESHOLD)) - (0.8 * edge[k] + 0.2 * edge[k + 1])
 
 
+class Scorer:
+    """Scores all windows of texts, with the gates of words met before at hand."""
+
+    def __init__(self, net: Network):
+        self.net = net
+        self.number: dict[bytes, int] = {}
+        self.table = [np.zeros((1, 3 * HIDDEN), np.float32)] * 2
+
+    def _learn(self, split: list[list[bytes]]) -> None:
+        new = list({w for ws in split for w in ws if w not in self.number})
+        if new and len(self.number) + len(new) > CACHE_WORDS:
+            self.number.clear()
+            self.table = [t[:1] for t in self.table]
+            new = list({w for ws in split for w in ws})
+        if new:
+            more = self.net.gates(self.net.inputs(word_features(new)))
+            start = len(self.table[0])
+            self.number.update(zip(new, range(start, start + len(new))))
+            self.table = [np.concatenate([t, m]) for t, m in zip(self.table, more)]
+
+    def worst(self, split: list[list[bytes]], none: float) -> tuple[np.ndarray, list[int]]:
+        """Per text, the logit of its worst window (``none`` without one), and its windows."""
+        best, counts = np.full(len(split), -np.inf), [len(windows_of(len(ws))) for ws in split]
+        if any(counts):
+            self._learn(split)
+            owner = np.repeat(np.arange(len(split)), counts)
+            rows = np.zeros((len(owner), WINDOW), np.int32)
+            at = 0
+            for ws in split:
+                ids = np.fromiter(map(self.number.__getitem__, ws), np.int32, len(ws))
+                for s, e in windows_of(len(ws)):
+                    rows[at, : e - s] = ids[s:e]
+                    at += 1
+            for a in range(0, len(rows), AT_ONCE):
+                index = np.ascontiguousarray(rows[a : a + AT_ONCE].T)
+                got = self.net.forward(self.table[0][index], self.table[1][index], index > 0)[0]
+                np.maximum.at(best, owner[a : a + AT_ONCE], got)
+        return np.where(np.isneginf(best), none, best), counts
+
+
+def fit(labelled: DataFrame, seed: int = 5) -> Network | None:
+    """A network for labelled texts (doc_id, text, label), at most ``2 * SAMPLE`` rows;
+    none if either class is missing or no text has a word.  Texts stay in executors."""
+    spark = labelled.sparkSession
+    n = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    if len(n) < 2:
+        return None
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text in texts_of(b):
+                for kind, buckets in presence(words_of(text)).items():
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(buckets), pa.string()), pa.array(np.full(len(buckets), b.column("label")[i].as_py()), pa.int32()), pa.array(buckets)], names=["kind", "label", "bucket"])
+
+    # at most two kinds of two classes of BUCKETS numbers
+    seen = {k: np.zeros((2, BUCKETS)) for k in ("word", "char")}
+    for kind, label, bucket, m in map_batches(labelled, count, "kind string, label int, bucket long").groupBy("kind", "label", "bucket").count().collect():
+        seen[kind][label, bucket] = m
+    odds = odds_of(seen, [n[0], n[1]])
+    given = spark.sparkContext.broadcast(odds)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, text in texts_of(b):
+                doc, label = b.column("doc_id")[i].as_py(), b.column("label")[i].as_py()
+                out += [(doc, label, k, b" ".join(ws)) for k, ws in enumerate(learned_windows(words_of(text), given.value, label, zlib.crc32(f"{seed}:{doc}".encode())))]
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["doc_id", "label", "k", "words"])
+
+    # four windows of WINDOW_BYTES a row at most
+    windows = sorted(map(tuple, map_batches(labelled, choose, "doc_id long, label int, k int, words binary").collect()))
+    if not windows:
+        return None
+    net = train([bytes(w).split(b" ") for *_, w in windows], [label for _, label, *_ in windows], odds, seed)
+    model = spark.sparkContext.broadcast(net)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.value)
+        for batch in batches:
+            for b in slices(batch, limit=1 << 19):
+                worst, _ = scorer.worst([words_of(t) for _, t in texts_of(b)], none=-20.0)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(worst)], names=["doc_id", "label", "worst"])
+
+    judged = sorted(map(tuple, map_batches(labelled, judge, "doc_id long, label int, worst double").collect()))
+    set_bias(net, np.array([w for *_, w in judged]), np.array([y for _, y, _ in judged]))
+    return net
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learned from; those without id among them."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def stretches(text: Column, most: int = TRAIN_WORDS, stretch: int = STRETCH) -> Column:
-    """The text; of one of more than ``most`` words, stretches that begin at equal
-    distances and make up ``most`` words."""
-    words = F.split(F.trim(text), r"\s+")
-    n, count = F.size(words), most // stretch
-    cut = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.array_join(F.slice(words, (F.floor(k * (n - stretch) / (count - 1)) + 1).cast("int"), stretch), " "))
-    return F.when(n > most, F.array_join(cut, " ")).otherwise(text)
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = SAMPLE) -> list:
-    """Rows (doc_id, text, label) to learn from: at most ``most`` ids of each class,
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = SAMPLE) -> DataFrame:
+    """Rows (doc_id, text, label) to learn from, whole texts: at most ``most`` ids of each class,
     by hash.  An id that is labelled both ways is not learned from; of rows that
     share an id the least text is."""
     known = labels.where(F.col(column).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("other")).where("label = other").select("doc_id", "label")
@@ -283,8 +353,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str = "toxic", m
     chosen = known.where("label = 1").orderBy(draw, "doc_id").limit(most).unionByName(known.where("label = 0").orderBy(draw, "doc_id").limit(most))
     # 2 * most rows of two integers: a proven bound
     rows = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.withColumn("text", stretches(F.coalesce("text", F.lit("")))).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    return sorted(((r["doc_id"], r["text"], int(r["label"])) for r in rows.toLocalIterator()), key=lambda r: r[:2])
+    return rows.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
@@ -297,48 +366,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", th
     scored whole, some windows at a time; an empty table gives none; other columns
     are ignored.
     """
-    sample = labelled_sample(docs, labels, column)
-    model = docs.sparkSession.sparkContext.broadcast(fit([t for _, t, _ in sample], [y for *_, y in sample]))
+    with Scratch(docs.sparkSession) as scratch:
+        net = fit(scratch.put(labelled_sample(docs, labels, column), "labelled"))
+    model = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net: Network | None = model.value
-        number: dict[bytes, int] = {}
-        gates = [np.zeros((1, 3 * HIDDEN), np.float32)] * 2
-
-        def learn(new: list[bytes]) -> None:
-            nonlocal gates
-            more = net.gates(net.inputs(word_features(new)))
-            start = len(gates[0])
-            number.update(zip(new, range(start, start + len(new))))
-            gates = [np.concatenate([g, m]) for g, m in zip(gates, more)]
-
-        def score(rows: np.ndarray) -> np.ndarray:
-            index = np.ascontiguousarray(rows.T)
-            return _sigmoid(net.forward(gates[0][index], gates[1][index], index > 0)[0])
-
+        scorer = Scorer(model.value) if model.value is not None else None
         for batch in batches:
             for b in slices(batch, limit=1 << 19):
                 split = [words_of(t) for _, t in texts_of(b)]
-                best, counts = np.zeros(len(split)), [len(windows_of(len(w))) for w in split]
-                if net is not None and any(counts):
-                    new = list({w for ws in split for w in ws if w not in number})
-                    if new:
-                        if len(number) + len(new) > CACHE_WORDS:
-                            number.clear()
-                            gates = [g[:1] for g in gates]
-                            new = list({w for ws in split for w in ws})
-                        learn(new)
-                    owner = np.repeat(np.arange(len(split)), counts)
-                    rows = np.zeros((len(owner), WINDOW), np.int32)
-                    at = 0
-                    for ws in split:
-                        ids = np.fromiter(map(number.__getitem__, ws), np.int32, len(ws))
-                        for s, e in windows_of(len(ws)):
-                            rows[at, : e - s] = ids[s:e]
-                            at += 1
-                    got = np.concatenate([score(rows[a : a + AT_ONCE]) for a in range(0, len(rows), AT_ONCE)])
-                    np.maximum.at(best, owner, got)
-                best = np.round(best, 6)
+                if scorer is None:
+                    best, counts = np.zeros(len(split)), [len(windows_of(len(ws))) for ws in split]
+                else:
+                    best, counts = scorer.worst(split, none=-np.inf)
+                    best = np.round(np.where(np.isneginf(best), 0, _sigmoid(best)), 6)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(best), pa.array((best >= threshold).astype(np.int32)), pa.array(counts, pa.int64())], names=["doc_id", "score", "predicted", "n_windows"])
 
     scored = map_batches(docs.select("doc_id", "text"), run, "doc_id long, score double, predicted int, n_windows long")
