@@ -218,8 +218,10 @@ def best_fit_pack(docs: DataFrame, path: str, capacity: int = CAPACITY, eos: int
     """All pieces of ``docs``, each with its sequence and its place there.
 
     A null or empty text is the end token alone; repeated rows are packed each
-    by itself; rows without doc_id are packed too; other columns are ignored.
-    Sequence ids are unique over shards and otherwise without meaning.
+    by itself; rows without doc_id are packed too; a very long text is cut into
+    pieces that are packed like any other; pieces of equal length are placed in the
+    order of document and piece; an empty table gives none; other columns are
+    ignored.  Sequence ids are unique over shards and otherwise without meaning.
     """
     pieces = materialize(token_pieces(docs, path, capacity, eos), "pieces")
     shards = max(1, math.ceil(pieces.count() / SHARD_PIECES))

@@ -67,8 +67,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, table: dict[str,
     and whether there are more than ``limit``.
 
     A null or empty text has 0 tokens; repeated rows are counted alike; a null
-    doc_id stays null; other columns are ignored.  ``path`` names a tokenizer
-    file that every executor has.  A .model file, whose pieces may cross spaces,
+    doc_id stays null; rows are not compared, so there are no ties; a very long
+    text is cut at pre-token borders and counted whole; an empty table gives none;
+    other columns are ignored.  ``path`` names a tokenizer file that every executor has.  A .model file, whose pieces may cross spaces,
     is encoded text by text.
     """
     spark: SparkSession = docs.sparkSession

@@ -63,7 +63,9 @@ def evaluate(captures: DataFrame, entries: DataFrame, broadcast_bytes: int = BRO
     specific in force: the longest, then the greatest) and n_matches.
 
     A null or unreadable URL, or a null time, is covered by nothing; repeated
-    rows are judged once and each keeps its row; an empty list blocks nothing;
+    rows are judged once and each keeps its row; an empty list blocks nothing, and
+    no captures give none; a URL of any length has the patterns of its host and
+    first two path segments, whole;
     columns of the captures stay, those with the result's names are replaced.
     """
     keep = [c for c in captures.columns if c not in ("blocked", "matched_pattern", "n_matches")]
@@ -119,7 +121,7 @@ def page_list(pages: DataFrame) -> DataFrame:
 #: The same as DuckDB SQL over ``pages``.
 ORACLE = r"""
 WITH p AS (
-  SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host,
+  SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
          regexp_extract(url, '^[^:]+://[^/?#]+(/[^/?#]+)', 1) AS one,
          regexp_extract(url, '^[^:]+://[^/?#]+((/[^/?#]+)(/[^/?#]+)?)', 1) AS path,
          page_id * 7919 % 5184000 AS sec
