@@ -3,8 +3,10 @@
 Each stage takes the documents that its predecessor kept, whole.  In all stages
 a null text counts as the empty one, which the quality rules reject; a row
 without doc_id is compared with nothing, and is mixed and packed like any other;
-rows that repeat a doc_id are one document and stay or go together; an empty
-table gives an empty result; columns that ``documents`` does not have are left out.
+rows that repeat a doc_id are one document and stay or go together; texts of any
+length are taken whole by every stage; of equal texts, and of equal passages, the
+smallest doc_id keeps its own; an empty table gives an empty result; columns that
+``documents`` does not have are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -31,7 +31,7 @@ def made(spark, folder):
     rows += [(500 + k, prose(rng, 120), "s9", "en", 1, 2, 0.5, "z", "q") for k in range(20)]
     rows += [(600 + k, " ".join([*base[:140], *prose(rng, 4).split(" "), *base[144:]]), "s1", "en", 1, 2, 0.5, "z", "q") for k in range(6)]
     rows += [(700, rows[-1][1], "s1", "en", 1, 2, 0.5, "z", "q"), (None, prose(rng, 90), "s2", "en", 1, 2, 0.5, "z", "q")]
-    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "lang", "source", "length(text) n_chars")
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "lang", "source", "length(text) n_chars", "size", "n_words", "kept", "copied", "1 sequence_id", "'x' digest")
     docs.write.parquet(f"{folder}/documents.parquet")
     no_labels(spark, folder)
     return spark.read.parquet(f"{folder}/documents.parquet")
