@@ -17,7 +17,7 @@ def stages(spark, docs, folder):
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, folder).write.parquet(f"{folder}/{k}")
         before, docs = docs, spark.read.parquet(f"{folder}/{k}")
-        yield name, before, docs
+        yield name, before.select(*COLUMNS), docs
 
 
 def no_labels(spark, folder):
