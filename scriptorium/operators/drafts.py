@@ -103,23 +103,17 @@ def folded_annotations(incoming: DataFrame) -> DataFrame:
     """Annotations of drafts (draft, canto), each with its subject's ``state``: the
     cascade from genes to metagenotypes as nested arrays, one level after the other,
     without a join.  All other columns of ``incoming`` are left out."""
-
-    genes = F.transform(F.col("canto.genes"), lambda g: F.struct(g["name"].alias("name"), F.when(text_or_empty(g["uniprot"]) == "", HELD).otherwise("ok").alias("state")))
-    steps = (
-        ("_gene", F.coalesce(genes, F.array().cast("array<struct<name:string,state:string>>"))),
-        ("_allele", _child_states(F.col("canto.alleles"), F.col("_gene"), lambda a: F.array(a["gene"]))),
-        ("_genotype", _child_states(F.col("canto.genotypes"), F.coalesce("_allele", F.array().cast("array<struct<name:string,state:string>>")), lambda g: F.coalesce(g["alleles"], F.array().cast("array<string>")))),
-        ("_metagenotype", _child_states(F.col("canto.metagenotypes"), F.coalesce("_genotype", F.array().cast("array<struct<name:string,state:string>>")), lambda m: F.array(m["pathogen_genotype"], m["host_genotype"]))),
-    )
-    rows = incoming.select("draft", "canto")
-    for name, column in steps:
-        rows = rows.withColumn(name, column)
     none = F.array().cast("array<struct<name:string,state:string>>")
+    genes = F.transform(F.col("canto.genes"), lambda g: F.struct(g["name"].alias("name"), F.when(text_or_empty(g["uniprot"]) == "", HELD).otherwise("ok").alias("state")))
+    level = lambda kind, parents, refs: F.coalesce(_child_states(F.col(f"canto.{kind}s"), F.col(parents), refs), none)
+    rows = incoming.select("draft", "canto", F.coalesce(genes, none).alias("_gene"))
+    rows = rows.withColumn("_allele", level("allele", "_gene", lambda a: F.array(a["gene"])))
+    rows = rows.withColumn("_genotype", level("genotype", "_allele", lambda g: F.coalesce(g["alleles"], F.array().cast("array<string>"))))
+    rows = rows.withColumn("_metagenotype", level("metagenotype", "_genotype", lambda m: F.array(m["pathogen_genotype"], m["host_genotype"])))
     a = rows.select("draft", F.posexplode("canto.annotations").alias("ord", "a"), "_gene", "_genotype", "_metagenotype")
-    feature = F.col("a.feature")
-    state = F.when(F.col("a.feature_type") == "gene", _state_of(feature, F.col("_gene")))
-    for kind in ("genotype", "metagenotype"):
-        state = state.when(F.col("a.feature_type") == kind, _state_of(feature, F.coalesce(f"_{kind}", none)))
+    state = F.lit(None)
+    for kind in ("gene", "genotype", "metagenotype"):
+        state = F.when(F.col("a.feature_type") == kind, _state_of(F.col("a.feature"), F.col(f"_{kind}"))).otherwise(state)
     out = [F.col(f"a.{c}").alias(c) for c in ("feature_type", "feature", "hold_reason", "term_id", "term_name", "note", "evidence")]
     return a.select("draft", "ord", *out, F.col("a.hold").cast("string").alias("hold"), F.col("a.annotation_type").alias("type"), state.alias("state"))
 

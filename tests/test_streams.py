@@ -5,7 +5,6 @@ import os
 import random
 from datetime import datetime
 
-import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import drafts, ledger
