@@ -52,9 +52,7 @@ def article_files(spark: SparkSession, d: str) -> DataFrame:
 CASE WHEN doc_id % 10 <> 9 THEN 'In *' || lang || '*' END AS title, CASE WHEN doc_id % 10 <> 9 THEN source END AS journal FROM li""")
 def article_xml(spark, d):
     """The metadata of archived articles, broken ones with their status."""
-    read = article_files(spark, d)
-    found = articles.article_table(read.where("status = 'ok'"), "metadata").select("doc", "status", "pmid", "title", "journal")
-    return found.unionByName(read.where("status <> 'ok'").select("doc", "status"), allowMissingColumns=True)
+    return articles.article_table(article_files(spark, d), "metadata").select("doc", "status", "pmid", "title", "journal")
 
 
 @query(f"""WITH {LINES} SELECT doc_id AS doc, 1 AS ord, 1 AS depth, 'All' AS title, len(l) AS n_blocks, md5(array_to_string(l, chr(10))) AS blocks FROM li WHERE doc_id % 10 <> 9
