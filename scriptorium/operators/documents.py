@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from scriptorium.functions.batches import pieces
 from scriptorium.functions.identifiers import extract_ids
 from scriptorium.functions.text import locus_tags, strip
 
@@ -51,8 +54,10 @@ LONGEST_CAPTION, SURE = 800, {"text": 0.5, "label": 0.3, "good length": 0.2, "od
 
 def clean_caption(text: str) -> str:
     """Without artifacts; of a very long one three sentences."""
-    text = " ".join(text.split())
-    for pattern in ARTIFACTS:
+    text = re.sub(ARTIFACTS[0], "", " ".join(text.split()))
+    if text[-1:].isdecimal():  # the number of a page stands at the end
+        text = re.sub(ARTIFACTS[1], "", text)
+    for pattern in ARTIFACTS[2:] if "(" in text else ():
         text = re.sub(pattern, "", text)
     text = " ".join(text.split())
     if len(text) <= LONGEST_CAPTION:
@@ -74,29 +79,38 @@ def caption_confidence(number: str, caption: str) -> float:
 def captions(docs: DataFrame) -> DataFrame:
     """(doc, kind, number, caption, start, end, confidence) of texts (doc, text)."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for doc, text in zip(part["doc"], part["text"]):
-                for m in _CAPTION.finditer(text or ""):
-                    kind, said = "table" if m["kind"].lower() == "table" else "figure", clean_caption(m["text"])
-                    if (kind == "table" or m["number"][0].isdigit()) and len(said) > LEAST_LENGTH[kind]:
-                        rows.append((doc, kind, m["number"], said, m.start(), m.end(), caption_confidence(m["number"], said)))
-            yield pd.DataFrame(rows, columns=["doc", "kind", "number", "caption", "start", "end", "confidence"])
+    schema = StructType.fromDDL(f"doc {dict(docs.dtypes)['doc']}, kind string, number string, caption string, start int, end int, confidence double")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                rows = []
+                for doc, text in zip(part.column("doc").to_pylist(), part.column("text")):
+                    for m in _CAPTION.finditer(text.as_py() or ""):
+                        kind, said = "table" if m["kind"].lower() == "table" else "figure", clean_caption(m["text"])
+                        if (kind == "table" or m["number"][0].isdigit()) and len(said) > LEAST_LENGTH[kind]:
+                            rows.append((doc, kind, m["number"], said, m.start(), m.end(), caption_confidence(m["number"], said)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    kind = dict(docs.dtypes)["doc"]
-    return docs.select("doc", "text").mapInPandas(run, f"doc {kind}, kind string, number string, caption string, start int, end int, confidence double")
+    return docs.select("doc", "text").mapInArrow(run, schema)
 
 
 def best_captions(found: DataFrame, alike: float = 0.8) -> DataFrame:
     """Without captions that repeat a more certain one of their number: greedily,
     most certain first."""
     order = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("doubt"), "start", "end", "caption", "confidence")))
-    split = lambda c: F.array_distinct(F.split(F.lower(c), r"\s+"))
-    near = lambda a, b: F.size(F.array_intersect(split(a), split(b))) > alike * F.size(F.array_union(split(a), split(b)))
     by = found.groupBy("doc", "kind", "number").agg(order.alias("all"))
-    empty = F.slice("all", 1, 0)
-    kept = F.aggregate("all", empty, lambda acc, x: F.when(F.exists(acc, lambda y: near(y.caption, x.caption)), acc).otherwise(F.concat(acc, F.array(x))))
+    # each caption's words are taken once, and only where there is another to compare with
+    worded = lambda every: F.transform(every, lambda x: F.struct(x.alias("c"), F.array_distinct(F.split(F.lower(x.caption), r"\s+")).alias("words")))
+
+    def near(a: Column, b: Column) -> Column:
+        both = F.size(F.array_intersect(a, b))
+        return both > alike * (F.size(a) + F.size(b) - both)
+
+    fold = F.aggregate(worded(F.col("all")), worded(F.slice("all", 1, 0)), lambda acc, x: F.when(F.exists(acc, lambda y: near(y.words, x.words)), acc).otherwise(F.concat(acc, F.array(x))))
+    kept = F.when(F.size("all") > 1, F.transform(fold, lambda x: x.c)).otherwise(F.col("all"))
     return by.select("doc", "kind", "number", F.explode(kept).alias("c")).select("doc", "kind", "number", "c.caption", "c.start", "c.end", "c.confidence")
 
 
