@@ -4,6 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from scriptorium.functions.batches import pieces
+from scriptorium.llm import media
 from scriptorium.operators import documents
 from scriptorium.sources import articles
 
@@ -41,3 +42,20 @@ def test_caption_of_a_page_number_and_notes():
     assert documents.clean_caption("- Cells at work  12 ") == "Cells at work"
     assert documents.clean_caption("Cells (color online) at (see text)") == "Cells at"
     assert documents.clean_caption("Cells (a) 3 (Color online)") == "Cells (a) 3"
+
+
+def test_text_items_are_dealt_over_tasks(spark):
+    """Items without a reference have no key; they do not meet in one task."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("<p>a</p><p>b</p>").alias("html"))
+        facts = spark.sql("select 'd' as digest, 1L as n_bytes")
+        out = media.resolve(media.interleave(pages), "page_id", facts)
+        rows = out.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in rows) == 800 and max(r["count"] for r in rows) < 400
+        assert out.where("resolved or ref is not null").count() == 0
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
