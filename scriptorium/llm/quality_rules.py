@@ -42,8 +42,10 @@ CHUNK = 4096
 
 #: Bounds of length classes for learning, in bytes.
 CLASSES = tuple(float(128 << k) for k in range(10)) + (float("inf"),)
-#: Labelled rows that bands are learned from, at most, and that a class needs.
-FIT_ROWS, LEAST_ROWS = 6000, 40
+#: Labelled rows that a class needs.
+LEAST_ROWS = 40
+#: Steps of a ratio of 1 that quantiles tell apart; they bound what a class's counts hold.
+RATIO_STEPS = 100_000
 #: The share of good texts below and above a band, and how much a band is widened.
 TAIL, SLACK = 0.005, 0.015
 
@@ -118,36 +120,40 @@ def judge(text: str, compress=None, bands: Bands = Bands(), chunk: int = CHUNK)
     return len(words), len(text) - spaces, symbols, dup_lines(data), repeats, failed, not reason, ratio, n_chunks, bad, reason
 
 
-def fit_bands(docs: DataFrame, labels: DataFrame, level: int = LEVEL, chunk: int = CHUNK, rows: int = FIT_ROWS) -> Bands:
+def fit_bands(docs: DataFrame, labels: DataFrame, level: int = LEVEL, chunk: int = CHUNK) -> Bands:
     """Bands from texts that ``labels`` (doc_id, quality) calls good.
 
-    Learned from the at most ``rows`` of them with the least hash of their doc_id,
-    of those whose crc32(doc_id as text) mod 3 is not 1, whole texts, compressed in
-    executors; two numbers for each class come back.  A class of fewer than
+    Learned from every one of them whose crc32(doc_id as text) mod 3 is not 1, whole
+    texts, compressed in executors; a ratio is counted to a part in RATIO_STEPS, so
+    what is counted does not grow with the rows, and the quantiles are of all rows.
+    Two numbers for each class come back.  A class of fewer than
     ``LEAST_ROWS`` keeps its band of ``BANDS``.  Nulls are no labels; of a document
     that is called both good and bad no row is taken; no labels, no change.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
     known = known.where((F.col("q") == 1) & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
-    chosen = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=level).compress
         for b in batches:
-            out: list[tuple[int, float]] = []
-            for _, text in texts_of(b):
+            out: list[tuple[int, int, float]] = []
+            ids = b.column("doc_id").to_pylist()
+            for i, text in texts_of(b):
                 data = text.encode()
                 words = data.split()
                 if len(words) < 50 or 100 * repeat_words(words) > 50 * len(words):
                     continue
-                out.append((next(k for k, limit in enumerate(CLASSES) if len(data) < limit), len(compress(data)) / len(data)))
+                out.append((ids[i], next(k for k, limit in enumerate(CLASSES) if len(data) < limit), len(compress(data)) / len(data)))
                 if len(data) >= 2 * chunk:
-                    out += [(-1, len(compress(data[k : k + chunk])) / chunk) for k in range(0, len(data) - chunk + 1, chunk)]
-            cols = list(zip(*out)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.float64())], names=["class", "ratio"])
-
-    ratios = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").mapInArrow(run, "class int, ratio double")
-    found = {r[0]: r[1:] for r in ratios.groupBy("class").agg(F.count("*"), F.percentile("ratio", F.lit(TAIL)), F.percentile("ratio", F.lit(1 - TAIL))).collect()}
+                    out += [(ids[i], -1, len(compress(data[k : k + chunk])) / chunk) for k in range(0, len(data) - chunk + 1, chunk)]
+            cols = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64())], names=["doc_id", "class", "ratio"])
+
+    # ratios of all that may be learned from, so that these and no texts meet the labels
+    mine = docs.where("doc_id is not null and crc32(cast(doc_id as string)) % 3 <> 1").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ratios = mine.mapInArrow(run, "doc_id long, class int, ratio double").join(known.select("doc_id"), "doc_id", "left_semi")
+    counts = ratios.groupBy("class", (F.round(F.col("ratio") * RATIO_STEPS) / RATIO_STEPS).alias("ratio")).agg(F.count("*").alias("n"))
+    found = {r[0]: r[1:] for r in counts.groupBy("class").agg(F.sum("n"), F.percentile("ratio", F.lit(TAIL), F.col("n")), F.percentile("ratio", F.lit(1 - TAIL), F.col("n"))).collect()}
     wide = {k: (least * (1 - SLACK), most * (1 + SLACK)) for k, (n, least, most) in found.items() if n >= LEAST_ROWS}
     return Bands(tuple((limit, *wide.get(k, band(limit - 1, BANDS))) for k, limit in enumerate(CLASSES)), wide.get(-1))
 

@@ -669,3 +669,19 @@ def test_bands_need_labels_and_chunks_reject(spark, docs, empty):
     assert quality_rules.judge("word " * 400_000)[-1] == "base"
     n_words, *_, n_chunks, bad, reason = quality_rules.judge(" ".join(f"{k:x}{k * k:x}" for k in range(150_000)))
     assert n_words == 150_000 and n_chunks > 250
+
+
+def test_bands_learn_from_every_labelled_text(spark):
+    """9,000 good texts, of which those with the greatest hashes are of another length:
+    their class learns its band from them."""
+    rng = random.Random(9)
+    plain, rare = prose(rng, 200), " ".join(f"{rng.getrandbits(40):x}" for _ in range(60))
+    ids = [i for i in range(14_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    by_hash = [r.id for r in spark.createDataFrame([(i,) for i in ids], "id long").orderBy(F.xxhash64("id"), "id").collect()]
+    last = set(by_hash[-len(ids) // 33 :])
+    rows = [(i, rare if i in last else plain) for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bands = quality_rules.fit_bands(docs, spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int"))
+    assert quality_rules.judge(rare, bands=bands)[-1] == "" and len(ids) > 9_000
+    assert quality_rules.band(len(rare), bands.texts) != quality_rules.band(len(rare))
+    assert bands == quality_rules.fit_bands(docs.repartition(5), spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int"))
