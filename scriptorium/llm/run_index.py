@@ -2,12 +2,12 @@
 short strings with sampled run ends, and matching statistics streamed over it.
 
 The strings stand one after the other, each ended by a separator, and suffixes
-are ordered as if the separators grew from left to right.  Of the transform only
-its runs are kept, and of the suffix array only the entries at run ends; a step
-to the left costs a search among the runs of one letter.  Where a pattern's next
-letter does not follow, the search moves to the end of the nearest run of that
-letter before or after, whichever continues the match further (by comparing the
-text), so the length of the longest match is known at every position.  All
+are ordered as if the separators grew from left to right.  Of the transform its
+runs are kept, with the number of the run at each place, and of the suffix array
+only the entries at run ends; a step to the left looks up the run it leaves.  Where
+a pattern's next letter does not follow, the search moves to the end of the nearest
+run of that letter before or after, found by bisection, whichever continues the
+match further (by comparing the text), so the length of the longest match is known at every position.  All
 patterns advance together, one array operation at a time.
 """
 
@@ -36,15 +36,12 @@ class RunIndex:
         at = np.arange(n)
         ends = starts[1:] - 1
         ahead = np.repeat(ends, np.diff(starts)) - at  # letters before the separator
-        word = np.zeros(n, np.uint64)
-        for k in range(8):
-            letter = np.full(n, 0, np.uint64)
-            letter[: n - k] = text[k:]
-            word |= np.where(ahead >= k, letter, 0).astype(np.uint64) << np.uint64(8 * (7 - k))
+        # eight letters as a number, nothing behind a separator
+        wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(7, np.uint8)]), 8)
+        word = np.ascontiguousarray(wide).view(">u8")[:, 0].astype(np.uint64)
+        word &= ~np.uint64(0) << (np.uint64(8) * np.maximum(7 - ahead, 0).astype(np.uint64))
         self.word = np.concatenate([word, np.zeros(8 + int(ahead.max(initial=0)), np.uint64)])
-        order = np.argsort(word, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], word[order][1:] != word[order][:-1]]))
+        rank = self._ranks(word)
         step, prefix = 8, None
         while True:
             if step <= depth < 2 * step:  # equal pairs of these ranks are equal prefixes of the depth
@@ -53,12 +50,9 @@ class RunIndex:
             if step > ahead.max(initial=0):
                 break
             second = np.where(ahead >= step, rank[np.minimum(at + step, n - 1)] + 1, 0)
-            pair = rank * (n + 1) + second
-            order = np.argsort(pair, kind="stable")
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], pair[order][1:] != pair[order][:-1]]))
+            rank = self._ranks(rank * (n + 1) + second)
             step *= 2
-        suffix = order
+        suffix = np.argsort(rank * n + at)  # equal ones by their separators
         last = text[suffix - 1]  # of the first string's first suffix: the last separator
         head = np.concatenate([[True], last[1:] != last[:-1]])
         self.run_start = np.flatnonzero(head)
@@ -69,6 +63,10 @@ class RunIndex:
         self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=256))])[:256]
         self.by_letter = np.argsort(self.run_letter, kind="stable")
         self.key = self.run_letter[self.by_letter] * n + self.run_start[self.by_letter]
+        # of each place in the transform its run, and of each run its place by letter
+        self.run_at = np.repeat(np.arange(self.runs, dtype=np.int32), self.run_length)
+        self.place = np.empty(self.runs, np.int64)
+        self.place[self.by_letter] = np.arange(self.runs)
         count = np.cumsum(self.run_length[self.by_letter]) - self.run_length[self.by_letter]
         letter = self.run_letter[self.by_letter]
         self.before = count - count[np.searchsorted(letter, letter)]
@@ -77,8 +75,16 @@ class RunIndex:
             prefix = (at, np.full(n, -1))
         a, b = prefix[0][suffix], prefix[1][suffix]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) | (b < 0)
-        self.interval = np.flatnonzero(new)
-        self.owner_of = np.minimum.reduceat(np.repeat(owner, np.diff(starts))[suffix], self.interval)
+        self.owner_of = np.minimum.reduceat(np.repeat(owner, np.diff(starts))[suffix], np.flatnonzero(new))
+        self.interval_at = np.cumsum(new, dtype=np.int32) - np.int32(1)
+
+    @staticmethod
+    def _ranks(key: np.ndarray) -> np.ndarray:
+        """Of each key the number of distinct smaller ones."""
+        order = np.argsort(key)
+        rank, key = np.empty(len(key), np.int64), key[order]
+        rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        return rank
 
     @property
     def runs(self) -> int:
@@ -97,7 +103,7 @@ class RunIndex:
         return np.minimum(out, limit)
 
     def least_owner(self, position: np.ndarray) -> np.ndarray:
-        return self.owner_of[np.searchsorted(self.interval, position, "right") - 1]
+        return self.owner_of[self.interval_at[position]]
 
     def matching_statistics(self, patterns: list[bytes]):
         """Yields (pattern numbers, position, match lengths, positions in the
@@ -111,15 +117,16 @@ class RunIndex:
         for step in range(1, int(size.max(initial=0)) + 1):
             live = int(np.searchsorted(-size, -step, "right"))
             c = text[starts[:live] + size[:live] - step]
-            run = np.searchsorted(self.run_start, q[:live], "right") - 1
+            run = self.run_at[q[:live]]
+            k = self.place[run]  # of the run that is left by the step
             miss = np.flatnonzero(self.run_letter[run] != c)
             known = np.ones(live, bool)
             if len(miss):
                 behind = np.searchsorted(self.key, c[miss] * self.n + q[miss])
                 sides = []
-                for k, samples, shift in ((behind - 1, self.last_suffix, -1), (behind, self.first_suffix, 0)):
-                    there = self.by_letter[np.clip(k, 0, len(self.key) - 1)]
-                    fits = (k >= 0) & (k < len(self.key)) & (self.run_letter[there] == c[miss])
+                for side, samples, shift in ((behind - 1, self.last_suffix, -1), (behind, self.first_suffix, 0)):
+                    there = self.by_letter[np.clip(side, 0, len(self.key) - 1)]
+                    fits = (side >= 0) & (side < len(self.key)) & (self.run_letter[there] == c[miss])
                     to = self.run_start[there] + (self.run_length[there] - 1 if shift else 0)
                     share = np.where(fits, self._common(suffix[miss], samples[there], np.where(fits, length[miss], 0)), -1)
                     sides.append((to, samples[there], share))
@@ -128,10 +135,10 @@ class RunIndex:
                 best = np.maximum(l0, l1)
                 known[miss[best < 0]] = False
                 ok = best >= 0
+                k[miss[ok]] = np.where(later, behind, behind - 1)[ok]
                 q[miss[ok]] = np.where(later, t1, t0)[ok]
                 suffix[miss[ok]] = np.where(later, s1, s0)[ok]
                 length[miss] = np.maximum(best, 0)
-            k = np.searchsorted(self.key, c * self.n + q[:live], "right") - 1
             to = self.below[c] + self.before[k] + q[:live] - self.run_start[self.by_letter[k]]
             q[:live] = np.where(known, to, q[:live])
             suffix[:live] = np.where(known, suffix[:live] - 1, suffix[:live])

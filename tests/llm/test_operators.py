@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,42 @@ def test_run_index():
                     assert index.least_owner(np.array([q]))[0] == min(o for o, s in zip(owner, strings) if p[i : i + 9] in s)
 
 
+def test_contexts_that_share_no_half_pass_no_index(monkeypatch):
+    rng, indexed, asked = random.Random(11), [], []
+
+    class Counted(RunIndex):
+        def __init__(self, strings, owner, depth):
+            indexed.extend(strings)
+            super().__init__(strings, owner, depth)
+
+        def matching_statistics(self, patterns):
+            asked.extend(patterns)
+            return super().matching_statistics(patterns)
+
+    monkeypatch.setattr(suffix_dedup, "RunIndex", Counted)
+    bases = [bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(3)]
+    own = lambda n: bytes(rng.choice(b"cdefghij") for _ in range(n))
+    rows = []
+    for doc in range(120):
+        base, left, right = bases[doc % 3], rng.randrange(31), rng.randrange(31)
+        near = [0, 0] if doc < 40 else [rng.randrange(left + 1), rng.randrange(right + 1)]  # bytes as in the base
+        before = own(left - near[0]) + base[30 - near[0] : 30]
+        behind = base[30 : 30 + near[1]] + own(right - near[1])
+        if left + right >= 30:
+            gram = bytes(range(110 + doc % 2, 130 + doc % 2))  # a group's own
+            rows.append((doc % 2, doc, 1000 * doc, left, before + gram + behind))
+    ctx = pd.DataFrame(rows, columns=["group_id", "doc_id", "at", "p", "context"])
+    want = {
+        (d, at + i) for g, d, at, _, c in rows for i in range(len(c) - 49)
+        if any(h == g and e < d and c[i : i + 50] in other for h, e, _, _, other in rows)
+    }
+    got = suffix_dedup.compare(ctx, 50, 20)
+    assert want and {(d, s) for d, a, b in got.itertuples(index=False) for s in range(a, b - 49)} == want
+    alone = {c for _, d, _, _, c in rows if d < 40}
+    assert alone and not alone & {*indexed, *asked}
+    assert {d for d, _ in want} <= {d for _, d, _, _, c in rows if c in asked}
+
+
 def brute_suffix(rows, length=50):
     texts = {r[0]: (r[1] or "").encode() for r in rows if r[0] is not None}
     first = {}
