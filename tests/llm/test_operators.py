@@ -624,6 +624,24 @@ def test_media(docs, rows):
     assert all(r.resolved and r.kind == "img" for r in got)
 
 
+def test_media_of_whole_texts(spark):
+    """A document's sequence holds all of its text: captions and lines of any length."""
+    first = "A & B <i>said</i> &amp; " + "long line " * 900 + "end"
+    texts = [first + "\nsecond <p>line\n\n" + "third " * 300 + "\n last", "one line only " * 20, "\nno first", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    items = {r.doc_id: r["items"] for r in media.interleave(media.document_pages(docs), "doc_id").collect()}
+    got = media.media_columns(docs).collect()
+    assert len(got) == 6
+    for r in got:
+        line, *rest = (texts[r.doc_id] or "").split("\n")
+        rest = [" ".join(x.split()) for x in rest if x.split()]
+        caption = " ".join(line.split()) or None
+        assert (r.caption, r.n_items, r.n_text_chars) == (caption, 1 + len(rest), sum(map(len, rest)))
+        assert [(i.kind, i.text, i.caption) for i in items[r.doc_id]] == [("img", None, caption), *(("text", x, None) for x in rest)]
+        lines = ["\t".join((i.kind, i.text or "", i.ref or "", i.caption or "")) for i in items[r.doc_id]]
+        assert r.sequence_sha256 == hashlib.sha256("\n".join(lines).encode()).hexdigest() and r.resolved
+
+
 def test_interleaving(spark):
     digest = "ab" * 32
     html = f"<body><p>One &amp; two<img src='sha256:{digest}' alt='dog'>after</p><figure><img src=/x.png><figcaption>A <b>cat</b></figcaption></figure><script>no</script><p>end"
