@@ -346,6 +346,22 @@ def test_passage_of_pieces(spark):
     assert got[11].n_shared_words == 90 and got[20].n_shared_words == 60
 
 
+def test_passage_of_changed_pieces(spark, monkeypatch):
+    """Two documents share a passage of which every unchanged piece has another first
+    holder; seeds looked up alone, and two by two as the very common ones are."""
+    rng = random.Random(23)
+    passage = prose(rng, 128).split(" ")
+    changed = [w if k % 16 else f"changed{k}" for k, w in enumerate(passage)]
+    made = [(k, " ".join([*prose(rng, 30).split(" "), *passage[16 * k - 15 : 16 * k], *prose(rng, 30).split(" ")])) for k in range(1, 9)]
+    made += [(10, " ".join([*prose(rng, 40).split(" "), *passage])), (11, " ".join([*changed, *prose(rng, 40).split(" ")])), (12, made[2][1])]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    for common in (64, 0):
+        monkeypatch.setattr(substring_dedup, "COMMON", common)
+        got = {r.doc_id: r for r in substring_dedup.shared_passages(docs).collect()}
+        assert got[11].sources == [10] and got[12].sources == [3]
+        assert sum(r.n_links for r in got.values()) == 2 and got[11].n_shared_words > 100
+
+
 def brute_passages(texts):
     """Pairs of documents with a passage, from all seeds that both have."""
     import pyarrow as pa
